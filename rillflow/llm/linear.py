@@ -17,6 +17,12 @@ class Sparse:
     def back(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.column, r[self.row], self.n_columns)
 
+    def columns(self, keep: np.ndarray) -> Sparse:
+        """With only the columns to keep, numbered anew."""
+        place = np.cumsum(keep) - 1
+        ok = keep[self.column]
+        return Sparse(self.row[ok], place[self.column[ok]], self.n_rows, int(keep.sum()))
+
     def rows(self, keep: np.ndarray) -> Sparse:
         place = np.cumsum(keep) - 1
         ok = keep[self.row]
@@ -58,14 +64,22 @@ def fit_logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray
     return w
 
 
-def telling(x: Sparse, y: np.ndarray, weight: np.ndarray, least_rows: float, least_z: float) -> np.ndarray:
-    """Columns whose rows differ from the rest in y by ``least_z`` standard errors of the log odds ratio."""
+def telling(x: Sparse, y: np.ndarray, weight: np.ndarray, least_rows: float, chance: float) -> np.ndarray:
+    """Columns that ``least_rows`` rows have and whose share of y is unlike the rest's.
+
+    The likelihood ratio must be so large that among all such columns one as unlike by chance is expected
+    ``chance`` times (exp(-ratio / 2) bounds the chance of a column whose rows all have y).
+    """
     have, have_y = x.back(weight), x.back(weight * y)
     n, n_y = weight.sum(), (weight * y).sum()
-    a, b = have_y + 0.5, have - have_y + 0.5
-    c, d = n_y - have_y + 0.5, (n - have) - (n_y - have_y) + 0.5
-    z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    return (have >= least_rows) & (z >= least_z)
+
+    def fit(k, m):
+        p = k / np.maximum(m, 1e-12)
+        return np.where(k > 1e-9, k * np.log(np.maximum(p, 1e-12)), 0.0) + np.where(m - k > 1e-9, (m - k) * np.log(np.maximum(1 - p, 1e-12)), 0.0)
+
+    ratio = 2 * (fit(have_y, have) + fit(n_y - have_y, n - have) - fit(n_y, n))
+    often = have >= least_rows
+    return often & (ratio >= 2 * np.log(max(1, int(often.sum())) / chance))
 
 
 def groups_of_copies(signatures: np.ndarray) -> np.ndarray:

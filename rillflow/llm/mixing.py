@@ -4,6 +4,8 @@ A source's documents stand in one fixed order (by size class, part, size and id)
 of copies e = target / size of the source. With one offset u per source, the document at place r is
 taken floor(u + r * e) - floor(u + (r - 1) * e) times: once for each integer that the running sum of
 expected copies crosses. As the order is by size, every stretch of sizes is sampled at the same rate.
+The offset is random: of ``OFFSETS`` even steps from a random start, the one that brings the source's words
+nearest to its target, which matters for sources of few documents.
 
 No source is sorted as a whole. Rows are dealt into groups (source, size class, part), where a source
 has more parts the more rows it has; places come from the group's own sort plus a running sum over the
@@ -19,6 +21,7 @@ from .runtime import Stash
 
 #: Rows of a source that one part of it should hold at most, on average.
 PART_ROWS = 50_000
+OFFSETS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 _MINE = "__mix_"
 
@@ -27,13 +30,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _offset(name: Column, seed: int) -> Column:
-    """A number in (0, 1) for each source, from its name and the seed; a multiple of 1/512, so that sums stay exact."""
+def _start(name: Column, seed: int) -> Column:
+    """A number in (0, 1 / OFFSETS) for each source, from its name and the seed; a multiple of 1/8192, so that sums stay exact."""
     digits = F.md5(F.concat(F.lit(f"{seed}:"), name))
     value = F.lit(0)
     for k in (1, 2):
         value = value * 16 + (F.instr(F.lit("0123456789abcdef"), F.substring(digits, k, 1)) - 1)
-    return (value + 0.5) / 256.0
+    return (value + 0.5) / (256.0 * OFFSETS)
+
+
+def _copies(offset: Column, place: Column, each: Column) -> Column:
+    return F.floor(offset + place * each) - F.floor(offset + (place - 1) * each)
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -74,39 +81,50 @@ class SourceMix:
         spark = docs.sparkSession
         stash = Stash(spark, "mix")
         narrow = stash.put("rows", self._keyed(docs, text, source).select(F.col(id_).alias("id"), F.col(source).alias("name"), *[_MINE + c for c in ("size", "key", "class")]))
-        return self._weighed(self._keyed(docs, text, source), narrow, stash, id_)
+        return self._weighed(narrow, stash, self._keyed(docs, text, source), id_)
 
     def sizes(self, docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
         """What ``weigh`` gives, with the id as the only input column; the texts are read once."""
         stash = Stash(docs.sparkSession, "mix")
         narrow = stash.put("rows", self._keyed(docs, text, source).select(F.col(id_).alias("id"), F.col(source).alias("name"), *[_MINE + c for c in ("size", "key", "class")]))
-        return self._weighed(narrow.drop("name"), narrow, stash, "id").withColumnRenamed("id", id_)
+        return self._weighed(narrow, stash).withColumnRenamed("id", id_)
 
     def _keyed(self, docs: DataFrame, text: str, source: str) -> DataFrame:
         size = n_words(F.col(text).cast("string"))
         key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
         return docs.withColumn(_MINE + "size", size).withColumn(_MINE + "key", key).withColumn(_MINE + "class", F.length(F.bin(_MINE + "size")))
 
-    def _weighed(self, rows: DataFrame, narrow: DataFrame, stash: Stash, id_: str) -> DataFrame:
+    def _weighed(self, narrow: DataFrame, stash: Stash, rows: DataFrame | None = None, id_: str = "id") -> DataFrame:
+        """``rows``, or else the narrow rows, with their sources' sizes and targets and their copies."""
         size, key, cls, part = (_MINE + c for c in ("size", "key", "class", "part"))
         sources = narrow.groupBy(key).agg(F.first("name").alias("name"), F.count("*").alias("n"), F.sum(size).alias("size"))
         sources = targets(sources, self.weights, self.share, self.most)
         parts = F.pow(2.0, F.ceil(F.log2(F.greatest(F.col("n") / PART_ROWS, F.lit(1.0))))).cast("long")
-        sources = stash.put("sources", sources.select(key, F.col("size").alias(_MINE + "source_size"), F.col("target").alias(_MINE + "target"), parts.alias("parts"), _offset(key, self.seed).alias("u")))
+        each = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(F.lit(0.0))
+        sources = stash.put("sources", sources.select(key, F.col("size").alias(_MINE + "source_size"), F.col("target").alias(_MINE + "target"), parts.alias("parts"), each.alias("each"), _start(F.col(key), self.seed).alias("start")))
 
         def dealt(df: DataFrame, name: str) -> DataFrame:
             return df.join(sources, key).withColumn(part, F.pmod(F.xxhash64(name), F.col("parts")))
 
+        def placed(df: DataFrame, name: str) -> DataFrame:
+            own = Window.partitionBy(key, cls, part).orderBy(size, name)
+            return dealt(df, name).withColumn("place", F.row_number().over(own)).join(groups, [key, cls, part]).withColumn("place", F.col("place") + F.col("before"))
+
         groups = dealt(narrow, "id").groupBy(key, cls, part).agg(F.count("*").alias("held"))
-        before = Window.partitionBy(key).orderBy(cls, part).rowsBetween(Window.unboundedPreceding, -1)
-        groups = groups.select(key, cls, part, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-        own = Window.partitionBy(key, cls, part).orderBy(size, id_)
-        placed = dealt(rows, id_).withColumn("place", F.row_number().over(own)).join(groups, [key, cls, part])
-        place = F.col("start") + F.col("place")
-        each = F.when(F.col(_MINE + "source_size") > 0, F.col(_MINE + "target") / F.col(_MINE + "source_size")).otherwise(F.lit(0.0))
-        copies = F.floor(F.col("u") + place * each) - F.floor(F.col("u") + (place - 1) * each)
-        keep = [c for c in rows.columns if c not in (key, cls)]
-        return placed.select(*keep, _MINE + "source_size", _MINE + "target", copies.cast("long").alias(_MINE + "copies"))
+        ahead = Window.partitionBy(key).orderBy(cls, part).rowsBetween(Window.unboundedPreceding, -1)
+        groups = stash.put("groups", groups.select(key, cls, part, F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before")))
+        ordered = stash.put("ordered", placed(narrow.drop("name"), "id"))
+
+        offset = [F.col("start") + k / OFFSETS for k in range(OFFSETS)]
+        taken = [F.sum(F.col(size) * _copies(u, F.col("place"), F.col("each"))) for u in offset]
+        tried = ordered.groupBy(key).agg(F.first(_MINE + "target").alias("goal"), F.first("start").alias("from"), *[t.alias(f"t{k}") for k, t in enumerate(taken)])
+        best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))
+        chosen = stash.put("offsets", tried.select(key, (F.col("from") + best["k"] / float(OFFSETS)).alias("u")))
+
+        full = ordered if rows is None else placed(rows, id_)
+        copies = _copies(F.col("u"), F.col("place"), F.col("each")).cast("long")
+        keep = ["id", size] if rows is None else [c for c in rows.columns if c not in (key, cls)]
+        return full.join(chosen, key).select(*keep, _MINE + "source_size", _MINE + "target", copies.alias(_MINE + "copies"))
 
     def emit(self, docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
         taken = self.weigh(docs, id_, text, source).where(F.col(_MINE + "copies") > 0)

@@ -6,11 +6,15 @@ share at least T n-grams of each, so in any common order of all n-grams the firs
 share at least ``l``. Frequent n-grams come last in the order used here. Each document picks its own
 ``l``: a longer prefix costs index entries, but a candidate must then share more of it. The choice
 minimises the cost estimated from a table of frequent n-grams; a pair must share min(l, l') prefix n-grams.
-
-Work stays linear in large groups of copies. Equal sets are one vertex. In star rounds, each shared
-prefix n-gram links its holders to one leader only (the holder that shares most of its prefix), which
-settles groups of near copies; only n-grams whose holders still lie in different classes then give pairs
-of different classes, and all of those are verified. So no link is lost, and classes are exact.
+The smaller document of a pair (by size, then key) shares even ceil(2 * threshold * n / (100 + threshold)) of its
+own, so of it only a shorter prefix counts: frequent n-grams that make up much of many documents stay out.
+
+Work stays near linear in large groups of copies. Equal sets are one vertex. In a star round, each document is
+verified against one leader: of the leaders of its prefix n-grams (the holder whose n-grams are the most frequent,
+as those of an original are among its near copies), the one it shares most with. That settles groups of near copies.
+All pairs of different classes that share enough prefix n-grams are verified then, except pairs under the same
+leader h that need not be: x & y is at most min(|x & h|, |y & h|) within h, so unless that alone suffices, they must
+share n-grams outside h, and these are joined by themselves. So no link is lost, and classes are exact.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from .words import PLAIN_FOLDED, distinct, shingles
 COUNTED, REPORTED = 2_000_000, 4096
 #: Size of the table of frequent n-grams; it only sets the order and the estimates, never the result.
 FREQUENT = 50_000
-LONGEST_MATCH = 4
-#: What verifying one candidate costs, in index entries.
-VERIFY_COST = 20.0
-#: Bits of the fixed-size filters that keep rows without partners out of shuffles (2 MB each).
-FILTER_BITS = 24
-STAR_ROUNDS = 2
+#: A document asks for one shared prefix n-gram, or for so many that they are one in this number of its own.
+MATCH_PARTS = (32, 16, 8)
+#: Other holders that an n-gram outside the table is taken to have, for the estimates.
+BACKGROUND = 0.15
+#: Bits of the fixed-size filters that keep rows without partners out of shuffles (8 MB each).
+FILTER_BITS = 26
+#: Percentage of similarity from which a leader is close enough to save its star pairs.
+CLOSE = 40
 
 
 def _sets(batch: pa.RecordBatch, text: str, size: int) -> Iterator[np.ndarray]:
@@ -93,8 +99,8 @@ def frequent_grams(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, n
     return grams[order], top.column("n").to_numpy().astype(np.int64)[order]
 
 
-def _prefix(grams: np.ndarray, threshold: int, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The n-grams to index and how many of them a partner must share."""
+def _prefix(grams: np.ndarray, threshold: int, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """The n-grams to index, how many of them a partner must share, and the mean count of all n-grams."""
     n = len(grams)
     need = -(-threshold * n // 100)
     base = n - need + 1
@@ -108,14 +114,13 @@ def _prefix(grams: np.ndarray, threshold: int, often: np.ndarray, counts: np.nda
             order, found = np.concatenate((grams[~hit], grams[hit][by])), c[by]
     rare = n - len(found)
     best, cost = 1, None
-    for match in range(1, min(LONGEST_MATCH, need) + 1):
-        load = int(found[: max(0, base + match - 1 - rare)].sum())
-        now = base + match - 1 + VERIFY_COST * load / match
+    for match in (1, *(n // part for part in MATCH_PARTS if n >= 2 * part)):
+        length = base + match - 1
+        load = BACKGROUND * length + int(found[: max(0, length - rare)].sum())
+        now = length + n * load / match  # a candidate costs its whole set, n entries
         if cost is None or now < cost:
             best, cost = match, now
-        if not load:
-            break
-    return order[: base + best - 1], best
+    return order[: base + best - 1], best, float(found.sum()) / n
 
 
 def _indexer(id_: str, text: str, size: int, threshold: int, often):
@@ -123,29 +128,34 @@ def _indexer(id_: str, text: str, size: int, threshold: int, often):
         grams_often, counts = often.value
         seen = set()
         for batch in batches:
-            keys, ns, matches, prefixes = [], [], [], []
+            keys, ns, matches, weights, prefixes = [], [], [], [], []
             for grams in _sets(batch, text, size):
                 ns.append(len(grams))
                 if not len(grams):
-                    keys.append(None), matches.append(None), prefixes.append(None)
+                    keys.append(None), matches.append(None), weights.append(None), prefixes.append(None)
                     continue
                 keys.append(key := _key(grams))
                 if key in seen:
-                    matches.append(None), prefixes.append(None)
+                    matches.append(None), weights.append(None), prefixes.append(None)
                     continue
                 seen.add(key)
-                prefix, match = _prefix(grams, threshold, grams_often, counts)
-                matches.append(match), prefixes.append(prefix.view(np.int64))
+                prefix, match, weight = _prefix(grams, threshold, grams_often, counts)
+                matches.append(match), weights.append(weight), prefixes.append(prefix.view(np.int64))
             ids = batch.column(batch.schema.get_field_index(id_))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "n", "match", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(matches, pa.int32()), pa.array(weights, pa.float64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "n", "match", "weight", "prefix"])
 
     return run
 
 
+#: Second place of a value in a filter: its upper half, spread anew.
+_SPREAD = 0x5E3779B1
+
+
 def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits with one bit set for each (hashed) long in a column; collected, as its size is fixed."""
-    at = df.select(F.shiftrightunsigned(column, 64 - FILTER_BITS).alias("at"))
-    bits = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, cast(at & 63 AS int)) AS b")
+    """A filter of 2**FILTER_BITS bits, two of them set for the upper half of each (hashed) long of a column; collected, as its size is fixed."""
+    high = df.select(F.shiftrightunsigned(column, 32).alias("high"))
+    both = high.selectExpr(f"explode(array(shiftright(high, {32 - FILTER_BITS}), shiftright((high * {_SPREAD}) & {0xFFFFFFFF}L, {32 - FILTER_BITS}))) AS at")
+    bits = both.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, cast(at & 63 AS int)) AS b")
     table = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[table.column("w").to_numpy().astype(np.int64)] = table.column("b").to_numpy()
@@ -153,50 +163,70 @@ def bit_filter(df: DataFrame, column: str) -> np.ndarray:
 
 
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    high = values.view(np.uint64) >> np.uint64(32)
+    ok = np.ones(len(high), bool)
+    for at in (high >> np.uint64(32 - FILTER_BITS), ((high * np.uint64(_SPREAD)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - FILTER_BITS)):
+        ok &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
 
 
-def _shared_rows(bits):
+def _shared_rows(bits, threshold: int):
     def run(batches):
         for batch in batches:
-            prefix = batch.column(3)
+            prefix = batch.column(4)
             flat = prefix.flatten().to_numpy()
             lengths = prefix.value_lengths().fill_null(0).to_numpy()
             ok = passes(bits.value, flat)
             row = np.repeat(np.arange(batch.num_rows), lengths)[ok]
-            took = [batch.column(k).to_numpy(zero_copy_only=False).astype(t)[row] for k, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *map(pa.array, took)], ["gram", "key", "n", "match"])
+            key, n, match, weight = (batch.column(k).to_numpy(zero_copy_only=False).astype(t) for k, t in enumerate((np.int64, np.int64, np.int32, np.float64)))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            small = n + (-2 * threshold * n) // (100 + threshold) + match
+            early = place[ok] < small[row]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *(pa.array(v[row]) for v in (key, n, match, weight)), pa.array(early)], ["gram", "key", "n", "match", "weight", "early"])
 
     return run
 
 
+def _packed(grams: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, in order: for comparing two sets, as good as eight."""
+    return grams.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    wide = np.zeros((raw.size // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def _set_rows(text: str, size: int, bits):
     def run(batches):
         seen = set()
         for batch in batches:
+            ids = batch.column(1).to_numpy()
             keys, sets = [], []
-            for grams in _sets(batch, text, size):
-                if len(grams) and (key := _key(grams)) not in seen and passes(bits.value, np.array([key]))[0]:
+            for grams, id_ in zip(_sets(batch, text, size), ids, strict=True):
+                if len(grams) and (key := _key(grams)) not in seen and passes(bits.value, np.array([key ^ int(id_)]))[0]:
                     seen.add(key)
-                    keys.append(key), sets.append(grams.tobytes())
+                    keys.append(key), sets.append(_packed(grams))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "grams"])
 
     return run
 
 
 def _linked(threshold: int):
+    """(a, b, linked, both, rest) of pairs; rest: what of b is not in a, if the two are close."""
+
     def run(batches):
         for batch in batches:
-            ok = []
+            linked, shared, rest = [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
+                inside = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                both = int(inside.sum())
+                either = len(x) + len(y) - both
+                linked.append(100 * both >= threshold * either), shared.append(both)
+                rest.append(y[~inside].view(np.int64) if 100 * both >= CLOSE * either else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "linked", "both", "rest"])
 
     return run
 
@@ -227,86 +257,97 @@ class NgramJoin:
         own = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
         sc = spark.sparkContext
         often = sc.broadcast(frequent_grams(own, "text", self.size))
-        schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("match", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-        rows = stash.put("rows", own.mapInArrow(_indexer("id", "text", self.size, self.threshold, often), schema))
-        shared = self._shared(rows, stash, sc)
-        labels = self._labels(own, shared, stash)
-        nodes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("low"))
-        if labels is not None:
-            nodes = nodes.join(labels, "key", "left").select("key", "low", F.coalesce("comp", "key").alias("comp"))
-            lows = nodes.groupBy("comp").agg(F.min("low").alias("component_id"))
-            nodes = nodes.join(lows, "comp").select("key", "component_id")
-        else:
-            nodes = nodes.withColumnRenamed("low", "component_id")
+        schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("match", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+        indexed = stash.put("indexed", own.mapInArrow(_indexer("id", "text", self.size, self.threshold, often), schema))
+        shared = self._shared(indexed, stash, sc)
+        rows = stash.put("rows", indexed.select("id", "key", "n"))
+        stash.drop("indexed")
+        nodes = stash.put("nodes", rows.where("key is not null").groupBy("key").agg(F.min("id").alias("low")))
+        labels = stash.put("labels", self._labels(own, shared, nodes, stash))
+        stash.drop("shared", "stars", "verified-stars", "star-labels", "ends", "pairs")
+        nodes = nodes.join(labels, "key", "left").select("key", "low", F.coalesce("comp", "key").alias("comp"))
+        lows = nodes.groupBy("comp").agg(F.min("low").alias("component_id"))
+        nodes = nodes.join(lows, "comp").select("key", "component_id")
         out = rows.select("id", "n", "key").join(nodes, "key", "left")
         return out.select("id", "n", "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
     def _shared(self, rows: DataFrame, stash: Stash, sc) -> DataFrame:
-        """(gram, key, n, match) of prefix n-grams that more than one set has in its prefix."""
-        grams = rows.select("key", F.explode("prefix").alias("gram"))
-        multi = grams.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("gram")
-        multi = stash.put("multi", multi)
-        bits = sc.broadcast(bit_filter(multi, "gram"))
-        some = rows.where("prefix is not null").select("key", "n", "match", "prefix").mapInArrow(_shared_rows(bits), "gram long, key long, n long, match int")
-        some = some.join(multi, "gram").groupBy("gram", "key").agg(F.first("n").alias("n"), F.first("match").alias("match"))
-        out = stash.put("shared", some)
-        stash.drop("multi")
+        """(gram, key, n, match, weight, early) of prefix n-grams that more than one set has in its prefix.
+
+        The halves of hashes that occur once are most of them; a filter of the others thins the rows out
+        before anything is shuffled by whole n-grams. early: within the prefix of a smaller document.
+        """
+        grams = rows.select(F.explode("prefix").alias("gram")).select(F.shiftright("gram", 32).cast("int").alias("high"))
+        high = grams.groupBy("high").count().where("count > 1").select(F.shiftleft(F.col("high").cast("long"), 32).alias("gram"))
+        bits = sc.broadcast(bit_filter(high, "gram"))
+        some = rows.where("prefix is not null").select("key", "n", "match", "weight", "prefix").mapInArrow(_shared_rows(bits, self.threshold), "gram long, key long, n long, match int, weight double, early boolean")
+        some = stash.put("some", some.groupBy("gram", "key").agg(*[F.first(c).alias(c) for c in ("n", "match", "weight", "early")]))
+        multi = some.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("gram")
+        out = stash.put("shared", some.join(multi, "gram", "left_semi"))
+        stash.drop("some")
         return out
 
-    def _labels(self, docs: DataFrame, shared: DataFrame, stash: Stash) -> DataFrame | None:
-        weight = shared.groupBy("key").agg((F.count("*") / F.max("n")).alias("weight"))
-        held = stash.put("held-0", shared.join(weight, "key").withColumn("comp", F.col("key")))
-        labels = None
-        for turn in range(STAR_ROUNDS + 1):
-            if held.isEmpty():
-                break
-            pairs = self._stars(held, turn) if turn < STAR_ROUNDS else self._crossings(held)
-            pairs = stash.put(f"pairs-{turn}", pairs)
-            links = self._verified(docs, pairs, stash)
-            ends = held.select("key", "comp").distinct()
-            a, b = ends.toDF("a", "ca"), ends.toDF("b", "cb")
-            links = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            more = components(links, stash, f"round{turn}")
-            labels = more if labels is None else relabel(labels, more).union(more.join(labels, "key", "left_anti"))
-            labels = stash.put(f"labels-{turn}", labels)
-            if turn < STAR_ROUNDS:
-                top = more.select(F.col("key").alias("comp"), F.col("comp").alias("top"))
-                held = held.join(top, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top")
-                mixed = held.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-                held = stash.put(f"held-{turn + 1}", held.join(mixed, "gram", "left_semi"))
-                stash.drop(f"held-{turn}")
-            stash.drop(f"pairs-{turn}", f"labels-{turn - 1}")
-        return labels
+    def _labels(self, docs: DataFrame, shared: DataFrame, lows: DataFrame, stash: Stash) -> DataFrame:
+        """(key, comp) of all keys that have a link."""
+        stars = stash.put("stars", self._stars(shared))
+        stars = stash.put("verified-stars", self._verified(docs, stars, lows))
+        labels = stash.put("star-labels", components(stars.where("linked"), stash, "stars"))
+        hubs = stars.where("rest is not null").select(F.col("b").alias("key"), F.col("a").alias("hub"), F.col("both").alias("held"))
+        ends = stash.put("ends", shared.select("key", "n").distinct().join(labels, "key", "left").join(hubs, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
+        held = shared.drop("n", "weight").join(ends, "key")
+        mixed = held.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+        held = stash.put("held", held.join(mixed, "gram", "left_semi"))
+        rest = stars.where("rest is not null").select(F.col("b").alias("key"), F.explode("rest").alias("gram")).join(ends, "key")
+        pairs = stash.put("pairs", self._crossings(held).union(self._beside_hubs(rest)).distinct())
+        stash.drop("held")
+        links = self._verified(docs, pairs, lows).where("linked")
+        comps = ends.select("key", "comp")
+        links = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        more = components(links, stash, "pairs")
+        rest_of = more.join(labels, "key", "left_anti")
+        return relabel(labels, more).union(rest_of)
 
     def _near(self) -> str:
         return f"100 * least(n, m) >= {self.threshold} * greatest(n, m)"
 
-    def _stars(self, held: DataFrame, turn: int) -> DataFrame:
-        """For each set at most one leader, of another class, with which it shares prefix n-grams."""
-        rank = F.struct("weight" if turn == 0 else F.xxhash64("key", F.lit(turn)), "key", "n", "comp")
-        lead = held.groupBy("gram").agg(F.max(rank).alias("lead")).select("gram", F.col("lead.key").alias("a"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("other"))
-        near = held.join(lead, "gram").where(f"comp <> other and {self._near()}")
-        best = near.groupBy("key", "a").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "a")).alias("best"))
+    def _enough(self, both: str) -> str:
+        return f"{100 + self.threshold} * ({both}) >= {self.threshold} * (n + m)"
+
+    def _stars(self, held: DataFrame) -> DataFrame:
+        """For each set at most one leader with which it shares prefix n-grams."""
+        lead = held.groupBy("gram").agg(F.max(F.struct("weight", "key", "n")).alias("lead")).select("gram", F.col("lead.key").alias("a"), F.col("lead.n").alias("m"))
+        near = held.join(lead, "gram").where(f"key <> a and {self._near()}")
+        best = near.groupBy("key", "a").agg(F.count("*").alias("c"), F.min("match").alias("match")).where("c >= match").groupBy("key").agg(F.max(F.struct("c", "a")).alias("best"))
         return best.select(F.col("best.a").alias("a"), F.col("key").alias("b"))
 
     def _crossings(self, held: DataFrame) -> DataFrame:
-        """All pairs of sets of different classes that share enough prefix n-grams and fit in size."""
-        x = held.select("gram", F.col("key").alias("a"), "n", F.col("match").alias("match_a"), F.col("comp").alias("ca"))
-        y = held.select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("match").alias("match_b"), F.col("comp").alias("cb"))
-        both = x.join(y, "gram").where(f"a < b and ca <> cb and {self._near()}")
+        """Pairs of sets of different classes that share enough prefix n-grams, fit in size and may be similar by what a common leader shows."""
+        x = held.select("gram", F.col("key").alias("a"), "n", F.col("match").alias("match_a"), F.col("comp").alias("ca"), F.col("hub").alias("ha"), F.col("held").alias("oa"))
+        y = held.where("early").select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("match").alias("match_b"), F.col("comp").alias("cb"), F.col("hub").alias("hb"), F.col("held").alias("ob"))
+        apart = f"(ha is null or hb is null or ha <> hb or {self._enough('least(oa, ob)')})"
+        both = x.join(y, "gram").where(f"(n > m or n = m and a > b) and ca <> cb and {self._near()} and {apart}")
         both = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.first("match_a"), F.first("match_b")).alias("least"))
         return both.where("c >= least").select("a", "b")
 
-    def _verified(self, docs: DataFrame, pairs: DataFrame, stash: Stash) -> DataFrame:
-        """The pairs whose whole sets are similar enough."""
+    def _beside_hubs(self, rest: DataFrame) -> DataFrame:
+        """Pairs of sets of different classes under one leader that share enough n-grams outside it."""
+        x = rest.select("hub", "gram", F.col("key").alias("a"), "n", F.col("comp").alias("ca"), F.col("held").alias("oa"))
+        y = rest.select("hub", "gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("held").alias("ob"))
+        both = x.join(y, ["hub", "gram"]).where(f"(n > m or n = m and a > b) and ca <> cb and {self._near()}")
+        both = both.groupBy("a", "b").agg(F.count("*").alias("s"), *[F.first(c).alias(c) for c in ("n", "m", "oa", "ob")])
+        return both.where(self._enough("s + least(oa, ob)")).select("a", "b")
+
+    def _verified(self, docs: DataFrame, pairs: DataFrame, lows: DataFrame) -> DataFrame:
+        """What ``_linked`` says of the pairs, from the whole sets; of equal texts, the one with the lowest id is read."""
         sc = docs.sparkSession.sparkContext
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-        bits = sc.broadcast(bit_filter(ends, "key"))
-        sets = docs.select("text").mapInArrow(_set_rows("text", self.size, bits), "key long, grams binary")
-        sets = sets.join(ends.distinct(), "key", "left_semi").dropDuplicates(["key"])
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        own = ends.join(lows, "key").select(F.col("key").bitwiseXOR(F.xxhash64("low")).alias("mark"))
+        bits = sc.broadcast(bit_filter(own, "mark"))
+        sets = docs.select("text", F.xxhash64("id").alias("mark")).mapInArrow(_set_rows("text", self.size, bits), "key long, grams binary")
+        sets = sets.join(ends, "key", "left_semi").dropDuplicates(["key"])
         with_b = pairs.join(sets.toDF("b", "grams_b"), "b")
         full = with_b.join(sets.toDF("a", "grams_a"), "a").select("a", "b", "grams_a", "grams_b")
-        return full.mapInArrow(_linked(self.threshold), "a long, b long")
+        return full.mapInArrow(_linked(self.threshold), "a long, b long, linked boolean, both long, rest array<long>")
 
 
 def _keyed(text: str, size: int):

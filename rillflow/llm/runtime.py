@@ -47,6 +47,7 @@ class Stash:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         self.paths[name] = path
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing refers to any more
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import prepare, texts_of
-from .words import ALNUM_FOLDED, distinct, shingles
+from .words import ALNUM_FOLDED, _groups, distinct, windows
 
 _SIEVE = 1 << 30
+#: Features are whole words and their first so many bytes.
+STEMS = (4, 6)
 #: Copies share minima of their 5-word runs under these mixes.
 _MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -32,16 +34,19 @@ def _features(text: str, with_text: bool):
         for batch in batches:
             texts = [batch.column(1)] * with_text
             words, marks = [], []
-            for h, runs in shingles(texts_of(batch, text), ALNUM_FOLDED, 5):
-                words.append(distinct(h).view(np.int64))
-                marks.append([int(m) for m in ((runs[:, None] ^ (runs[:, None] >> np.uint64(31))) * _MIXES).min(0).view(np.int64)] if len(runs) else None)
+            for h, cut in _groups(texts_of(batch, text), ALNUM_FOLDED, STEMS):
+                for i in range(len(cut) - 1):
+                    own = h[:, cut[i] : cut[i + 1]]
+                    runs = windows(own[0], 5)
+                    words.append(distinct(own.ravel()).view(np.int64))
+                    marks.append([int(m) for m in ((runs[:, None] ^ (runs[:, None] >> np.uint64(31))) * _MIXES).min(0).view(np.int64)] if len(runs) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), *texts], ["id", "words", "marks", "text"][: 3 + with_text])
 
     return run
 
 
 def labelled_words(docs: DataFrame, chosen: pa.Table, id_: str, text: str, with_text: bool = False) -> pa.Table:
-    """id, distinct word hashes and copy marks (and the text) of the chosen documents that exist and have words."""
+    """id, distinct hashes of words and stems, and copy marks (and the text) of the chosen documents that exist and have words."""
     spark = docs.sparkSession
     prepare(spark)
     if not chosen.num_rows:

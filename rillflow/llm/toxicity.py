@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain of sparse linear models.
 
-The categories are predicted one after another. Each model sees the telling words of a document and the
+The categories are predicted one after another. Each model sees the telling words and stems of a document and the
 probabilities of all earlier categories; for fitting, those come from models that did not see the row
 (out of fold), so that later models learn from probabilities like those they get later on. Copies of one text count as one
 row and stay in one fold; else a mislabelled text with many copies would teach its own words.
@@ -18,13 +18,14 @@ from pyspark.sql import types as T
 
 from .linear import Sparse, fit_logistic, groups_of_copies, sigmoid, telling
 from .runtime import prepare, texts_of
-from .samples import labelled_words, sample_of
+from .samples import STEMS, labelled_words, sample_of
 from .words import ALNUM_FOLDED, _groups
 
 #: Labelled rows that the chain is fitted on, at most (about; see samples.sample_of).
 SAMPLE_ROWS = 6000
 FOLDS = 4
-LEAST_DOCS, LEAST_Z = 8.0, 5.0
+#: A category's words are those that so many documents (copies count once) have and that are telling, with so many expected by chance.
+LEAST_DOCS, CHANCE = 4.0, 0.5
 
 
 @dataclass
@@ -52,36 +53,42 @@ def fit_chain(words: list[np.ndarray], marks: np.ndarray, y: np.ndarray, categor
     row = np.repeat(np.arange(n), [len(w) for w in words])
     vocabulary, column = np.unique(np.concatenate(words), return_inverse=True)
     x = Sparse(row, column, n, len(vocabulary))
-    keep = np.zeros(len(vocabulary), bool)
-    for k in range(len(categories)):
-        keep |= telling(x, y[:, k], weight, LEAST_DOCS, LEAST_Z)
-    ok = keep[column]
-    place = np.cumsum(keep) - 1
-    x = Sparse(row[ok], place[column[ok]], n, int(keep.sum()))
+    keep = np.stack([telling(x, y[:, k], weight, LEAST_DOCS, CHANCE) for k in range(len(categories))])
+    any_ = keep.any(0)
+    x, keep = x.columns(any_), keep[:, any_]
     earlier, weights, base = np.empty((n, 0)), [], []
     for k in range(len(categories)):
-        out = np.zeros(n)
+        own, out = x.columns(keep[k]), np.zeros(n)
         for f in range(FOLDS):
             test = fold == f
             train = ~test
             if test.any() and train.any():
-                w = fit_logistic(x.rows(train), earlier[train], y[train, k], weight[train])
-                part = x.rows(test)
-                out[test] = sigmoid(part.dot(w[: x.n_columns]) + np.hstack([earlier[test], np.ones((int(test.sum()), 1))]) @ w[x.n_columns :])
-        weights.append(fit_logistic(x, earlier, y[:, k], weight))
+                w = fit_logistic(own.rows(train), earlier[train], y[train, k], weight[train])
+                part = own.rows(test)
+                out[test] = sigmoid(part.dot(w[: own.n_columns]) + np.hstack([earlier[test], np.ones((int(test.sum()), 1))]) @ w[own.n_columns :])
+        w = fit_logistic(own, earlier, y[:, k], weight)
+        full = np.zeros(x.n_columns)
+        full[keep[k]] = w[: own.n_columns]
+        weights.append(np.concatenate([full, w[own.n_columns :]]))
         base.append(float((weight * y[:, k]).sum() / weight.sum()))
         earlier = np.hstack([earlier, out[:, None]])
-    return Chain(categories, vocabulary[keep], weights, base)
+    return Chain(categories, vocabulary[any_], weights, base)
 
 
 def _probabilities(chain: dict, texts: list[bytes]) -> np.ndarray:
     """A row of probabilities, in chain order, for each text."""
     words, bits, weights = chain["words"], chain["bits"], chain["weights"]
     found: list[np.ndarray] = []
-    for h, cut in _groups(texts, ALNUM_FOLDED):
-        at = np.flatnonzero(bits[h >> np.uint64(44)]) if len(words) else np.empty(0, np.int64)
-        place = np.minimum(np.searchsorted(words, h[at]), len(words) - 1)
-        at, place = (at[hit], place[hit]) if len(hit := np.flatnonzero(words[place] == h[at])) else (at[:0], place[:0])
+    for h, cut in _groups(texts, ALNUM_FOLDED, STEMS):
+        at, place = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for row in h if len(words) else ():
+            maybe = np.flatnonzero(bits[row >> np.uint64(44)])
+            where = np.minimum(np.searchsorted(words, row[maybe]), len(words) - 1)
+            hit = words[where] == row[maybe]
+            at.append(maybe[hit]), place.append(where[hit])
+        at, place = np.concatenate(at), np.concatenate(place)
+        order = np.argsort(at, kind="stable")
+        at, place = at[order], place[order]
         split = np.searchsorted(at, cut)
         found += [np.unique(place[split[i] : split[i + 1]]) for i in range(len(cut) - 1)]
     out = np.zeros((len(texts), len(weights)))
@@ -153,4 +160,4 @@ def categories_of(labels: DataFrame, quality: Column | None = None, toxic: Colum
 
 def standard_chain() -> ToxicityChain:
     """The chain of the query and the pipeline."""
-    return ToxicityChain(["junk", "toxic", "severe"], "toxic", 0.5)
+    return ToxicityChain(["junk", "toxic", "severe"], "toxic", 0.3)

@@ -53,8 +53,11 @@ PLAIN = Alphabet([b for b in range(256) if b not in _SPACE], False)
 ALNUM_FOLDED = Alphabet([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)], True)
 
 
-def _hashes(raw: bytes, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after the last) of each word in a buffer."""
+def _hashes(raw: bytes, alphabet: Alphabet, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after the last) of each word in a buffer.
+
+    With stems, the hashes have a row for whole words and one for the first so many bytes of each.
+    """
     n = len(raw)
     inside = np.zeros(n + 2, np.int8)
     inside[1:-1] = np.frombuffer(raw.translate(alphabet.word), np.int8)
@@ -65,7 +68,10 @@ def _hashes(raw: bytes, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.
     value += np.uint64(1)
     value *= _power(_BASE, n)
     np.cumsum(value, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(pow(_BASE, -1, 1 << 64), n + 1)[starts]
+    back = _power(pow(_BASE, -1, 1 << 64), n + 1)[starts]
+    h = (sums[ends] - sums[starts]) * back
+    if stems:
+        h = np.stack([h, *[(sums[np.minimum(ends, starts + k)] - sums[starts]) * back + np.uint64(k) for k in stems]])
     h = (h ^ (h >> np.uint64(32))) * _MIX
     return h ^ (h >> np.uint64(29)), starts, ends
 
@@ -81,13 +87,13 @@ def _pieces(text: bytes, alphabet: Alphabet) -> Iterator[bytes]:
         at = end
 
 
-def _groups(texts: list[bytes], alphabet: Alphabet) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes of the words of some texts, where each text's words begin and the last one's end)."""
+def _groups(texts: list[bytes], alphabet: Alphabet, stems: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words of some texts, where each text's words begin and the last one's end); see ``_hashes``."""
     at = 0
     while at < len(texts):
         if len(texts[at]) > CHUNK:
-            h = np.concatenate([_hashes(p, alphabet)[0] for p in _pieces(texts[at], alphabet)])
-            yield h, np.array([0, len(h)])
+            h = np.concatenate([_hashes(p, alphabet, stems)[0] for p in _pieces(texts[at], alphabet)], axis=-1)
+            yield h, np.array([0, h.shape[-1]])
             at += 1
             continue
         end, total = at, 0
@@ -95,7 +101,7 @@ def _groups(texts: list[bytes], alphabet: Alphabet) -> Iterator[tuple[np.ndarray
             total += len(texts[end]) + 1
             end += 1
         group = texts[at:end]
-        h, starts, _ = _hashes(b"\n".join(group), alphabet)
+        h, starts, _ = _hashes(b"\n".join(group), alphabet, stems)
         begin = np.cumsum([0] + [len(t) + 1 for t in group])
         yield h, np.searchsorted(starts, begin)
         at = end
