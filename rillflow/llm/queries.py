@@ -89,4 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import NGRAM_JOIN, SOURCE_MIXING, URL_FILTERS
+
+    return {"op2_url_filters": URL_FILTERS, "op5_ngram_jaccard_join": NGRAM_JOIN, "op9_source_mixing": SOURCE_MIXING}
