@@ -33,11 +33,11 @@ from .runtime import Stash, prepare, texts_of
 from .words import PLAIN_FOLDED, distinct, shingles
 
 #: n-grams of one task that are counted at a time, and how many of its most frequent ones a task reports.
-COUNTED, REPORTED = 2_000_000, 4096
+COUNTED, REPORTED = 2_000_000, 1 << 16
 #: Size of the table of frequent n-grams; it only sets the order and the estimates, never the result.
-FREQUENT = 50_000
+FREQUENT = 400_000
 #: A document asks for one shared prefix n-gram, or for so many that they are one in this number of its own.
-MATCH_PARTS = (32, 16, 8)
+MATCH_PARTS = (32, 16)
 #: Other holders that an n-gram outside the table is taken to have, for the estimates.
 BACKGROUND = 0.15
 #: Bits of the fixed-size filters that keep rows without partners out of shuffles (8 MB each).
@@ -69,8 +69,8 @@ def _counter(text: str, size: int):
             v, c = v[order], c[order]
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.empty(0, int)
             values, counts = v[first], np.add.reduceat(c, first) if len(v) else c
-            if len(values) > 16 * REPORTED:
-                top = np.sort(np.argpartition(-counts, 16 * REPORTED)[: 16 * REPORTED])
+            if len(values) > 4 * REPORTED:
+                top = np.sort(np.argpartition(-counts, 4 * REPORTED)[: 4 * REPORTED])
                 values, counts = values[top], counts[top]
             held, rows = [], 0
 
@@ -93,7 +93,7 @@ def _counter(text: str, size: int):
 def frequent_grams(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of n-grams found often; at most ``FREQUENT``, from all documents."""
     found = docs.select(text).mapInArrow(_counter(text, size), "gram long, n long")
-    top = found.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 3").orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    top = found.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
     grams = top.column("gram").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(grams)
     return grams[order], top.column("n").to_numpy().astype(np.int64)[order]
@@ -249,7 +249,7 @@ class NgramJoin:
         return index.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), "component_id")
 
     def index(self, docs: DataFrame, id_: str, text: str) -> DataFrame:
-        """(id, n, key, component_id) of each row; key names the row's set (null if it is empty)."""
+        """(id, n, key, comp, component_id) of each row; key names the row's set and comp its class (null if it is empty)."""
         spark = docs.sparkSession
         prepare(spark)
         stash = Stash(spark, "ngram-join")
@@ -267,9 +267,9 @@ class NgramJoin:
         stash.drop("shared", "stars", "verified-stars", "star-labels", "ends", "pairs")
         nodes = nodes.join(labels, "key", "left").select("key", "low", F.coalesce("comp", "key").alias("comp"))
         lows = nodes.groupBy("comp").agg(F.min("low").alias("component_id"))
-        nodes = nodes.join(lows, "comp").select("key", "component_id")
+        nodes = nodes.join(lows, "comp").select("key", "comp", "component_id")
         out = rows.select("id", "n", "key").join(nodes, "key", "left")
-        return out.select("id", "n", "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        return out.select("id", "n", "key", "comp", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
     def _shared(self, rows: DataFrame, stash: Stash, sc) -> DataFrame:
         """(gram, key, n, match, weight, early) of prefix n-grams that more than one set has in its prefix.
@@ -281,9 +281,9 @@ class NgramJoin:
         high = grams.groupBy("high").count().where("count > 1").select(F.shiftleft(F.col("high").cast("long"), 32).alias("gram"))
         bits = sc.broadcast(bit_filter(high, "gram"))
         some = rows.where("prefix is not null").select("key", "n", "match", "weight", "prefix").mapInArrow(_shared_rows(bits, self.threshold), "gram long, key long, n long, match int, weight double, early boolean")
-        some = stash.put("some", some.groupBy("gram", "key").agg(*[F.first(c).alias(c) for c in ("n", "match", "weight", "early")]))
+        some = stash.put("some", some)
         multi = some.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("gram")
-        out = stash.put("shared", some.join(multi, "gram", "left_semi"))
+        out = stash.put("shared", some.join(multi, "gram", "left_semi").dropDuplicates(["gram", "key"]))
         stash.drop("some")
         return out
 
@@ -369,10 +369,9 @@ def keep_one(docs: DataFrame, join: NgramJoin, id_: str = "doc_id", text: str =
     """
     index = join.index(docs, id_, text).where("key is not null")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    first = index.groupBy("component_id").agg(F.min(rank).alias("first"))
-    rows = index.groupBy("id", "key").agg(F.first("component_id").alias("component_id"), F.count("*").alias("copies"))
-    rows = rows.alias("r").join(first.alias("f"), F.col("r.component_id").eqNullSafe(F.col("f.component_id")))
-    ranked = rows.select("id", "key", "copies", (F.col("f.first.id").eqNullSafe(F.col("id")) & (F.col("f.first.key") == F.col("key"))).alias("stays"))
+    first = index.groupBy("comp").agg(F.min(rank).alias("first"))
+    rows = index.groupBy("id", "key").agg(F.first("comp").alias("comp"), F.count("*").alias("copies")).join(first, "comp")
+    ranked = rows.select("id", "key", "copies", (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.key") == F.col("key"))).alias("stays"))
     stash = Stash(docs.sparkSession, "keep-one")
     ranked = stash.put("ranked", ranked.where("not stays or copies > 1"))
     schema = T.StructType([*docs.schema.fields, T.StructField(SET_KEY, T.LongType())])

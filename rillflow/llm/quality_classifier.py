@@ -117,7 +117,7 @@ class QualityClassifier:
         texts = [t.encode() for t in rows.column("text").to_pylist()]
         if not len(texts):
             return fit([], np.empty(0, np.int64), np.empty(0))
-        marks = np.array([m.as_py() for m in rows.column("marks")], np.int64).reshape(len(texts), -1)
+        marks = np.array([m.as_py() for m in rows.column("marks")], np.int64).reshape(-1, 3)
         _, inverse, size = np.unique(groups_of_copies(marks), return_inverse=True, return_counts=True)
         return fit(texts, chosen.column(rating).to_numpy()[at], 1.0 / size[inverse])
 

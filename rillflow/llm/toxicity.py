@@ -121,7 +121,7 @@ class ToxicityChain:
         at = np.array([place[i] for i in rows.column("id").to_pylist()], np.int64)
         y = np.stack([chosen.column(c).to_numpy()[at] for c in self.categories], 1).astype(float).clip(0, 1) if len(at) else np.empty((0, len(self.categories)))
         words = [np.array(w.values, np.int64).view(np.uint64) for w in rows.column("words")]
-        marks = np.array([m.as_py() for m in rows.column("marks")], np.int64).reshape(len(words), -1)
+        marks = np.array([m.as_py() for m in rows.column("marks")], np.int64).reshape(-1, 3)
         return fit_chain(words, marks, y, self.categories)
 
     def scores(self, docs: DataFrame, chain: Chain, id_: str = "doc_id", text: str = "text") -> DataFrame:
