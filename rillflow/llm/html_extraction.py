@@ -3,9 +3,11 @@
 Markup is stripped to lines, one for each block of the page (what stands between block-level tags). Lines in
 parts that are no article by their element, class, id or role have no weight. Weights, the characters outside
 links, are summed over windows of ``WINDOW`` lines: where the sum surges a passage begins, where it falls back
-to nothing it has ended, and the lines between those points are its text. Where the page marks its article, only
-the lines in it have weight and any of them is a surge; else a passage must reach ``SURGE`` characters, unless
-none on the page does.
+to nothing it has ended, and the lines between those points are its text. A passage must reach ``SURGE``
+characters, unless none on the page does. Elements that mark an article make their lines heavier
+(``MARK_WEIGHT``), and each of them is a region with a mass, what its passages weigh. Where the marked regions
+together weigh at least what the unmarked lines do, the text is all that lies in the heaviest region and in those
+marked like it; else the marks are no guide, and the page counts as unmarked.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .runtime import prepare
 WINDOW, SURGE = 3, 80
 #: Passages of an unmarked page that weigh less than this share of its heaviest are not its article.
 LEAST_SHARE = 0.25
+#: What a character weighs by how surely its line is marked as article: not, by class or id, as main, as article.
+MARK_WEIGHT = (1, 4, 6, 8)
 
 #: Elements by what they do to the text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,13 +52,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "out", "heading_only", "article", "link")
+    __slots__ = ("tag", "out", "heading_only", "article", "link", "regions")
 
-    def __init__(self, tag: str, out: bool, heading_only: bool, article: int, link: bool):
-        self.tag, self.out, self.heading_only, self.article, self.link = tag, out, heading_only, article, link
+    def __init__(self, tag: str, out: bool, heading_only: bool, article: int, link: bool, regions: tuple):
+        self.tag, self.out, self.heading_only, self.article, self.link, self.regions = tag, out, heading_only, article, link, regions
 
 
-def _open(tag: str, attributes: str, up: _Element) -> _Element:
+def _open(tag: str, attributes: str, up: _Element, at: int) -> _Element:
     out, heading_only, article = up.out or tag in NO_TEXT or tag in NO_ARTICLE, up.heading_only, up.article
     marks: set[str] = set()
     if attributes:
@@ -83,16 +87,17 @@ def _open(tag: str, attributes: str, up: _Element) -> _Element:
         article = 3
     elif tag == "main":
         article = max(article, 2)
-    return _Element(tag, out, heading_only, article, up.link or tag == "a")
+    regions = (*up.regions, (article, at)) if article > up.article else up.regions
+    return _Element(tag, out, heading_only, article, up.link or tag == "a", regions)
 
 
 class _Lines:
-    """Collects (text, weight, article) lines; article: how surely the line lies in the marked article."""
+    """Collects (text, weight, regions) lines; regions: (mark, place on the page) of the marked elements around it."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, tuple]] = []
         self.parts: list[str] = []
-        self.weight = self.article = 0
+        self.weight, self.regions = 0, ()
 
     def add(self, raw: str, on: _Element, heading: bool) -> None:
         if on.out or (on.heading_only and not (heading and on.article)):
@@ -101,19 +106,19 @@ class _Lines:
         self.parts.append(text)
         if not on.link:
             self.weight += len(text.strip())
-        self.article = max(self.article, on.article)
+        self.regions = max(self.regions, on.regions, key=lambda r: r[-1][0] if r else 0)
 
     def end(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.weight, self.article))
-            self.parts, self.weight, self.article = [], 0, 0
+                self.lines.append((text, self.weight, self.regions))
+            self.parts, self.weight, self.regions = [], 0, ()
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
+def lines_of(page: str) -> list[tuple[str, int, tuple]]:
     """The page's lines without those that markup rules out."""
-    out, root = _Lines(), _Element("", False, False, 0, False)
+    out, root = _Lines(), _Element("", False, False, 0, False, ())
     stack = [root]
     at, n = 0, len(page)
     headings = 0
@@ -160,7 +165,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = n if not end else end.start()
-        element = _open(tag, attributes, stack[-1])
+        element = _open(tag, attributes, stack[-1], lt)
         if not attributes.rstrip().endswith("/") or tag in INLINE:
             stack.append(element)
             headings += tag in HEADINGS
@@ -185,14 +190,33 @@ def passages(weights: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
+def chosen_mark(lines: list[tuple[str, int, tuple]]) -> int:
+    """The mark of the heaviest marked region; 0 if the page has none or its unmarked lines weigh more than all of them."""
+    own: dict[tuple, list[int]] = {}
+    last: dict[tuple, int] = {}
+    linked = not any(r and 2 * w >= len(t) for t, w, r in lines)  # links count where nothing else is marked
+    for k, (t, w, r) in enumerate(lines):
+        region = r[-1] if r else (0, 0)
+        weights = own.setdefault(region, [])
+        weights += [0] * min(WINDOW, k - last.get(region, k - 1) - 1)  # the lines of others between: as many as end a passage
+        weights.append(MARK_WEIGHT[region[0]] * (len(t) if r and linked else w if 2 * w >= len(t) else 0))
+        last[region] = k
+    for surge in (SURGE, 1):
+        mass = {region: sum(sum(weights[a:b]) for a, b in passages(weights, surge)) for region, weights in own.items()}
+        if any(mass.values()):
+            break
+    unmarked = mass.pop((0, 0), 0)
+    if not mass or sum(mass.values()) < unmarked:
+        return 0
+    return max(mass, key=lambda region: (mass[region], region[0]))[0]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page as one line; empty if there is none."""
     lines = lines_of(page) if page else []
-    marked = max((a for _, _, a in lines), default=0)
+    marked = chosen_mark(lines)
     if marked:
-        weights = [len(t) if a == marked else 0 for t, _, a in lines]
-        found = passages(weights, 1)
-        return " ".join(lines[k][0] for a, b in found for k in range(a, b) if weights[k])
+        return " ".join(t for t, _, regions in lines if any(mark == marked for mark, _ in regions))
     weights = [w if 2 * w >= len(t) else 0 for t, w, _ in lines]
     found = passages(weights, SURGE) or passages(weights, 1)
     mass = [sum(weights[a:b]) for a, b in found]

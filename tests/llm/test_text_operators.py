@@ -141,6 +141,19 @@ def test_html_without_marks_goes_by_blocks():
     assert passages([0, 90, 5, 90, 0, 0, 0, 10], 80) == [(1, 4)]
 
 
+def test_html_marks_weigh_by_their_text():
+    long = ["A sentence of the article that goes on for a while. " * 3] * 5
+    text = "".join(f"<p>{t}</p>" for t in long)
+    want = " ".join(t.strip() for t in long)
+    teaser = "<article><p>Read our other story on the weather.</p></article>"
+    assert main_text(f"<body><main>{text}</main>{teaser}</body>") == want
+    assert main_text(f"<body>{teaser}<div class='post'>{text}</div><article>Nice!</article></body>") == want
+    assert main_text(f"<body><div>{text}</div></body>") == want and main_text(f"<body><div>{text * 4}</div>{teaser}</body>").startswith(want)
+    assert main_text(f"<main><p>About us</p><article>{text}</article></main><div>{long[0]}</div>") == want
+    assert main_text(f"<main>{text}<article><p>A box.</p></article></main>") == f"{want} A box."
+    assert main_text(f"<article>{text}</article><article>{text}</article>") == f"{want} {want}"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- open", "<script>x", "a < b", "<<<>>>", "<p " + "a='" * 50, "<div>" * 3000 + "x", "&#xZZ; &bogus; &amp", "</p></div>"])
 def test_html_never_fails(page):
     assert isinstance(main_text(page), str)
