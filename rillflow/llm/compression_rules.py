@@ -1,8 +1,10 @@
 """Quality rules: word and line counts, and compression bands.
 
 The zstandard ratio (bytes / compressed bytes) of a whole document must lie within limits for its length, and
-of a document of several chunks most full chunks must lie within the chunk limits: repetitive text compresses
-too well, and random or encoded text hardly at all.
+from one chunk on most of its bytes must be in chunks within the chunk limits: repetitive text compresses too
+well, and random or encoded text hardly at all. The least ratios lie between what random base64 or alphanumeric
+words reach at the lengths of a row (1.26 at 500 bytes, 1.41 at most) and what prose does from its first length on;
+below 256 bytes the two overlap, and random text is not told apart.
 """
 
 from __future__ import annotations
@@ -19,25 +21,34 @@ from .words import PLAIN, _groups, windows
 
 LEVEL = 3
 #: (bytes from, least ratio, largest ratio) of whole documents; the last row whose length is reached holds.
-BANDS = [(0, 0.0, 1e9), (128, 0.7, 3.0), (256, 1.05, 3.0), (1024, 1.2, 3.5), (4096, 1.3, 4.0), (16384, 1.35, 5.0), (131072, 1.4, 8.0)]
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (1.25, 4.5), 0.5
+BANDS = [
+    (0, 0.0, 1e9), (128, 0.7, 3.0), (256, 1.17, 3.0), (300, 1.2, 3.0), (350, 1.22, 3.0), (400, 1.25, 3.0), (450, 1.27, 3.0), (500, 1.29, 3.0), (600, 1.31, 3.0), (700, 1.34, 3.0),
+    (850, 1.36, 3.0), (1024, 1.39, 3.5), (1500, 1.42, 3.5), (2048, 1.46, 3.5), (4096, 1.5, 4.0), (16384, 1.55, 5.0), (131072, 1.55, 8.0),
+]
+#: The last chunk may be shorter; its least ratio is that of its length. Up to so large a share of the bytes may be in chunks beyond the limits.
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (1.5, 4.5), 0.5
 _SPACE = b" \t\n\x0b\x0c\r"
 _NOT_SYMBOL = bytes(b for b in range(256) if chr(b) not in "#*$%&|<>")
 _IS_CONTINUATION = bytes(range(0x80, 0xC0))
 
 
 def ratios(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
-    """Ratio of the whole text and, from two chunks on, of each full chunk."""
+    """Ratio of the whole text and, from one chunk on, of each chunk, the shorter last one too."""
     whole = len(raw) / len(packer.compress(raw)) if raw else 0.0
-    return whole, [CHUNK / len(packer.compress(raw[k : k + CHUNK])) for k in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) >= 2 * CHUNK else []
+    return whole, [len(part) / len(packer.compress(part)) for k in range(0, len(raw), CHUNK) for part in (raw[k : k + CHUNK],)] if len(raw) >= CHUNK else []
+
+
+def band(n_bytes: int) -> tuple[float, float]:
+    return next((lo, hi) for at, lo, hi in reversed(BANDS) if n_bytes >= at)
 
 
 def in_bands(n_bytes: int, whole: float, chunks: list[float]) -> bool:
-    least, most = next((lo, hi) for at, lo, hi in reversed(BANDS) if n_bytes >= at)
+    least, most = band(n_bytes)
     if not least <= whole <= most:
         return False
-    out = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
-    return out <= CHUNK_SHARE * len(chunks)
+    sizes = [min(CHUNK, n_bytes - k * CHUNK) for k in range(len(chunks))]
+    out = sum(n for n, r in zip(sizes, chunks, strict=True) if not min(CHUNK_BAND[0], band(n)[0]) <= r <= CHUNK_BAND[1])
+    return out <= CHUNK_SHARE * sum(sizes)
 
 
 def duplicate_lines(raw: bytes) -> int:

@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import string
+from pydoc_data.topics import topics
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm import words as W
-from rillflow.llm.compression_rules import QualityRules, duplicate_lines, in_bands, repeated_words
+from rillflow.llm.compression_rules import QualityRules, duplicate_lines, in_bands, ratios, repeated_words
 from rillflow.llm.html_extraction import HtmlExtraction, main_text, passages
 from rillflow.llm.language_id import LanguageId, Scorer, learn
 from rillflow.llm.quality_classifier import QualityClassifier, fit
@@ -206,6 +209,21 @@ def test_compression_bands(spark, odd, empty):
     assert duplicate_lines(b"a\r\na\r\nb") == 1 and repeated_words(np.zeros(4, np.uint64)) == 0
 
 
+def test_random_text_is_out_of_bands_and_prose_is_in():
+    rnd, packer = random.Random(4), zstandard.ZstdCompressor(level=3)
+    alnum = string.ascii_letters + string.digits
+    judged = lambda raw: in_bands(len(raw), *ratios(raw, packer))
+    for n in (500, 599, 800, 1023, 1400, 2047, 4095, 4096, 7000, 16_000, 60_000, 100_000):
+        for letters, least, most in ((alnum + "+/", 8, 8), (alnum + "+/", 30, 60), (alnum, 8, 8), (alnum, 4, 12)):
+            text = " ".join("".join(rnd.choices(letters, k=rnd.randint(least, most))) for _ in range(n // (least + 1) + 1))
+            assert not judged(text[:n].encode()), (n, least, most)
+    prose = " ".join(" ".join(topics[k].split()) for k in ("exceptions", "execmodel", "objects")).encode()
+    for n in (500, 700, 1023, 1500, 2048, 4096, 6000, 16_000, len(prose)):
+        assert all(judged(prose[a : a + n]) for a in range(0, len(prose) - n + 1, n)), n
+    noise = "".join(rnd.choices(alnum + "+/", k=4096 + 1500)).encode()
+    assert len(ratios(noise, packer)[1]) == 2 and not in_bands(6000, 2.0, [1.34, 2.0]) and in_bands(6000, 2.0, [2.0, 1.34])
+
+
 # Secrets
 
 
