@@ -1,5 +1,6 @@
 """Operators on single documents: known answers, brute force, and odd tables."""
 
+import base64
 import hashlib
 import random
 import re
@@ -247,6 +248,24 @@ def test_automata_learn_a_format():
     assert formats({"assign": good[:5]}, {}).automata == {}
 
 
+def test_long_credentials_are_learned_whole(spark):
+    rnd = random.Random(5)
+    make = lambda n: base64.b64encode(rnd.randbytes(n)).decode()
+    good = [make(64) for _ in range(1000)]  # 88 characters, the last two "=="
+    learned = formats({"assign": good}, {"a": 1000, "0": 10})
+    assert sum(learned.match(make(64)) == "assign" for _ in range(200)) >= 190
+    assert learned.match("internationalisation-of-2-words") is None and learned.match("x=" * 44 + "1") is None
+    mixed = formats({"assign": good[:300] + [make(64)[:30] for _ in range(300)]}, {"a": 1000, "0": 10})
+    assert sum(mixed.match(make(64)) == "assign" for _ in range(200)) >= 190
+    keys = [make(298) for _ in range(120)]  # 400 characters
+    rows = [(i, f"a token = {k} here") for i, k in enumerate(keys[:100])] + [(100 + i, f"a loose {k} here") for i, k in enumerate(keys[100:])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scan = SecretScan()
+    # The limit is the second lowest of 50 held-out scores.
+    found = scan.scan(df, scan.learn(df.where("doc_id < 100"))).where("doc_id >= 100 and size(spans) = 1").collect()
+    assert len(found) >= 16 and all(r.spans[0].end - r.spans[0].start == 400 for r in found)
+
+
 def test_secret_scan_and_redaction(spark, odd, empty):
     rnd = random.Random(2)
     make = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
