@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 from .runtime import prepare, texts_of
 
 ORDER = 4
-#: Bytes of text that a language is learned from, and all languages together, at most (about); longer texts are not learned from.
-LEARN_BYTES, LEARN_TOTAL, LEARN_LONGEST = 1 << 20, 1 << 25, 1 << 17
+#: Bytes of text that a language is learned from, and all languages together, at most (about).
+LEARN_BYTES, LEARN_TOTAL = 1 << 20, 1 << 25
+#: Longer texts (bytes) are cut into spans of so many characters, which are chosen one by one.
+LEARN_LONGEST, LEARN_SPAN = 1 << 17, 1 << 14
 #: Bytes that are scored at a time.
 PIECE = 1 << 17
 _START = b"\n" * ORDER
@@ -164,8 +166,8 @@ class Scorer:
 class LanguageId:
     """Learns languages from labelled texts and predicts the language of whole texts.
 
-    ``learn`` takes rows with a text and a language; a language is learned from about ``LEARN_BYTES`` of text,
-    chosen by a hash of the text. ``predict`` gives a row per row: id, further columns named in ``keep``,
+    ``learn`` takes rows with a text and a language; a language is learned from about ``LEARN_BYTES`` of its
+    different texts, chosen by a hash of the text, and of spans of long ones; copies count once. ``predict`` gives a row per row: id, further columns named in ``keep``,
     ``lang_pred`` and ``score``: the best language's share of exp(-code length / sqrt(bytes)). A text that is null or has no
     letter is ``und`` with score 0, and so is every text if nothing was learned. Ties go to the first language by
     name. Repeated rows are alike; other columns are ignored.
@@ -173,13 +175,21 @@ class LanguageId:
 
     def learn(self, labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
         rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
-        rows = rows.withColumn("bytes", F.octet_length("text")).where(f"bytes between 1 and {LEARN_LONGEST}")
-        totals = {r["lang"]: r["bytes"] for r in rows.groupBy("lang").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(LEARN_TOTAL >> 12).collect()}
+        rows = rows.withColumn("bytes", F.octet_length("text")).where("bytes > 0").withColumn("hash", F.xxhash64("text"))
+        different = rows.groupBy("lang", "hash").agg(F.max("bytes").alias("bytes"))
+        totals = {r["lang"]: r["bytes"] for r in different.groupBy("lang").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(LEARN_TOTAL >> 12).collect()}
         if not totals:
             return learn({})
         most = min(LEARN_BYTES, LEARN_TOTAL // len(totals))
         limit = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(int(_SIEVE * min(1.0, most / v))))])
-        chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(_SIEVE)) < F.try_element_at(limit, F.col("lang"))).select("lang", "text").orderBy("lang", "text").toArrow()
+        rows = rows.withColumn("limit", F.try_element_at(limit, F.col("lang"))).where("limit is not null")
+        spans = F.sequence(F.lit(0), F.ceil(F.char_length("text") / LEARN_SPAN).cast("int") - 1)
+        spans = F.filter(spans, lambda k: F.pmod(F.xxhash64("hash", k), F.lit(_SIEVE)) < F.col("limit"))
+        whole = F.when(F.pmod("hash", F.lit(_SIEVE)) < F.col("limit"), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        rows = rows.withColumn("spans", F.when(F.col("bytes") <= LEARN_LONGEST, whole).otherwise(spans)).where("size(spans) > 0")
+        pieces = F.transform("spans", lambda k: F.when(k < 0, F.col("text")).otherwise(F.substring("text", k * LEARN_SPAN + 1, F.lit(LEARN_SPAN))))
+        one = rows.select("lang", "hash", pieces.alias("pieces")).groupBy("lang", "hash").agg(F.first("pieces").alias("pieces"))
+        chosen = one.select("lang", F.explode("pieces").alias("text")).orderBy("lang", "text").toArrow()
         samples: dict[str, list[bytes]] = {}
         for name, value in zip(chosen.column("lang").to_pylist(), chosen.column("text").to_pylist(), strict=True):
             samples.setdefault(name, []).append(value.encode())

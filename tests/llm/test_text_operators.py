@@ -128,6 +128,26 @@ def test_language_id(spark, odd, empty):
     assert {r.lang_pred for r in LanguageId().predict(odd, none).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_and_beside_copies_are_learned(spark, monkeypatch):
+    from rillflow.llm import language_id
+
+    samples = {}
+    monkeypatch.setattr(language_id, "learn", lambda s: samples.update(s) or learn({k: [x[:2000] for x in v[:3]] for k, v in s.items()}))
+    rnd = random.Random(6)
+    make = lambda letters, n: " ".join("".join(rnd.choices(letters, k=5)) for _ in range(n // 6))
+    copied, long = make("abcdefg", 60_000), make("opqrstué", 3 << 20)
+    others = [make("abcdefg", 30_000) for _ in range(40)]
+    rows = [(copied, "xx")] * 400 + [(t, "xx") for t in others] + [(long, "yy"), (make("hijkl", 200_000), "zz")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    model = LanguageId().learn(df)
+    size = {k: sum(map(len, v)) for k, v in samples.items()}
+    assert set(size) == {"xx", "yy", "zz"} and samples["xx"].count(copied.encode()) <= 1
+    assert size["xx"] > 600_000 and 600_000 < size["yy"] < 1_500_000 and size["zz"] > 190_000
+    assert all(v.decode() in long for v in samples["yy"]) and len(set(samples["yy"])) == len(samples["yy"])
+    probe = spark.createDataFrame([(1, make("hijkl", 300)), (2, make("opqrstué", 300)), (3, make("abcdefg", 300))], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in LanguageId().predict(probe, model).collect()} == {1: "zz", 2: "yy", 3: "xx"}
+
+
 # HTML
 
 
