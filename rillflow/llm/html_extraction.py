@@ -7,7 +7,8 @@ to nothing it has ended, and the lines between those points are its text. A pass
 characters, unless none on the page does. Elements that mark an article make their lines heavier
 (``MARK_WEIGHT``), and each of them is a region with a mass, what its passages weigh. Where the marked regions
 together weigh at least what the unmarked lines do, the text is all that lies in the heaviest region and in those
-marked like it; else the marks are no guide, and the page counts as unmarked.
+marked like it; else the marks are no guide, and the page counts as unmarked. The article of an unmarked page is all from
+its first passage to the end of its last, links too, and the paragraphs before and after that stand beside one in it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from pyspark.sql import types as T
 from .runtime import prepare
 
 WINDOW, SURGE = 3, 80
-#: Passages of an unmarked page that weigh less than this share of its heaviest are not its article.
-LEAST_SHARE = 0.25
 #: What a character weighs by how surely its line is marked as article: not, by class or id, as main, as article.
 MARK_WEIGHT = (1, 4, 6, 8)
 
@@ -52,10 +51,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "out", "heading_only", "article", "link", "regions")
+    __slots__ = ("tag", "out", "heading_only", "article", "link", "regions", "place", "beside")
 
-    def __init__(self, tag: str, out: bool, heading_only: bool, article: int, link: bool, regions: tuple):
-        self.tag, self.out, self.heading_only, self.article, self.link, self.regions = tag, out, heading_only, article, link, regions
+    def __init__(self, tag: str, out: bool, heading_only: bool, article: int, link: bool, regions: tuple, place: int, beside: int | None):
+        self.tag, self.out, self.heading_only, self.article, self.link, self.regions, self.place, self.beside = tag, out, heading_only, article, link, regions, place, beside
 
 
 def _open(tag: str, attributes: str, up: _Element, at: int) -> _Element:
@@ -88,16 +87,20 @@ def _open(tag: str, attributes: str, up: _Element, at: int) -> _Element:
     elif tag == "main":
         article = max(article, 2)
     regions = (*up.regions, (article, at)) if article > up.article else up.regions
-    return _Element(tag, out, heading_only, article, up.link or tag == "a", regions)
+    beside = up.place if tag == "p" else up.beside if tag in INLINE else None
+    return _Element(tag, out, heading_only, article, up.link or tag == "a", regions, up.place if tag in INLINE else at, beside)
 
 
 class _Lines:
-    """Collects (text, weight, regions) lines; regions: (mark, place on the page) of the marked elements around it."""
+    """Collects (text, weight, regions, beside) lines.
+
+    regions: (mark, place on the page) of the marked elements around it; beside: the place of what holds its paragraph.
+    """
 
     def __init__(self):
-        self.lines: list[tuple[str, int, tuple]] = []
+        self.lines: list[tuple[str, int, tuple, int | None]] = []
         self.parts: list[str] = []
-        self.weight, self.regions = 0, ()
+        self.weight, self.regions, self.beside = 0, (), None
 
     def add(self, raw: str, on: _Element, heading: bool) -> None:
         if on.out or (on.heading_only and not (heading and on.article)):
@@ -107,18 +110,19 @@ class _Lines:
         if not on.link:
             self.weight += len(text.strip())
         self.regions = max(self.regions, on.regions, key=lambda r: r[-1][0] if r else 0)
+        self.beside = on.beside if self.beside is None else self.beside
 
     def end(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.weight, self.regions))
-            self.parts, self.weight, self.regions = [], 0, ()
+                self.lines.append((text, self.weight, self.regions, self.beside))
+            self.parts, self.weight, self.regions, self.beside = [], 0, (), None
 
 
-def lines_of(page: str) -> list[tuple[str, int, tuple]]:
+def lines_of(page: str) -> list[tuple[str, int, tuple, int | None]]:
     """The page's lines without those that markup rules out."""
-    out, root = _Lines(), _Element("", False, False, 0, False, ())
+    out, root = _Lines(), _Element("", False, False, 0, False, (), -1, None)
     stack = [root]
     at, n = 0, len(page)
     headings = 0
@@ -190,12 +194,12 @@ def passages(weights: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
-def chosen_mark(lines: list[tuple[str, int, tuple]]) -> int:
+def chosen_mark(lines: list[tuple[str, int, tuple, int | None]]) -> int:
     """The mark of the heaviest marked region; 0 if the page has none or its unmarked lines weigh more than all of them."""
     own: dict[tuple, list[int]] = {}
     last: dict[tuple, int] = {}
-    linked = not any(r and 2 * w >= len(t) for t, w, r in lines)  # links count where nothing else is marked
-    for k, (t, w, r) in enumerate(lines):
+    linked = not any(r and 2 * w >= len(t) for t, w, r, _ in lines)  # links count where nothing else is marked
+    for k, (t, w, r, _) in enumerate(lines):
         region = r[-1] if r else (0, 0)
         weights = own.setdefault(region, [])
         weights += [0] * min(WINDOW, k - last.get(region, k - 1) - 1)  # the lines of others between: as many as end a passage
@@ -216,12 +220,16 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page) if page else []
     marked = chosen_mark(lines)
     if marked:
-        return " ".join(t for t, _, regions in lines if any(mark == marked for mark, _ in regions))
-    weights = [w if 2 * w >= len(t) else 0 for t, w, _ in lines]
+        return " ".join(t for t, _, regions, _ in lines if any(mark == marked for mark, _ in regions))
+    weights = [w if 2 * w >= len(t) else 0 for t, w, *_ in lines]
     found = passages(weights, SURGE) or passages(weights, 1)
-    mass = [sum(weights[a:b]) for a, b in found]
-    keep = [p for p, m in zip(found, mass, strict=True) if m >= LEAST_SHARE * max(mass)]
-    return " ".join(lines[k][0] for a, b in keep for k in range(a, b) if weights[k])
+    if not found:
+        return ""
+    first, last = found[0][0], found[-1][1]
+    beside = {lines[k][3] for k in range(first, last) if weights[k]} - {None}
+    more = [k for k, line in enumerate(lines) if weights[k] and line[3] in beside]
+    first, last = min([first, *more]), max([last - 1, *more]) + 1
+    return " ".join(t for t, *_ in lines[first:last])
 
 
 class HtmlExtraction:

@@ -178,6 +178,15 @@ def test_html_marks_weigh_by_their_text():
     assert main_text(f"<article>{text}</article><article>{text}</article>") == f"{want} {want}"
 
 
+def test_html_without_marks_keeps_what_follows_a_link_list():
+    long = "A sentence of the article that goes on for a while. " * 40
+    paragraphs = lambda n: "".join(f"<p>{long}</p>" for _ in range(n))
+    links = "<ul>" + "".join(f"<li><a href=r>Reference {k}</a></li>" for k in range(4)) + "</ul>"
+    page = f"<div><a href=a>Home</a> <a href=b>About</a></div><div><p>In short.</p>{links}{paragraphs(5)}{links}{paragraphs(1)}{links}<p>The end.</p></div><div>Contact us</div><div><a href=c>More</a></div>"
+    listed, text = " ".join(f"Reference {k}" for k in range(4)), long.strip()
+    assert main_text(page) == " ".join(["In short.", listed, *[text] * 5, listed, text, listed, "The end."])
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- open", "<script>x", "a < b", "<<<>>>", "<p " + "a='" * 50, "<div>" * 3000 + "x", "&#xZZ; &bogus; &amp", "</p></div>"])
 def test_html_never_fails(page):
     assert isinstance(main_text(page), str)
