@@ -18,7 +18,7 @@ from rillflow.llm.compression_rules import QualityRules, duplicate_lines, in_ban
 from rillflow.llm.html_extraction import HtmlExtraction, main_text, passages
 from rillflow.llm.language_id import LanguageId, Scorer, learn
 from rillflow.llm.quality_classifier import QualityClassifier, fit
-from rillflow.llm.secrets import SecretScan, base_spans, formats, infer
+from rillflow.llm.secrets import SecretScan, all_spans, base_spans, formats, infer
 from rillflow.llm.toxicity import ToxicityChain, categories_of, fit_chain
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, kept string, n bigint"
@@ -295,6 +295,25 @@ def test_long_credentials_are_learned_whole(spark):
     assert len(found) >= 16 and all(r.spans[0].end - r.spans[0].start == 400 for r in found)
 
 
+def test_likelihood_alone_rules_out_ordinary_tokens():
+    rnd = random.Random(7)
+    make = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    words = [make(string.ascii_lowercase, rnd.randrange(8, 20)) for _ in range(2000)] + [make(string.digits, 10) for _ in range(200)]
+    words += [w.capitalize() for w in words[:200]] + [w.upper() for w in words[200:300]] + ["".join(w[:6].capitalize() for w in words[i : i + 3]) for i in range(100)]
+    ordinary = {}
+    for w in words:
+        symbols = "".join("0" if c.isdigit() else "a" if c.islower() else "A" for c in w)
+        for pair in zip("^" + symbols, symbols):
+            ordinary["".join(pair)] = ordinary.get("".join(pair), 0) + 1
+    alnum = string.ascii_letters + string.digits
+    learned = formats({"assign": [make(alnum, 24) for _ in range(500)] + [make(alnum, 12) for _ in range(500)]}, ordinary)
+    for letters, n in ((alnum, 24), (string.ascii_letters, 24), (alnum, 12)):
+        found = sum(bool(all_spans(t, t.encode(), learned)[1]) for t in (f"a {make(letters, n)} b" for _ in range(200)))
+        assert found >= 150, (len(letters), n, found)
+    assert learned.least == 12 and sum(bool(learned.match(w)) for w in words) <= 10
+    assert not any(map(learned.match, ["internationalisation", "1234567890", "ACCOMMODATION", "Accommodation"]))
+
+
 def test_secret_scan_and_redaction(spark, odd, empty):
     rnd = random.Random(2)
     make = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
