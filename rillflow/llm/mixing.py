@@ -1,15 +1,16 @@
 """Mixing sources to target weights by systematic sampling. DataFrame functions only.
 
-A source's documents stand in one fixed order (by size class, part, size and id); each expects the same number
+A source's documents stand in one fixed order (by size and id); each expects the same number
 of copies e = target / size of the source. With one offset u per source, the document at place r is
 taken floor(u + r * e) - floor(u + (r - 1) * e) times: once for each integer that the running sum of
 expected copies crosses. As the order is by size, every stretch of sizes is sampled at the same rate.
 The offset is random: of ``OFFSETS`` even steps from a random start, the one that brings the source's words
 nearest to its target, which matters for sources of few documents.
 
-No source is sorted as a whole. Rows are dealt into groups (source, size class, part), where a source
-has more parts the more rows it has; places come from the group's own sort plus a running sum over the
-counts of the groups before it. A source that holds a third of all rows is thus many groups.
+No source is sorted as a whole. Rows are dealt into groups (source, size class, part), where the parts of a
+size class are ranges of size and id between rows chosen by a hash, more of them the more rows a source has;
+places come from the group's own sort plus a running sum over the counts of the groups before it, so the order
+is the same however many parts there are. A source that holds a third of all rows is thus many groups.
 """
 
 from __future__ import annotations
@@ -99,12 +100,19 @@ class SourceMix:
         size, key, cls, part = (_MINE + c for c in ("size", "key", "class", "part"))
         sources = narrow.groupBy(key).agg(F.first("name").alias("name"), F.count("*").alias("n"), F.sum(size).alias("size"))
         sources = targets(sources, self.weights, self.share, self.most)
-        parts = F.pow(2.0, F.ceil(F.log2(F.greatest(F.col("n") / PART_ROWS, F.lit(1.0))))).cast("long")
         each = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(F.lit(0.0))
-        sources = stash.put("sources", sources.select(key, F.col("size").alias(_MINE + "source_size"), F.col("target").alias(_MINE + "target"), parts.alias("parts"), each.alias("each"), _start(F.col(key), self.seed).alias("start")))
+        sources = stash.put("sources", sources.select(key, F.col("size").alias(_MINE + "source_size"), F.col("target").alias(_MINE + "target"), (F.col("n") > PART_ROWS).alias("many"), each.alias("each"), _start(F.col(key), self.seed).alias("start")))
+
+        def at(name: str) -> Column:
+            return F.struct(F.col(size).alias("size"), F.col(name).alias("id"))
+
+        bound = narrow.join(sources.where("many").select(key), key, "left_semi").where(F.pmod(F.xxhash64("id", size), F.lit(PART_ROWS)) == 0)
+        bounds = stash.put("bounds", bound.groupBy(key, cls).agg(F.sort_array(F.collect_set(at("id"))).alias("bounds")))
 
         def dealt(df: DataFrame, name: str) -> DataFrame:
-            return df.join(sources, key).withColumn(part, F.pmod(F.xxhash64(name), F.col("parts")))
+            own = df.withColumn(_MINE + "at", at(name)).join(sources, key).join(F.broadcast(bounds), [key, cls], "left")
+            ahead = F.size(F.filter("bounds", lambda b: b < F.col(_MINE + "at")))
+            return own.withColumn(part, F.when(F.col("bounds").isNull(), 0).otherwise(ahead)).drop("bounds", _MINE + "at")
 
         def placed(df: DataFrame, name: str) -> DataFrame:
             own = Window.partitionBy(key, cls, part).orderBy(size, name)

@@ -248,6 +248,22 @@ def test_mixing(spark, seed, monkeypatch):
     assert {r["__mix_copies"] for r in SourceMix().weigh(df.withColumn("text", F.lit(None).cast("string"))).collect()} == {0}
 
 
+def test_mixing_takes_the_same_rows_however_many_parts(spark, monkeypatch):
+    from rillflow.llm import mixing
+
+    rnd = random.Random(8)
+    rows = [(i, "w " * rnd.choice([3, 5, 5, 6, 7, 20]), rnd.choice(["a", "a", "a", "b", None])) for i in range(1500)]
+    df = spark.createDataFrame([*rows, (None, "w w w w w", "a")], "doc_id bigint, text string, source string")
+    taken = lambda: sorted((str(r.doc_id), r["__mix_copies"]) for r in SourceMix().weigh(df).collect())
+    one = taken()
+    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    assert taken() == one and len(one) == 1501
+    names = df.withColumn("doc_id", F.format_string("n%s", "doc_id"))
+    many = SourceMix().weigh(names).collect()
+    monkeypatch.setattr(mixing, "PART_ROWS", 10**6)
+    assert sorted(map(str, many)) == sorted(map(str, SourceMix().weigh(names).collect()))
+
+
 # URL filters
 
 
