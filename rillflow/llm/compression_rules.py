@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import prepare, texts_of
+from .runtime import pieces, texts_of
 from .words import PLAIN, _groups, windows
 
 LEVEL = 3
@@ -88,12 +88,11 @@ class QualityRules:
     """
 
     def judge(self, docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-        prepare(docs.sparkSession)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
         def run(batches):
             packer = zstandard.ZstdCompressor(level=LEVEL)
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = texts_of(batch, "text")
                 rows, kept, failed, whole, chunks = [], [], [], [], []
                 at = 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import prepare, texts_of
+from .runtime import pieces, texts_of
 from .words import ALNUM_FOLDED, shingles, windows
 
 #: Bytes of benchmark text whose seeds are sent to the executors at a time; a larger benchmark goes in blocks.
@@ -141,7 +141,6 @@ class Decontamination:
 
     def matches(self, docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
         spark = docs.sparkSession
-        prepare(spark)
         own = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
         fields = [(id_, docs.schema[id_].dataType), (item, benchmark.schema[item].dataType), ("n_words", T.LongType()), ("covered", T.LongType()), ("coverage", T.DoubleType()), ("n_tiles", T.LongType()), ("longest", T.LongType()), ("contaminated", T.BooleanType())]
         schema = T.StructType([T.StructField(n, t) for n, t in fields])
@@ -155,7 +154,6 @@ class Decontamination:
 
     def clean(self, docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
         spark = docs.sparkSession
-        prepare(spark)
         for seeds, _ in self.blocks(benchmark, item, item_text):
             docs = docs.mapInArrow(_cleaner(text, spark.sparkContext.broadcast(seeds), self.min_match, self.coverage), docs.schema)
         return docs
@@ -168,7 +166,7 @@ def texts_of_table(table: pa.Table) -> list[bytes]:
 def _matcher(held, size: int, coverage: float, names: list[str]):
     def run(batches):
         seeds, ids = held.value
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(k, f) for k, found in enumerate(_search(seeds, texts_of(batch, "text"), size, coverage)) for f in found]
             lengths = [len(seeds["items"][f.item]) for _, f in rows]
             columns = [
@@ -188,7 +186,7 @@ def _matcher(held, size: int, coverage: float, names: list[str]):
 
 def _cleaner(text: str, held, size: int, coverage: float):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keep = [not found for found in _search(held.value, texts_of(batch, text), size, coverage)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import prepare
+from .runtime import pieces
 
 WINDOW, SURGE = 3, 80
 #: What a character weighs by how surely its line is marked as article: not, by class or id, as main, as article.
@@ -242,10 +242,9 @@ class HtmlExtraction:
     """
 
     def extract(self, pages: DataFrame, id_: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-        prepare(pages.sparkSession)
 
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = [main_text(p) for p in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 

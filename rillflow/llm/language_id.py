@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import prepare, texts_of
+from .runtime import pieces, texts_of
 
 ORDER = 4
 #: Bytes of text that a language is learned from, and all languages together, at most (about).
@@ -197,14 +197,13 @@ class LanguageId:
 
     def predict(self, docs: DataFrame, model: dict, id_: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         spark = docs.sparkSession
-        prepare(spark)
         held = spark.sparkContext.broadcast(model)
         value = F.col(text).cast("string")
         rows = docs.select(value.alias("text"), F.coalesce(value.rlike(r"\p{L}"), F.lit(False)).alias("letter"), *[F.col(c) for c in (id_, *keep)])
 
         def run(batches):
             scorer = Scorer(held.value)
-            for batch in batches:
+            for batch in pieces(batches):
                 texts, letter = texts_of(batch, "text"), batch.column(1).to_pylist()
                 known = [bool(ok and scorer.languages) for ok in letter]
                 lengths = scorer.lengths([t if ok else b"" for t, ok in zip(texts, known, strict=True)])

@@ -15,6 +15,10 @@ as those of an original are among its near copies), the one it shares most with.
 All pairs of different classes that share enough prefix n-grams are verified then, except pairs under the same
 leader h that need not be: x & y is at most min(|x & h|, |y & h|) within h, so unless that alone suffices, they must
 share n-grams outside h, and these are joined by themselves. So no link is lost, and classes are exact.
+
+Texts are read four times: for set names and frequent n-grams, for prefixes (one text of each set), and for the whole
+sets of star pairs and of the others. Bit filters pick the texts and the n-grams that more than one set has in its prefix;
+what a filter lets pass in error costs work but changes nothing.
 """
 
 from __future__ import annotations
@@ -22,14 +26,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import filters
+from .filters import BitFilter
 from .graph import components, relabel
-from .runtime import Stash, prepare, texts_of
+from .runtime import Stash, fresh, pieces, texts_of
 from .words import PLAIN_FOLDED, distinct, shingles
 
 #: n-grams of one task that are counted at a time, and how many of its most frequent ones a task reports.
@@ -40,10 +47,12 @@ FREQUENT = 400_000
 MATCH_PARTS = (32, 16)
 #: Other holders that an n-gram outside the table is taken to have, for the estimates.
 BACKGROUND = 0.15
-#: Bits of the fixed-size filters that keep rows without partners out of shuffles (8 MB each).
-FILTER_BITS = 26
 #: Percentage of similarity from which a leader is close enough to save its star pairs.
 CLOSE = 40
+#: A value that more than 1 in HOT rows have (and LEAST_HOT rows) is hot: there are at most HOT such values, so a table of them is broadcast.
+HOT, LEAST_HOT = 10_000, 64
+#: Members from which a class is kept from meeting itself n-gram by n-gram.
+LARGE = 8
 
 
 def _sets(batch: pa.RecordBatch, text: str, size: int) -> Iterator[np.ndarray]:
@@ -55,10 +64,32 @@ def _key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _counter(text: str, size: int):
+def _packed(grams: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, in order: for comparing two sets, as good as eight."""
+    return grams.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = raw.reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all hashes, how many in each row) of a column of packed hashes."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2] if len(column) else None
+    raw = np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    return _unpacked(raw), np.diff(at) // 6
+
+
+def _first_pass(size: int):
+    """A row (id, mark, key, n) for each document, and rows (gram, times) of n-grams that different sets of the task share."""
+
     def run(batches):
         seen, held, rows = set(), [], 0
         values, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        names, id_type = ["id", "mark", "key", "n", "gram", "times"], None
 
         def fold():
             nonlocal values, counts, held, rows
@@ -74,26 +105,32 @@ def _counter(text: str, size: int):
                 values, counts = values[top], counts[top]
             held, rows = [], 0
 
-        for batch in batches:
-            for grams in _sets(batch, text, size):
-                if len(grams) and (key := _key(grams)) not in seen:
-                    seen.add(key)
+        for batch in pieces(batches):
+            keys, ns = [], []
+            for grams in _sets(batch, "text", size):
+                ns.append(len(grams))
+                keys.append(_key(grams) if len(grams) else None)
+                if len(grams) and keys[-1] not in seen:
+                    seen.add(keys[-1])
                     held.append(grams)
                     rows += len(grams)
                     if rows > COUNTED:
                         fold()
+            id_type, none = batch.column(0).type, pa.nulls(len(ns), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), none, none], names)
         if held:
             fold()
-        top = np.argsort(-counts, kind="stable")[:REPORTED]
-        yield pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(counts[top])], ["gram", "n"])
+        if len(values):
+            top = np.argsort(-counts, kind="stable")[:REPORTED]
+            none = pa.nulls(len(top), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), id_type), none, none, none, pa.array(values[top].view(np.int64)), pa.array(counts[top])], names)
 
     return run
 
 
-def frequent_grams(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of n-grams found often; at most ``FREQUENT``, from all documents."""
-    found = docs.select(text).mapInArrow(_counter(text, size), "gram long, n long")
-    top = found.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+def frequent_grams(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of n-grams found often, ``FREQUENT`` at most."""
+    top = found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
     grams = top.column("gram").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(grams)
     return grams[order], top.column("n").to_numpy().astype(np.int64)[order]
@@ -123,89 +160,64 @@ def _prefix(grams: np.ndarray, threshold: int, often: np.ndarray, counts: np.nda
     return order[: base + best - 1], best, float(found.sum()) / n
 
 
-def _indexer(id_: str, text: str, size: int, threshold: int, often):
+def _indexer(size: int, threshold: int, often, wanted):
+    """(key, n, match, weight, prefix) of the wanted texts; the prefix is packed, its first n-grams are the rarest."""
+
     def run(batches):
         grams_often, counts = often.value
         seen = set()
-        for batch in batches:
-            keys, ns, matches, weights, prefixes = [], [], [], [], []
-            for grams in _sets(batch, text, size):
-                ns.append(len(grams))
-                if not len(grams):
-                    keys.append(None), matches.append(None), weights.append(None), prefixes.append(None)
-                    continue
-                keys.append(key := _key(grams))
-                if key in seen:
-                    matches.append(None), weights.append(None), prefixes.append(None)
-                    continue
-                seen.add(key)
-                prefix, match, weight = _prefix(grams, threshold, grams_often, counts)
-                matches.append(match), weights.append(weight), prefixes.append(prefix.view(np.int64))
-            ids = batch.column(batch.schema.get_field_index(id_))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(matches, pa.int32()), pa.array(weights, pa.float64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "n", "match", "weight", "prefix"])
+        for batch in pieces(_wanted(batches, wanted.value)):
+            out = []
+            for grams in _sets(batch, "text", size):
+                if len(grams) and (key := _key(grams)) not in seen:
+                    seen.add(key)
+                    prefix, match, weight = _prefix(grams, threshold, grams_often, counts)
+                    out.append((key, len(grams), match, weight, _packed(prefix)))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "n", "match", "weight", "prefix"])
 
     return run
 
 
-#: Second place of a value in a filter: its upper half, spread anew.
-_SPREAD = 0x5E3779B1
+def _wanted(batches, marks: BitFilter):
+    """Of batches of (mark, text), the rows whose mark passes."""
+    for batch in batches:
+        ok = marks.passes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        if ok.any():
+            yield batch.filter(pa.array(ok))
 
 
-def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits, two of them set for the upper half of each (hashed) long of a column; collected, as its size is fixed."""
-    high = df.select(F.shiftrightunsigned(column, 32).alias("high"))
-    both = high.selectExpr(f"explode(array(shiftright(high, {32 - FILTER_BITS}), shiftright((high * {_SPREAD}) & {0xFFFFFFFF}L, {32 - FILTER_BITS}))) AS at")
-    bits = both.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, cast(at & 63 AS int)) AS b")
-    table = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[table.column("w").to_numpy().astype(np.int64)] = table.column("b").to_numpy()
-    return out.view(np.uint64)
+def _prefix_values(batch: pa.RecordBatch) -> np.ndarray:
+    return _flat(batch.column(0))[0]
 
 
-def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    high = values.view(np.uint64) >> np.uint64(32)
-    ok = np.ones(len(high), bool)
-    for at in (high >> np.uint64(32 - FILTER_BITS), ((high * np.uint64(_SPREAD)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - FILTER_BITS)):
-        ok &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return ok
+def _thinner(bits, threshold: int):
+    """Of each prefix, the n-grams that pass the filter, and how many of these are in the prefix that the smaller of two documents has."""
 
-
-def _shared_rows(bits, threshold: int):
     def run(batches):
-        for batch in batches:
-            prefix = batch.column(4)
-            flat = prefix.flatten().to_numpy()
-            lengths = prefix.value_lengths().fill_null(0).to_numpy()
-            ok = passes(bits.value, flat)
-            row = np.repeat(np.arange(batch.num_rows), lengths)[ok]
-            key, n, match, weight = (batch.column(k).to_numpy(zero_copy_only=False).astype(t) for k, t in enumerate((np.int64, np.int64, np.int32, np.float64)))
+        for batch in pieces(batches):
+            flat, lengths = _flat(batch.column(4))
+            ok = bits.value.passes(flat)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            n, match = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             small = n + (-2 * threshold * n) // (100 + threshold) + match
-            early = place[ok] < small[row]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *(pa.array(v[row]) for v in (key, n, match, weight)), pa.array(early)], ["gram", "key", "n", "match", "weight", "early"])
+            early = np.bincount(row[ok], place[ok] < small[row[ok]], batch.num_rows).astype(np.int32)
+            held = np.bincount(row[ok], minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32)), pa.array((flat[ok] >> np.uint64(16)).view(np.int64)))
+            rows = pa.RecordBatch.from_arrays([*batch.columns[:4], lists, pa.array(early)], ["key", "n", "match", "weight", "grams", "early"])
+            yield rows.filter(pa.array(held > 0))
 
     return run
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    """The upper six bytes of each hash, in order: for comparing two sets, as good as eight."""
-    return grams.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _unpacked(raw) -> np.ndarray:
-    wide = np.zeros((raw.size // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
-
-
-def _set_rows(text: str, size: int, bits):
+def _set_rows(size: int, wanted):
     def run(batches):
         seen = set()
-        for batch in batches:
-            ids = batch.column(1).to_numpy()
+        for batch in pieces(_wanted(batches, wanted.value)):
             keys, sets = [], []
-            for grams, id_ in zip(_sets(batch, text, size), ids, strict=True):
-                if len(grams) and (key := _key(grams)) not in seen and passes(bits.value, np.array([key ^ int(id_)]))[0]:
+            for grams in _sets(batch, "text", size):
+                if len(grams) and (key := _key(grams)) not in seen:
                     seen.add(key)
                     keys.append(key), sets.append(_packed(grams))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "grams"])
@@ -217,28 +229,61 @@ def _linked(threshold: int):
     """(a, b, linked, both, rest) of pairs; rest: what of b is not in a, if the two are close."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             linked, shared, rest = [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
+                x, y = (_unpacked(np.frombuffer(v.as_buffer(), np.uint8)) for v in (x, y))
                 inside = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
                 both = int(inside.sum())
                 either = len(x) + len(y) - both
                 linked.append(100 * both >= threshold * either), shared.append(both)
-                rest.append(y[~inside].view(np.int64) if 100 * both >= CLOSE * either else None)
+                rest.append((y[~inside] >> np.uint64(16)).view(np.int64) if 100 * both >= CLOSE * either else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "linked", "both", "rest"])
 
     return run
 
 
+def hot(counts: DataFrame, n: str, total: int) -> DataFrame:
+    """Of a table with a row for each value and the number of its rows, the hot ones: ``HOT`` at most."""
+    return counts.where(F.col(n) > max(LEAST_HOT, total // HOT))
+
+
+def even_join(rows: DataFrame, table: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row for each value of ``on`` and the number ``n`` of its rows (dropped): hot values by broadcast, the rest by shuffle."""
+    many = hot(table, n, total).drop(n)
+    few = rows.join(F.broadcast(many.select(on)), on, "left_anti").join(table.drop(n), on)
+    return rows.join(F.broadcast(many), on).unionByName(few)
+
+
+def across_classes(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs (columns of x, those of y) of rows that agree on ``on`` and differ in class (``ca``, ``cb``), without any row meeting its own class.
+
+    y's classes are among x's. The classes of a group are numbered; two rows meet at the uppermost bit where the
+    numbers of their classes differ, so a row is repeated for each bit of the largest number.
+    """
+    classes = x.select(*on, F.col("ca").alias("c")).distinct()
+    many = classes.groupBy(*on).agg(F.count("*").alias("k")).where("k > 1")
+    ranked = classes.join(many, on).withColumn("r", F.row_number().over(Window.partitionBy(*on).orderBy("c")) - 1)
+    bits = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("k") - 1)) - 1)))
+    bits = bits.select(*on, "c", "bit", F.expr("(shiftright(r, bit) & 1)").alias("side"), F.expr("shiftright(r, bit + 1)").alias("above"))
+    left = x.join(bits.withColumnRenamed("c", "ca"), [*on, "ca"])
+    right = y.join(bits.withColumnRenamed("c", "cb").withColumn("side", 1 - F.col("side")), [*on, "cb"])
+    return left.join(right, [*on, "bit", "above", "side"])
+
+
+def mark_of(id_: Column, text: Column) -> Column:
+    """A name for a row by its id and text."""
+    return F.xxhash64(id_, text.cast("string"))
+
+
 class NgramJoin:
     """Links documents by n-gram Jaccard similarity.
 
     ``threshold`` is a percentage. ``classes`` gives a row per input row: id, n_shingles, component_id
     (the smallest id that links lead to; ids compare by their own order). Null or wordless texts have
-    empty sets and stay alone, as their own component. Null ids take no part in the minimum.
+    empty sets and stay alone, as their own component. Null ids take no part in the minimum, unless all ids are null.
     Repeated rows and repeated ids are rows of their own; other columns are ignored; an
-    empty table gives no rows.
+    empty table gives no rows. Texts are compared whole, whatever their length; equal similarity at the threshold links.
     """
 
     def __init__(self, size: int = 5, threshold: int = 75):
@@ -249,59 +294,65 @@ class NgramJoin:
         return index.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), "component_id")
 
     def index(self, docs: DataFrame, id_: str, text: str) -> DataFrame:
-        """(id, n, key, comp, component_id) of each row; key names the row's set and comp its class (null if it is empty)."""
+        """(id, mark, n, key, comp, component_id) of each row; mark names the row's id and text, key its set and comp its class (both null if it is empty)."""
         spark = docs.sparkSession
-        prepare(spark)
-        stash = Stash(spark, "ngram-join")
+        stash, sc = Stash(spark, "ngram-join"), spark.sparkContext
         id_type = docs.schema[id_].dataType
-        own = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
-        sc = spark.sparkContext
-        often = sc.broadcast(frequent_grams(own, "text", self.size))
-        schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("match", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-        indexed = stash.put("indexed", own.mapInArrow(_indexer("id", "text", self.size, self.threshold, often), schema))
-        shared = self._shared(indexed, stash, sc)
-        rows = stash.put("rows", indexed.select("id", "key", "n"))
+        own = docs.select(F.col(id_).alias("id"), mark_of(F.col(id_), F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
+        longs = [T.StructField(c, T.LongType()) for c in ("mark", "key", "n", "gram", "times")]
+        first = stash.put("first", own.mapInArrow(_first_pass(self.size), T.StructType([T.StructField("id", id_type), *longs])))
+        rows = first.where("n is not null").select("id", "mark", "key", "n")
+        often = sc.broadcast(frequent_grams(first.where("gram is not null")))
+        low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("low")
+        nodes = rows.where("key is not null").groupBy("key").agg(low, F.max("n").alias("n"), F.count("*").alias("copies"))
+        nodes = stash.put("nodes", nodes.select("key", F.col("low.id").alias("low"), F.col("low.mark").alias("mark"), "n", "copies"))
+        sets, grams, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+
+        texts = own.select("mark", "text")
+        shared = self._shared(texts, nodes.select("mark"), sets, grams, often, stash)
+        labels = stash.put("labels", self._labels(texts, shared, nodes, stash))
+        often.destroy()
+        stash.drop("shared", "stars", "verified-stars", "star-labels", "held", "pairs")
+
+        named = stash.put("named", nodes.select("key", "low", "copies").join(labels, "key", "left"))
+        linked = named.where("comp is not null")
+        lows = linked.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+        alone = named.where("comp is null").select("key", F.col("key").alias("comp"), F.col("low").alias("component_id"), "copies")
+        linked = even_join(linked.select("key", "comp", "copies"), lows, "comp", "members", sets).select("key", "comp", "component_id", "copies")
+        found = stash.put("found", alone.union(linked))
+        stash.drop("nodes", "labels", "named")
+        full = even_join(rows.where("key is not null"), found, "key", "copies", total).select("id", "mark", "n", "key", "comp", "component_id")
+        none = F.lit(None).cast("long")
+        return full.union(rows.where("key is null").select("id", "mark", "n", "key", none.alias("comp"), F.col("id").alias("component_id")))
+
+    def _shared(self, texts: DataFrame, marks: DataFrame, sets: int, grams: int, often, stash: Stash) -> DataFrame:
+        """(key, n, match, weight, grams, early) of each set: the prefix n-grams that more than one set has in its prefix (and few others)."""
+        sc = texts.sparkSession.sparkContext
+        wanted = sc.broadcast(filters.build(marks, filters.longs, sets))
+        indexed = texts.mapInArrow(_indexer(self.size, self.threshold, often, wanted), "key long, n long, match int, weight double, prefix binary")
+        indexed = stash.put("indexed", indexed)
+        wanted.destroy()
+        bits = sc.broadcast(filters.build(indexed.select("prefix"), _prefix_values, grams, 0.5, twice=True))
+        out = stash.put("shared", indexed.mapInArrow(_thinner(bits, self.threshold), "key long, n long, match int, weight double, grams array<long>, early int"))
+        bits.destroy()
         stash.drop("indexed")
-        nodes = stash.put("nodes", rows.where("key is not null").groupBy("key").agg(F.min("id").alias("low")))
-        labels = stash.put("labels", self._labels(own, shared, nodes, stash))
-        stash.drop("shared", "stars", "verified-stars", "star-labels", "ends", "pairs")
-        nodes = nodes.join(labels, "key", "left").select("key", "low", F.coalesce("comp", "key").alias("comp"))
-        lows = nodes.groupBy("comp").agg(F.min("low").alias("component_id"))
-        nodes = nodes.join(lows, "comp").select("key", "comp", "component_id")
-        out = rows.select("id", "n", "key").join(nodes, "key", "left")
-        return out.select("id", "n", "key", "comp", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-
-    def _shared(self, rows: DataFrame, stash: Stash, sc) -> DataFrame:
-        """(gram, key, n, match, weight, early) of prefix n-grams that more than one set has in its prefix.
-
-        The halves of hashes that occur once are most of them; a filter of the others thins the rows out
-        before anything is shuffled by whole n-grams. early: within the prefix of a smaller document.
-        """
-        grams = rows.select(F.explode("prefix").alias("gram")).select(F.shiftright("gram", 32).cast("int").alias("high"))
-        high = grams.groupBy("high").count().where("count > 1").select(F.shiftleft(F.col("high").cast("long"), 32).alias("gram"))
-        bits = sc.broadcast(bit_filter(high, "gram"))
-        some = rows.where("prefix is not null").select("key", "n", "match", "weight", "prefix").mapInArrow(_shared_rows(bits, self.threshold), "gram long, key long, n long, match int, weight double, early boolean")
-        some = stash.put("some", some)
-        multi = some.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("gram")
-        out = stash.put("shared", some.join(multi, "gram", "left_semi").dropDuplicates(["gram", "key"]))
-        stash.drop("some")
         return out
 
-    def _labels(self, docs: DataFrame, shared: DataFrame, lows: DataFrame, stash: Stash) -> DataFrame:
+    def _labels(self, texts: DataFrame, shared: DataFrame, nodes: DataFrame, stash: Stash) -> DataFrame:
         """(key, comp) of all keys that have a link."""
         stars = stash.put("stars", self._stars(shared))
-        stars = stash.put("verified-stars", self._verified(docs, stars, lows))
+        stars = stash.put("verified-stars", self._verified(texts, stars, nodes, stash))
         labels = stash.put("star-labels", components(stars.where("linked"), stash, "stars"))
+        members = labels.groupBy("comp").agg(F.count("*").alias("members"))
+        sized = even_join(labels, members.select("comp", (F.col("members") > LARGE).alias("large"), "members"), "comp", "members", labels.count())
         hubs = stars.where("rest is not null").select(F.col("b").alias("key"), F.col("a").alias("hub"), F.col("both").alias("held"))
-        ends = stash.put("ends", shared.select("key", "n").distinct().join(labels, "key", "left").join(hubs, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
-        held = shared.drop("n", "weight").join(ends, "key")
-        mixed = held.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-        held = stash.put("held", held.join(mixed, "gram", "left_semi"))
-        rest = stars.where("rest is not null").select(F.col("b").alias("key"), F.explode("rest").alias("gram")).join(ends, "key")
+        held = shared.drop("weight").join(sized, "key", "left").join(hubs, "key", "left")
+        held = stash.put("held", held.withColumn("comp", F.coalesce("comp", "key")).withColumn("large", F.coalesce("large", F.lit(False))))
+        stash.drop("shared")
+        rest = stars.where("rest is not null").select(F.col("b").alias("key"), "rest").join(held.select("key", "n", "comp", "hub", "held"), "key")
         pairs = stash.put("pairs", self._crossings(held).union(self._beside_hubs(rest)).distinct())
-        stash.drop("held")
-        links = self._verified(docs, pairs, lows).where("linked")
-        comps = ends.select("key", "comp")
+        links = self._verified(texts, pairs, nodes, stash).where("linked")
+        comps = held.select("key", "comp")
         links = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         more = components(links, stash, "pairs")
         rest_of = more.join(labels, "key", "left_anti")
@@ -313,77 +364,109 @@ class NgramJoin:
     def _enough(self, both: str) -> str:
         return f"{100 + self.threshold} * ({both}) >= {self.threshold} * (n + m)"
 
-    def _stars(self, held: DataFrame) -> DataFrame:
+    def _stars(self, shared: DataFrame) -> DataFrame:
         """For each set at most one leader with which it shares prefix n-grams."""
+        held = shared.select("key", "n", "match", "weight", F.explode("grams").alias("gram"))
         lead = held.groupBy("gram").agg(F.max(F.struct("weight", "key", "n")).alias("lead")).select("gram", F.col("lead.key").alias("a"), F.col("lead.n").alias("m"))
-        near = held.join(lead, "gram").where(f"key <> a and {self._near()}")
+        near = held.drop("weight").join(lead, "gram").where(f"key <> a and {self._near()}")
         best = near.groupBy("key", "a").agg(F.count("*").alias("c"), F.min("match").alias("match")).where("c >= match").groupBy("key").agg(F.max(F.struct("c", "a")).alias("best"))
         return best.select(F.col("best.a").alias("a"), F.col("key").alias("b"))
 
     def _crossings(self, held: DataFrame) -> DataFrame:
-        """Pairs of sets of different classes that share enough prefix n-grams, fit in size and may be similar by what a common leader shows."""
-        x = held.select("gram", F.col("key").alias("a"), "n", F.col("match").alias("match_a"), F.col("comp").alias("ca"), F.col("hub").alias("ha"), F.col("held").alias("oa"))
-        y = held.where("early").select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("match").alias("match_b"), F.col("comp").alias("cb"), F.col("hub").alias("hb"), F.col("held").alias("ob"))
+        """Pairs of sets of different classes that share enough prefix n-grams, fit in size and may be similar by what a common leader shows.
+
+        Rows of large classes meet those of other large classes by ``across_classes``, and rows of small ones directly.
+        """
+        x = held.select(F.explode("grams").alias("gram"), F.col("key").alias("a"), "n", F.col("match").alias("match_a"), F.col("comp").alias("ca"), F.col("hub").alias("ha"), F.col("held").alias("oa"), "large")
+        early = F.explode(F.slice("grams", 1, F.col("early"))).alias("gram")
+        y = held.where("early > 0").select(early, F.col("key").alias("b"), F.col("n").alias("m"), F.col("match").alias("match_b"), F.col("comp").alias("cb"), F.col("hub").alias("hb"), F.col("held").alias("ob"), "large")
         apart = f"(ha is null or hb is null or ha <> hb or {self._enough('least(oa, ob)')})"
-        both = x.join(y, "gram").where(f"(n > m or n = m and a > b) and ca <> cb and {self._near()} and {apart}")
-        both = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.first("match_a"), F.first("match_b")).alias("least"))
+        fits = f"(n > m or n = m and a > b) and ca <> cb and {self._near()} and {apart}"
+        met = y.withColumn("large", F.explode(F.when(F.col("large"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+        light = x.join(met, ["gram", "large"]).where(fits).select("a", "b", "match_a", "match_b")
+        heavy = across_classes(x.where("large").drop("large"), y.where("large").drop("large"), ["gram"]).where(fits).select("a", "b", "match_a", "match_b")
+        both = light.union(heavy).groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.first("match_a"), F.first("match_b")).alias("least"))
         return both.where("c >= least").select("a", "b")
 
     def _beside_hubs(self, rest: DataFrame) -> DataFrame:
         """Pairs of sets of different classes under one leader that share enough n-grams outside it."""
-        x = rest.select("hub", "gram", F.col("key").alias("a"), "n", F.col("comp").alias("ca"), F.col("held").alias("oa"))
-        y = rest.select("hub", "gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("held").alias("ob"))
-        both = x.join(y, ["hub", "gram"]).where(f"(n > m or n = m and a > b) and ca <> cb and {self._near()}")
+        rows = rest.select("hub", F.explode("rest").alias("gram"), "key", "n", "comp", "held")
+        x = rows.select("hub", "gram", F.col("key").alias("a"), "n", F.col("comp").alias("ca"), F.col("held").alias("oa"))
+        y = rows.select("hub", "gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("held").alias("ob"))
+        both = across_classes(x, y, ["hub", "gram"]).where(f"(n > m or n = m and a > b) and {self._near()}")
         both = both.groupBy("a", "b").agg(F.count("*").alias("s"), *[F.first(c).alias(c) for c in ("n", "m", "oa", "ob")])
         return both.where(self._enough("s + least(oa, ob)")).select("a", "b")
 
-    def _verified(self, docs: DataFrame, pairs: DataFrame, lows: DataFrame) -> DataFrame:
-        """What ``_linked`` says of the pairs, from the whole sets; of equal texts, the one with the lowest id is read."""
-        sc = docs.sparkSession.sparkContext
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        own = ends.join(lows, "key").select(F.col("key").bitwiseXOR(F.xxhash64("low")).alias("mark"))
-        bits = sc.broadcast(bit_filter(own, "mark"))
-        sets = docs.select("text", F.xxhash64("id").alias("mark")).mapInArrow(_set_rows("text", self.size, bits), "key long, grams binary")
-        sets = sets.join(ends, "key", "left_semi").dropDuplicates(["key"])
-        with_b = pairs.join(sets.toDF("b", "grams_b"), "b")
-        full = with_b.join(sets.toDF("a", "grams_a"), "a").select("a", "b", "grams_a", "grams_b")
+    def _verified(self, texts: DataFrame, pairs: DataFrame, nodes: DataFrame, stash: Stash) -> DataFrame:
+        """What ``_linked`` says of the pairs, from the whole sets; of equal sets, the text with the lowest id is read.
+
+        The pairs of a hot first end are dealt out, each share with a copy of its set.
+        """
+        sc = texts.sparkSession.sparkContext
+        ends = stash.put("ends", pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "mark"), "key").select("mark"))
+        wanted = sc.broadcast(filters.build(ends, filters.longs, ends.count()))
+        stash.drop("ends")
+        sets = texts.mapInArrow(_set_rows(self.size, wanted), "key long, grams binary").dropDuplicates(["key"])
+        total = pairs.count()
+        shares = hot(pairs.groupBy("a").agg(F.count("*").alias("pairs")), "pairs", total)
+        shares = F.broadcast(shares.select("a", F.ceil(F.col("pairs") / max(LEAST_HOT, total // HOT)).cast("int").alias("shares")))
+        few = pairs.join(shares, "a", "left_anti").join(sets.toDF("b", "grams_b"), "b").join(sets.toDF("a", "grams_a"), "a")
+        many = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share")).join(sets.toDF("b", "grams_b"), "b")
+        dealt = sets.toDF("a", "grams_a").join(shares, "a").select("a", "grams_a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        names = ["a", "b", "grams_a", "grams_b"]
+        full = few.select(names).union(many.join(dealt, ["a", "share"]).select(names))
         return full.mapInArrow(_linked(self.threshold), "a long, b long, linked boolean, both long, rest array<long>")
 
 
-def _keyed(text: str, size: int):
+def _sorter(gone, doubtful):
+    """0 for a mark that surely stays, 1 if it must be looked up, 2 if it surely goes."""
+
+    @F.pandas_udf("int")
+    def sort(marks: pd.Series) -> pd.Series:
+        values = marks.to_numpy().astype(np.int64)
+        out, other = gone.value.passes(values), doubtful.value.passes(values)
+        return pd.Series(np.where(out, np.where(other, 1, 2), 0).astype(np.int32))
+
+    return sort
+
+
+def _passing(bits):
     def run(batches):
         for batch in batches:
-            keys = [_key(grams) if len(grams) else None for grams in _sets(batch, text, size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, SET_KEY])
+            yield batch.filter(pa.array(bits.value.passes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
 
     return run
 
 
-SET_KEY = "__set_key"
-
-
 def keep_one(docs: DataFrame, join: NgramJoin, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents with one row of each class kept: that with the smallest id (null last), then set key, then row.
+    """Documents with one row of each class kept: that with the smallest id (null last), then set key, then mark.
 
-    Documents with an empty set all stay. The columns come back unchanged, whatever others there are.
+    Of rows with the same id and text, the first by their JSON stays. Documents with an empty set all stay, and an empty
+    table stays empty. The columns come back unchanged, whatever others there are, maps included. Texts are not
+    shuffled: bit filters of the rows that go, and of those that stay but pass the first filter, decide all but a few.
     """
-    index = join.index(docs, id_, text).where("key is not null")
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    first = index.groupBy("comp").agg(F.min(rank).alias("first"))
-    rows = index.groupBy("id", "key").agg(F.first("comp").alias("comp"), F.count("*").alias("copies")).join(first, "comp")
-    ranked = rows.select("id", "key", "copies", (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.key") == F.col("key"))).alias("stays"))
-    stash = Stash(docs.sparkSession, "keep-one")
-    ranked = stash.put("ranked", ranked.where("not stays or copies > 1"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(SET_KEY, T.LongType())])
-    keyed = docs.mapInArrow(_keyed(text, join.size), schema)
-
-    def same(other: DataFrame):
-        return keyed[id_].eqNullSafe(other["id"]) & keyed[SET_KEY].eqNullSafe(other["key"])
-
-    out = keyed.join(ranked, same(ranked), "left_anti").drop(SET_KEY)
-    repeated = ranked.where("stays")
-    if not repeated.isEmpty():
-        again = keyed.join(repeated, same(repeated), "left_semi")
-        again = again.groupBy(id_, SET_KEY).agg(F.min(F.struct(*docs.columns)).alias("row"))
-        out = out.union(again.select("row.*"))
-    return out
+    stash, sc = Stash(docs.sparkSession, "keep-one"), docs.sparkSession.sparkContext
+    index = join.index(docs, id_, text)
+    rows = index.groupBy("mark").agg(F.first("id").alias("id"), F.first("key").alias("key"), F.first("comp").alias("comp"), F.count("*").alias("copies"))
+    rows = stash.put("rows", rows)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "mark")
+    full = rows.where("key is not null")
+    total = full.count()
+    first = full.groupBy("comp").agg(F.min(rank)["mark"].alias("first"), F.count("*").alias("members"))
+    sorted_ = even_join(full.select("mark", "copies", "comp"), first, "comp", "members", total).select("mark", "copies", (F.col("first") == F.col("mark")).alias("stays"))
+    sorted_ = stash.put("sorted", sorted_.union(rows.where("key is null").select("mark", F.lit(1).cast("long"), F.lit(True))))
+    out = sorted_.where("not stays or copies > 1").select("mark")
+    gone = sc.broadcast(filters.build(out, filters.longs, out.count()))
+    beside = sorted_.where("stays and copies = 1").select("mark").mapInArrow(_passing(gone), "mark long").withColumn("again", F.lit(False))
+    looked_up = stash.put("looked-up", beside.union(sorted_.where("stays and copies > 1").select("mark", F.lit(True))))
+    doubtful = sc.broadcast(filters.build(looked_up.select("mark"), filters.longs, looked_up.count()))
+
+    mark, sort, again = (fresh(f"__{c}", docs.columns) for c in ("mark", "sort", "again"))
+    dealt = docs.withColumn(mark, mark_of(F.col(id_), F.col(text))).withColumn(sort, _sorter(gone, doubtful)(F.col(mark)))
+    stays = dealt.where(F.col(sort) == 0).select(*docs.columns)
+    if looked_up.isEmpty():
+        return stays
+    found = dealt.where(F.col(sort) == 1).drop(sort).join(looked_up.toDF(mark, again), mark)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    single = found.where(F.col(again)).groupBy(mark).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return stays.union(found.where(~F.col(again)).select(*docs.columns)).union(single)

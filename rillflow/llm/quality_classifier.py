@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import groups_of_copies, sigmoid
-from .runtime import prepare, texts_of
+from .runtime import pieces, texts_of
 from .samples import labelled_words, sample_of
 from .words import ALNUM_FOLDED, Alphabet, _groups
 
@@ -123,14 +123,13 @@ class QualityClassifier:
 
     def grade(self, docs: DataFrame, model: CumulativeLink, id_: str = "doc_id", text: str = "text") -> DataFrame:
         spark = docs.sparkSession
-        prepare(spark)
         held = spark.sparkContext.broadcast((model.grades, model.weights, model.thresholds))
         beyond, limit = self.beyond, self.limit
 
         def run(batches):
             grades, weights, thresholds = held.value
             link = CumulativeLink(grades, weights, thresholds)
-            for batch in batches:
+            for batch in pieces(batches):
                 tails = link.tails(texts_of(batch, "text"))
                 expected = grades[0] + tails @ np.diff(grades) if len(thresholds) else np.full(batch.num_rows, float(grades[0]))
                 past = [g for g in grades if g > beyond]

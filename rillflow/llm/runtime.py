@@ -1,74 +1,103 @@
-"""Session settings, shared storage and Arrow batches, as the operators of this package use them."""
+"""Shared storage and Arrow batches, as the operators of this package use them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that one Arrow batch may carry to Python; with long documents a batch stays a few MB.
-BATCH_ROWS = 1000
-
-
-def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+#: Rows and bytes (one longer row aside) that a function takes at a time. Spark itself sends batches of at most
+#: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless the session says otherwise).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Spark's settings while a table is written here: shuffle files go at the end of the query, and Arrow batches are small.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests on one machine), a temporary folder is set.
+    Only on a local master, where one machine does it all, may a session name none; then it is a temporary folder.
     """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="rillflow-")
-    if not sc.getCheckpointDir():
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="rillflow-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+@contextmanager
+def _settings(spark: SparkSession):
+    before = {name: spark.conf.get(name) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage; they outlive lost executors.
 
-    ``drop`` deletes tables that no later step reads. What a returned DataFrame still reads stays.
+    The shuffle files behind a table go as soon as it is written. ``drop`` deletes tables that no later step reads;
+    what a returned DataFrame still reads stays until the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        target, system = self._file_system(self.root)
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+
+    def _file_system(self, path: str):
+        sc = self.spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(sc._jsc.hadoopConfiguration())
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        with _settings(self.spark):
+            df.write.parquet(path)
         self.paths[name] = path
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing refers to any more
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             if path := self.paths.pop(name, None):
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(conf).delete(target, True)
-
-
-def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """Make a ``mapInArrow`` function of one that turns a batch into a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
-
-    return run
+                target, system = self._file_system(path)
+                system.delete(target, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until no column in ``taken`` has it (upper and lower case alike)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ones of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes, and at least a row."""
+    for batch in batches:
+        n = batch.num_rows
+        rows = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(1, batch.nbytes)))
+        at = 0
+        while at < n:
+            own = rows
+            while own > 1 and batch.slice(at, own).nbytes > 2 * BATCH_BYTES:
+                own = (own + 1) // 2
+            yield batch.slice(at, own)
+            at += own
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:

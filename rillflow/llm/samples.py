@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, texts_of
+from .runtime import pieces, texts_of
 from .words import ALNUM_FOLDED, _groups, distinct, windows
 
 _SIEVE = 1 << 30
@@ -31,7 +31,7 @@ def sample_of(labels: DataFrame, id_: str, columns: list[str], rows: int) -> pa.
 
 def _features(text: str, with_text: bool):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [batch.column(1)] * with_text
             words, marks = [], []
             for h, cut in _groups(texts_of(batch, text), ALNUM_FOLDED, STEMS):
@@ -48,7 +48,6 @@ def _features(text: str, with_text: bool):
 def labelled_words(docs: DataFrame, chosen: pa.Table, id_: str, text: str, with_text: bool = False) -> pa.Table:
     """id, distinct hashes of words and stems, and copy marks (and the text) of the chosen documents that exist and have words."""
     spark = docs.sparkSession
-    prepare(spark)
     if not chosen.num_rows:
         return pa.table({"id": pa.array([], pa.int64()), "words": pa.array([], pa.list_(pa.int64())), "marks": pa.array([], pa.list_(pa.int64())), "text": pa.array([], pa.string())})
     ids = spark.createDataFrame(chosen.select(["id"]))

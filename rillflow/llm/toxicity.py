@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import Sparse, fit_logistic, groups_of_copies, sigmoid, telling
-from .runtime import prepare, texts_of
+from .runtime import pieces, texts_of
 from .samples import STEMS, labelled_words, sample_of
 from .words import ALNUM_FOLDED, _groups
 
@@ -126,12 +126,11 @@ class ToxicityChain:
 
     def scores(self, docs: DataFrame, chain: Chain, id_: str = "doc_id", text: str = "text") -> DataFrame:
         spark = docs.sparkSession
-        prepare(spark)
         names = [f"p_{c}" for c in self.categories]
         held, limit, k = spark.sparkContext.broadcast(chain.to_dict()), self.limit, self.categories.index(self.reject)
 
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 p = _probabilities(held.value, texts_of(batch, "text"))
                 toxic = p[:, k] >= limit
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, j]) for j in range(p.shape[1])], pa.array(toxic), pa.array(~toxic)], [id_, *names, "toxic", "kept"])
@@ -141,11 +140,10 @@ class ToxicityChain:
 
     def clean(self, docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         spark = docs.sparkSession
-        prepare(spark)
         held, limit, k = spark.sparkContext.broadcast(chain.to_dict()), self.limit, self.categories.index(self.reject)
 
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 yield batch.filter(pa.array(_probabilities(held.value, texts_of(batch, text))[:, k] < limit))
 
         return docs.mapInArrow(run, docs.schema)

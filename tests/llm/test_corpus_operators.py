@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillflow.llm import filters
 from rillflow.llm import ngram_join as nj
 from rillflow.llm.decontamination import Decontamination, tiles
 from rillflow.llm.graph import components
 from rillflow.llm.mixing import SourceMix
 from rillflow.llm.ngram_join import NgramJoin, keep_one
-from rillflow.llm.runtime import Stash
+from rillflow.llm.runtime import Stash, pieces
 from rillflow.llm.url_filters import PATTERNS, Rule, UrlFilter, address_rule
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -125,6 +126,80 @@ def test_keep_one_of_repeated_rows(spark):
     assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f"), (1, "quite another text of words")]
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_ngram_join_with_hot_leaders_and_large_classes(spark, monkeypatch, seed):
+    for name, value in (("HOT", 5), ("LEAST_HOT", 2), ("LARGE", 1)):
+        monkeypatch.setattr(nj, name, value)
+    rows = near_copies(seed, 70)
+    rows += [(1000 + i, rows[3][1]) for i in range(9)]
+    assert sorted(tuple(r) for r in NgramJoin().classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()) == brute_classes(rows)
+
+
+def test_rows_of_one_class_never_meet(spark):
+    rnd = random.Random(3)
+    rows = [(g, i, rnd.randrange(k)) for g, k in enumerate([1, 2, 3, 9, 16, 17]) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, i int, c int")
+    x, y = df.select("g", F.col("i").alias("a"), F.col("c").alias("ca")), df.where("i % 2 = 0").select("g", F.col("i").alias("b"), F.col("c").alias("cb"))
+    got = sorted((r.g, r.a, r.b) for r in nj.across_classes(x, y, ["g"]).collect())
+    assert got == sorted((g, i, j) for g, i, c in rows for h, j, d in rows if g == h and c != d and j % 2 == 0)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_bit_filters_pass_what_they_hold(spark, monkeypatch, twice):
+    monkeypatch.setattr(filters, "PACKED", 500)
+    monkeypatch.setattr(filters, "SLICE", 4)
+    rnd = np.random.default_rng(2)
+    values = rnd.integers(-(1 << 63), 1 << 63, 3000, dtype=np.int64)
+    rows = np.concatenate([values, np.repeat(values[:1000], 4)])
+    rnd.shuffle(rows)
+    held = filters.build(spark.createDataFrame([(int(v),) for v in rows], "h bigint").repartition(3), filters.longs, len(rows), 20, twice)
+    assert held.passes(values[: 1000 if twice else 3000]).all()
+    assert held.passes(rnd.integers(-(1 << 63), 1 << 63, 3000, dtype=np.int64)).mean() < 0.05
+    if twice:
+        assert held.passes(values[1000:]).mean() < 0.05
+    assert not filters.build(spark.range(0).select("id"), filters.longs, 0).passes(values).any()
+
+
+def test_keep_one_of_any_table(spark):
+    """Map columns, clashing names, rows that a filter takes for copies, and an empty table."""
+    rows = [(i, f"text number {i // 3} of words and more words", {"k": i}, i, i) for i in range(60)] + [(0, "text number 0 of words and more words", {"k": 0}, 1, 1)] * 2 + [(99, None, None, 0, 0)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string, int>, __mark int, __Sort int")
+    kept = keep_one(df, NgramJoin())
+    assert kept.schema == df.schema
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 60, 3), 99, 99]
+    assert {tuple(r.m.items()) for r in kept.where("doc_id = 0").collect()} == {(("k", 0),)}
+    assert keep_one(df.limit(0), NgramJoin()).count() == 0
+
+
+def test_keep_one_looks_up_what_passes_both_filters(spark, monkeypatch):
+    monkeypatch.setattr(filters, "BITS_EACH", 0)
+    monkeypatch.setattr(filters.BitFilter, "passes", lambda self, v: np.ones(len(v), bool))
+    rows = near_copies(6, 60) + [(7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lows = {c for d, n, c in brute_classes(rows) if n}
+    assert sorted(r.doc_id for r in keep_one(df, NgramJoin()).collect()) == sorted([*lows, *[d for d, n, c in brute_classes(rows) if not n]])
+
+
+def test_long_texts_go_in_small_batches():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (3 << 20)] * 5 + ["y"] * 2500 + ["z" * (9 << 20)])], ["t"])
+    parts = list(pieces(iter([batch])))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert all(p.num_rows == 1 or p.nbytes <= 8 << 20 for p in parts) and max(p.num_rows for p in parts) <= 1000
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from rillflow.llm import runtime
+
+    none = SimpleNamespace(get=lambda k, d=None: None)
+    cluster = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: none, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(cluster)
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + rnd.randrange(20), 200 + rnd.randrange(20)) for _ in range(15)] + [(5, 5)]
