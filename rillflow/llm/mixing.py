@@ -1,16 +1,14 @@
 """Mixing sources to target weights by systematic sampling. DataFrame functions only.
 
-A source's documents stand in one fixed order (by size and id); each expects the same number
-of copies e = target / size of the source. With one offset u per source, the document at place r is
-taken floor(u + r * e) - floor(u + (r - 1) * e) times: once for each integer that the running sum of
-expected copies crosses. As the order is by size, every stretch of sizes is sampled at the same rate.
-The offset is random: of ``OFFSETS`` even steps from a random start, the one that brings the source's words
-nearest to its target, which matters for sources of few documents.
-
-No source is sorted as a whole. Rows are dealt into groups (source, size class, part), where the parts of a
-size class are ranges of size and id between rows chosen by a hash, more of them the more rows a source has;
-places come from the group's own sort plus a running sum over the counts of the groups before it, so the order
-is the same however many parts there are. A source that holds a third of all rows is thus many groups.
+A source's documents stand in one fixed order: by size, then by a hash (md5) of id and text. Each expects the same number
+of copies e = target / size of the source. With one random offset u for each source, the document at place r is taken
+floor(u + r * e) - floor(u + (r - 1) * e) times: once for each integer that the running sum of expected copies crosses.
+As the order is by size, every stretch of sizes is sampled at the same rate, and the words taken differ from the target by
+about the size of the largest documents at most.
+
+No source is sorted as a whole. Rows are dealt into groups of one source, one size and the same first digits of the
+hash, more digits the more rows have that size; a place is the row's number in its group plus a running sum over the
+counts of the groups before it, so the order is the same however the groups are cut.
 """
 
 from __future__ import annotations
@@ -20,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .runtime import Stash
 
-#: Rows of a source that one part of it should hold at most, on average.
-PART_ROWS = 50_000
-OFFSETS = 16
+#: Rows that one group should hold at most, on average: PART_ROWS, or fewer so that a table has PARTS of them, or more so that it has MOST_PARTS.
+PART_ROWS, PARTS, MOST_PARTS = 50_000, 512, 1 << 16
+#: Hexadecimal digits of the hash.
+DIGITS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 _MINE = "__mix_"
 
@@ -31,17 +30,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _start(name: Column, seed: int) -> Column:
-    """A number in (0, 1 / OFFSETS) for each source, from its name and the seed; a multiple of 1/8192, so that sums stay exact."""
+def _offset(name: Column, seed: int) -> Column:
+    """The random offset of a source, in (0, 1), from its name and the seed; a multiple of 1 / 2**17, so that sums stay exact."""
     digits = F.md5(F.concat(F.lit(f"{seed}:"), name))
     value = F.lit(0)
-    for k in (1, 2):
+    for k in range(1, 5):
         value = value * 16 + (F.instr(F.lit("0123456789abcdef"), F.substring(digits, k, 1)) - 1)
-    return (value + 0.5) / (256.0 * OFFSETS)
+    return (value + 0.5) / 65536.0
 
 
 def _copies(offset: Column, place: Column, each: Column) -> Column:
-    return F.floor(offset + place * each) - F.floor(offset + (place - 1) * each)
+    return (F.floor(offset + place * each) - F.floor(offset + (place - 1) * each)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -68,71 +67,69 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
 class SourceMix:
     """Takes documents so that each source's words come near its share.
 
-    Null texts have size 0; null sources are one source, the last. Ids and sources may repeat or be null;
-    equal rows are told apart only by count, so reruns agree. Ties in size go by id. An empty table gives
-    no rows. ``weigh`` returns the input's columns and four more, ``__mix_size``, ``__mix_source_size``,
-    ``__mix_target`` and ``__mix_copies``; ``emit`` returns the input's columns, each row as often as it is
-    taken, and ``copy`` (from 1; an input column of that name is replaced).
+    Null and empty texts have size 0; null sources are one source, the last. Ids and sources may repeat or be null;
+    rows that are equal in id and text are told apart only by count, so reruns agree on how often they are taken. Ties
+    in size go by the hash. Long texts count whole. An empty table gives no rows. ``weigh`` returns the input's columns
+    and four more, ``__mix_size``, ``__mix_source_size``, ``__mix_target`` and ``__mix_copies``, which no input column
+    may be named; all other names inside are new ones. ``emit`` returns the input's columns, each row as often
+    as it is taken, and ``copy`` (from 1; an input column of that name is replaced).
     """
 
     def __init__(self, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0):
         self.weights, self.share, self.most, self.seed = weights, share, most, seed
 
     def weigh(self, docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-        spark = docs.sparkSession
-        stash = Stash(spark, "mix")
-        narrow = stash.put("rows", self._keyed(docs, text, source).select(F.col(id_).alias("id"), F.col(source).alias("name"), *[_MINE + c for c in ("size", "key", "class")]))
-        return self._weighed(narrow, stash, self._keyed(docs, text, source), id_)
+        stash = Stash(docs.sparkSession, "mix")
+        keyed = self._keyed(docs, id_, text, source)
+        groups, many = self._groups(stash.put("rows", keyed.select(*self._own("name", "size", "key", "hash"))), stash)
+        return self._placed(keyed.drop(_MINE + "name"), groups, many, docs.columns)
 
     def sizes(self, docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-        """What ``weigh`` gives, with the id as the only input column; the texts are read once."""
+        """What ``weigh`` gives, with the id as the only input column; the texts are read once and never shuffled."""
         stash = Stash(docs.sparkSession, "mix")
-        narrow = stash.put("rows", self._keyed(docs, text, source).select(F.col(id_).alias("id"), F.col(source).alias("name"), *[_MINE + c for c in ("size", "key", "class")]))
-        return self._weighed(narrow, stash).withColumnRenamed("id", id_)
+        narrow = stash.put("rows", self._keyed(docs, id_, text, source).select(id_, *self._own("name", "size", "key", "hash")))
+        groups, many = self._groups(narrow, stash)
+        return self._placed(narrow.drop(_MINE + "name"), groups, many, [id_])
 
-    def _keyed(self, docs: DataFrame, text: str, source: str) -> DataFrame:
-        size = n_words(F.col(text).cast("string"))
-        key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-        return docs.withColumn(_MINE + "size", size).withColumn(_MINE + "key", key).withColumn(_MINE + "class", F.length(F.bin(_MINE + "size")))
+    @staticmethod
+    def _own(*names: str) -> list[str]:
+        return [_MINE + n for n in names]
 
-    def _weighed(self, narrow: DataFrame, stash: Stash, rows: DataFrame | None = None, id_: str = "id") -> DataFrame:
-        """``rows``, or else the narrow rows, with their sources' sizes and targets and their copies."""
-        size, key, cls, part = (_MINE + c for c in ("size", "key", "class", "part"))
-        sources = narrow.groupBy(key).agg(F.first("name").alias("name"), F.count("*").alias("n"), F.sum(size).alias("size"))
+    def _keyed(self, docs: DataFrame, id_: str, text: str, source: str) -> DataFrame:
+        body = F.col(text).cast("string")
+        key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+        hash_ = F.substring(F.md5(F.concat(F.coalesce(F.col(id_).cast("string"), F.lit("")), F.lit(":"), F.coalesce(body, F.lit("")))), 1, DIGITS)
+        return docs.withColumns(dict(zip(self._own("name", "size", "key", "hash"), (F.col(source), n_words(body), key, hash_), strict=True)))
+
+    def _groups(self, narrow: DataFrame, stash: Stash) -> tuple[DataFrame, DataFrame]:
+        """(groups, sizes of many rows): for each (source, size, first digits) how many rows of the source come before and what
+        the source's figures are; and by how many digits the sizes that many rows have are cut, a bounded number of them."""
+        name, size, key, hash_, digits, part, held, before = self._own("name", "size", "key", "hash", "digits", "part", "held", "before")
+        counts = stash.put("counts", narrow.groupBy(key, size).agg(F.first(name, True).alias(name), F.count("*").alias(held)))
+        total = counts.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
+        rows = max(1, total // MOST_PARTS, min(PART_ROWS, total // PARTS))
+        many = counts.where(F.col(held) > rows).select(key, size, F.least(F.lit(DIGITS), F.ceil(F.log(16.0, F.col(held) / rows))).cast("int").alias(digits))
+        groups = self._cut(narrow.select(key, size, hash_), many).groupBy(key, size, part).agg(F.count("*").alias(held))
+        ahead = Window.partitionBy(key).orderBy(size, part).rowsBetween(Window.unboundedPreceding, -1)
+        groups = groups.select(key, size, part, F.coalesce(F.sum(held).over(ahead), F.lit(0)).alias(before))
+        sources = counts.groupBy(key).agg(F.first(name, True).alias("name"), F.sum(F.col(size) * F.col(held)).alias("size"))
         sources = targets(sources, self.weights, self.share, self.most)
         each = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(F.lit(0.0))
-        sources = stash.put("sources", sources.select(key, F.col("size").alias(_MINE + "source_size"), F.col("target").alias(_MINE + "target"), (F.col("n") > PART_ROWS).alias("many"), each.alias("each"), _start(F.col(key), self.seed).alias("start")))
-
-        def at(name: str) -> Column:
-            return F.struct(F.col(size).alias("size"), F.col(name).alias("id"))
-
-        bound = narrow.join(sources.where("many").select(key), key, "left_semi").where(F.pmod(F.xxhash64("id", size), F.lit(PART_ROWS)) == 0)
-        bounds = stash.put("bounds", bound.groupBy(key, cls).agg(F.sort_array(F.collect_set(at("id"))).alias("bounds")))
-
-        def dealt(df: DataFrame, name: str) -> DataFrame:
-            own = df.withColumn(_MINE + "at", at(name)).join(sources, key).join(F.broadcast(bounds), [key, cls], "left")
-            ahead = F.size(F.filter("bounds", lambda b: b < F.col(_MINE + "at")))
-            return own.withColumn(part, F.when(F.col("bounds").isNull(), 0).otherwise(ahead)).drop("bounds", _MINE + "at")
-
-        def placed(df: DataFrame, name: str) -> DataFrame:
-            own = Window.partitionBy(key, cls, part).orderBy(size, name)
-            return dealt(df, name).withColumn("place", F.row_number().over(own)).join(groups, [key, cls, part]).withColumn("place", F.col("place") + F.col("before"))
-
-        groups = dealt(narrow, "id").groupBy(key, cls, part).agg(F.count("*").alias("held"))
-        ahead = Window.partitionBy(key).orderBy(cls, part).rowsBetween(Window.unboundedPreceding, -1)
-        groups = stash.put("groups", groups.select(key, cls, part, F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before")))
-        ordered = stash.put("ordered", placed(narrow.drop("name"), "id"))
-
-        offset = [F.col("start") + k / OFFSETS for k in range(OFFSETS)]
-        taken = [F.sum(F.col(size) * _copies(u, F.col("place"), F.col("each"))) for u in offset]
-        tried = ordered.groupBy(key).agg(F.first(_MINE + "target").alias("goal"), F.first("start").alias("from"), *[t.alias(f"t{k}") for k, t in enumerate(taken)])
-        best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))
-        chosen = stash.put("offsets", tried.select(key, (F.col("from") + best["k"] / float(OFFSETS)).alias("u")))
-
-        full = ordered if rows is None else placed(rows, id_)
-        copies = _copies(F.col("u"), F.col("place"), F.col("each")).cast("long")
-        keep = ["id", size] if rows is None else [c for c in rows.columns if c not in (key, cls)]
-        return full.join(chosen, key).select(*keep, _MINE + "source_size", _MINE + "target", copies.alias(_MINE + "copies"))
+        figures = zip(("size", "target", each, _offset(F.col(key), self.seed)), self._own("source_size", "target", "each", "offset"), strict=True)
+        sources = sources.select(key, *[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in figures])
+        return stash.put("groups", groups.join(sources, key)), many
+
+    def _cut(self, rows: DataFrame, many: DataFrame) -> DataFrame:
+        size, key, hash_, digits, part = self._own("size", "key", "hash", "digits", "part")
+        cut = rows.join(F.broadcast(many), [key, size], "left")
+        return cut.withColumn(part, F.expr(f"substring({hash_}, 1, coalesce({digits}, 0))")).drop(digits)
+
+    def _placed(self, rows: DataFrame, groups: DataFrame, many: DataFrame, columns: list[str]) -> DataFrame:
+        size, key, hash_, part, before, place, each, offset, copies = self._own("size", "key", "hash", "part", "before", "place", "each", "offset", "copies")
+        own = Window.partitionBy(key, size, part).orderBy(hash_)
+        full = self._cut(rows, many).withColumn(place, F.row_number().over(own)).join(groups, [key, size, part])
+        taken = _copies(F.col(offset), F.col(place) + F.col(before), F.col(each))
+        return full.select(*columns, size, *self._own("source_size", "target"), taken.alias(copies))
 
     def emit(self, docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
         taken = self.weigh(docs, id_, text, source).where(F.col(_MINE + "copies") > 0)

@@ -34,18 +34,14 @@ NGRAM_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translat
  r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
  SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id"""
 
-#: Sources of up to PART_ROWS documents are one part, so the order within a source is that of size and id.
-SOURCE_MIXING = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size FROM documents),
+SOURCE_MIXING = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size,
+   md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, ''))[1:12] AS hash FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS turn, md5('0:' || coalesce('=' || source, 'null')) AS h FROM d GROUP BY source),
  w AS (SELECT *, [3::DOUBLE, 1::DOUBLE, 2::DOUBLE][turn % 3 + 1] AS weight, source_size * 2::DOUBLE AS lim,
-   (16 * (instr('0123456789abcdef', h[1]) - 1) + instr('0123456789abcdef', h[2]) - 1 + 0.5::DOUBLE) / 4096::DOUBLE AS start FROM s),
+   (4096 * (instr('0123456789abcdef', h[1]) - 1) + 256 * (instr('0123456789abcdef', h[2]) - 1) + 16 * (instr('0123456789abcdef', h[3]) - 1) + instr('0123456789abcdef', h[4]) - 1 + 0.5::DOUBLE) / 65536::DOUBLE AS u FROM s),
  l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
    / sum(weight) OVER (ORDER BY lim / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
  t AS (SELECT *, least(max(CASE WHEN level <= lim / weight THEN level END) OVER () * weight, lim) AS target FROM l),
- p AS (SELECT d.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
-   row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
- o AS (SELECT p.source, k, abs(sum(size * (floor(start + k / 16::DOUBLE + place * each) - floor(start + k / 16::DOUBLE + (place - 1) * each))) - any_value(target)) AS off FROM p, range(16) t(k) GROUP BY p.source, k),
- b AS (SELECT source, min(off) AS least FROM o GROUP BY source),
- c AS (SELECT o.source, min(k) AS k FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source AND o.off = b.least GROUP BY o.source)
- SELECT doc_id, size, source_size, target, size * CAST(floor(start + k / 16::DOUBLE + place * each) - floor(start + k / 16::DOUBLE + (place - 1) * each) AS BIGINT) AS taken
- FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source"""
+ p AS (SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
+   row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.hash) AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+ SELECT doc_id, size, source_size, target, size * CAST(floor(u + place * each) - floor(u + (place - 1) * each) AS BIGINT) AS taken FROM p"""

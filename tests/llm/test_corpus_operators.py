@@ -1,5 +1,7 @@
 """Operators across documents: joins, tiling, mixing, URL rules and the pipeline, against brute force."""
 
+import hashlib
+import math
 import random
 import re
 
@@ -297,7 +299,7 @@ def brute_targets(sizes, weights, share, most):
 def test_mixing(spark, seed, monkeypatch):
     from rillflow.llm import mixing
 
-    monkeypatch.setattr(mixing, "PART_ROWS", 40)
+    monkeypatch.setattr(mixing, "PARTS", 10)
     rnd = random.Random(seed)
     names = ["b", "a", None, "ç", "Z", "empty"]
     rows = [(i, " ".join(["w"] * (0 if s == "empty" else rnd.randrange(0, 40))) if rnd.random() > 0.05 else None, s, "x") for i in range(400) for s in [rnd.choices(names, [8, 2, 1, 1, 1, 1])[0]]]
@@ -331,14 +333,44 @@ def test_mixing_takes_the_same_rows_however_many_parts(spark, monkeypatch):
     df = spark.createDataFrame([*rows, (None, "w w w w w", "a")], "doc_id bigint, text string, source string")
     taken = lambda: sorted((str(r.doc_id), r["__mix_copies"]) for r in SourceMix().weigh(df).collect())
     one = taken()
-    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    monkeypatch.setattr(mixing, "PARTS", 1)
     assert taken() == one and len(one) == 1501
     names = df.withColumn("doc_id", F.format_string("n%s", "doc_id"))
     many = SourceMix().weigh(names).collect()
-    monkeypatch.setattr(mixing, "PART_ROWS", 10**6)
+    monkeypatch.setattr(mixing, "PARTS", 200)
     assert sorted(map(str, many)) == sorted(map(str, SourceMix().weigh(names).collect()))
 
 
+def test_mixing_is_systematic_sampling(spark):
+    """Against a plain running sum in the same order, with the same offset."""
+    rnd = random.Random(5)
+    rows = [(i if i % 9 else None, "w " * rnd.choice([0, 3, 5, 5, 40, 3000]), rnd.choice(["a", "a", "b", "c"])) for i in range(300)]
+    rows += [(7, "w w w", "a")] * 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {}
+    for r in SourceMix().weigh(df).collect():
+        got.setdefault((r.doc_id, r.text, r.source), []).append(r["__mix_copies"])
+    each = {r.source: r["__mix_target"] / r["__mix_source_size"] for r in SourceMix().weigh(df).collect()}
+    want = {}
+    for s in each:
+        u = (int(hashlib.md5(f"0:={s}".encode()).hexdigest()[:4], 16) + 0.5) / 65536
+        own = sorted(((len(t.split()), hashlib.md5(f"{'' if d is None else d}:{t}".encode()).hexdigest()[:12], d, t) for d, t, x in rows if x == s), key=lambda r: r[:2])
+        for k, (_, _, d, t) in enumerate(own):
+            want.setdefault((d, t, s), []).append(math.floor(u + (k + 1) * each[s]) - math.floor(u + k * each[s]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_mixing_takes_any_column_names(spark):
+    names = ["place", "before", "start", "each", "parts", "u", "size", "target", "name", "limit", "copies"]
+    rows = [(i, "w " * (i % 7), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = SourceMix().emit(df)
+    assert out.columns == [*df.columns, "copy"]
+    for r in out.collect():
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    assert SourceMix().emit(df.limit(0)).count() == 0
+
+
 # URL filters
 
 
