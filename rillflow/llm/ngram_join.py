@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +35,7 @@ from pyspark.sql import types as T
 from . import filters
 from .filters import BitFilter
 from .graph import components, relabel
+from .marks import dealt, filter_of, passing
 from .runtime import Stash, fresh, pieces, texts_of
 from .words import PLAIN_FOLDED, distinct, shingles
 
@@ -418,26 +418,6 @@ class NgramJoin:
         return full.mapInArrow(_linked(self.threshold), "a long, b long, linked boolean, both long, rest array<long>")
 
 
-def _sorter(gone, doubtful):
-    """0 for a mark that surely stays, 1 if it must be looked up, 2 if it surely goes."""
-
-    @F.pandas_udf("int")
-    def sort(marks: pd.Series) -> pd.Series:
-        values = marks.to_numpy().astype(np.int64)
-        out, other = gone.value.passes(values), doubtful.value.passes(values)
-        return pd.Series(np.where(out, np.where(other, 1, 2), 0).astype(np.int32))
-
-    return sort
-
-
-def _passing(bits):
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(bits.value.passes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-
-    return run
-
-
 def keep_one(docs: DataFrame, join: NgramJoin, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with one row of each class kept: that with the smallest id (null last), then set key, then mark.
 
@@ -445,7 +425,7 @@ def keep_one(docs: DataFrame, join: NgramJoin, id_: str = "doc_id", text: str =
     table stays empty. The columns come back unchanged, whatever others there are, maps included. Texts are not
     shuffled: bit filters of the rows that go, and of those that stay but pass the first filter, decide all but a few.
     """
-    stash, sc = Stash(docs.sparkSession, "keep-one"), docs.sparkSession.sparkContext
+    stash = Stash(docs.sparkSession, "keep-one")
     index = join.index(docs, id_, text)
     rows = index.groupBy("mark").agg(F.first("id").alias("id"), F.first("key").alias("key"), F.first("comp").alias("comp"), F.count("*").alias("copies"))
     rows = stash.put("rows", rows)
@@ -456,17 +436,12 @@ def keep_one(docs: DataFrame, join: NgramJoin, id_: str = "doc_id", text: str =
     sorted_ = even_join(full.select("mark", "copies", "comp"), first, "comp", "members", total).select("mark", "copies", (F.col("first") == F.col("mark")).alias("stays"))
     sorted_ = stash.put("sorted", sorted_.union(rows.where("key is null").select("mark", F.lit(1).cast("long"), F.lit(True))))
     out = sorted_.where("not stays or copies > 1").select("mark")
-    gone = sc.broadcast(filters.build(out, filters.longs, out.count()))
-    beside = sorted_.where("stays and copies = 1").select("mark").mapInArrow(_passing(gone), "mark long").withColumn("again", F.lit(False))
+    gone = filter_of(out)
+    beside = passing(sorted_.where("stays and copies = 1").select("mark"), gone).withColumn("again", F.lit(False))
     looked_up = stash.put("looked-up", beside.union(sorted_.where("stays and copies > 1").select("mark", F.lit(True))))
-    doubtful = sc.broadcast(filters.build(looked_up.select("mark"), filters.longs, looked_up.count()))
-
-    mark, sort, again = (fresh(f"__{c}", docs.columns) for c in ("mark", "sort", "again"))
-    dealt = docs.withColumn(mark, mark_of(F.col(id_), F.col(text))).withColumn(sort, _sorter(gone, doubtful)(F.col(mark)))
-    stays = dealt.where(F.col(sort) == 0).select(*docs.columns)
-    if looked_up.isEmpty():
-        return stays
-    found = dealt.where(F.col(sort) == 1).drop(sort).join(looked_up.toDF(mark, again), mark)
+    stays, found, mark = dealt(docs, mark_of(F.col(id_), F.col(text)), gone, looked_up.select("mark"))
+    again = fresh("__again", found.columns)
+    found = found.join(looked_up.toDF(mark, again), mark)
     whole = F.struct(*[F.col(c) for c in docs.columns])
     single = found.where(F.col(again)).groupBy(mark).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
     return stays.union(found.where(~F.col(again)).select(*docs.columns)).union(single)

@@ -248,6 +248,37 @@ def test_tiling_equals_brute_force(seed):
     assert [t[2] for t in got] == [t[2] for t in expected] and got == expected
 
 
+def test_tiling_of_repetitive_texts_is_bounded():
+    import time
+    import tracemalloc
+
+    doc, item = np.full(100_000, 7, np.uint64), np.full(20_000, 7, np.uint64)
+    began = time.time()
+    tracemalloc.start()
+    assert tiles(doc, item, 4) == [(0, 0, 20_000)]
+    phrase = np.arange(4, dtype=np.uint64)
+    often = lambda n, at: np.concatenate([np.append(phrase, np.uint64(at + k)) for k in range(n)])
+    assert len(tiles(often(3000, 10), often(2000, 10_000), 4)) == 2000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert time.time() - began < 20
+
+
+def test_many_items_with_a_common_seed(spark):
+    import time
+
+    from rillflow.llm.decontamination import _search
+
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    items = [" ".join(["as is well known", *[word() for _ in range(12)]]) for _ in range(10_000)]
+    seeds = Decontamination()._seeds([i.encode() for i in items])
+    texts = [f"as is well known {word()} {word()}".encode()] * 200 + [items[77].encode()]
+    began = time.time()
+    found = [[f.item for f in found] for found in _search(seeds, texts, 4, 0.5)]
+    assert found[-1] == [77] and not any(found[:-1]) and time.time() - began < 20
+
+
 def test_decontamination(spark, monkeypatch):
     from rillflow.llm import decontamination
 
@@ -275,6 +306,8 @@ def test_decontamination(spark, monkeypatch):
         assert sorted(got, key=str) == sorted(expected, key=str)
         clean = Decontamination().clean(docs, bench)
         assert clean.schema == docs.schema and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5]
+    twice = bench.union(bench.where("item_id = 0"))
+    assert sorted((r.doc_id, r.item_id) for r in Decontamination().matches(docs.drop("item_id").where("doc_id < 4"), twice).collect()) == [(1, 0), (1, 0), (2, 0), (2, 0)]
     match = next(r for r in Decontamination().matches(docs.drop("item_id"), bench).collect() if r.doc_id == 2)
     assert match.n_tiles == 2 and match.covered == 20 and match.longest == 10
     assert Decontamination().matches(docs, bench.limit(0)).count() == 0 and Decontamination().clean(docs.limit(0), bench).count() == 0
