@@ -1,10 +1,10 @@
 """Quality rules: word and line counts, and compression bands.
 
-The zstandard ratio (bytes / compressed bytes) of a whole document must lie within limits for its length, and
-from one chunk on most of its bytes must be in chunks within the chunk limits: repetitive text compresses too
-well, and random or encoded text hardly at all. The least ratios lie between what random base64 or alphanumeric
-words reach at the lengths of a row (1.26 at 500 bytes, 1.41 at most) and what prose does from its first length on;
-below 256 bytes the two overlap, and random text is not told apart.
+The zstandard ratio (bytes / compressed bytes) of a whole document must lie within limits for its length, and so must
+the ratios of its fixed chunks, by the chunk's length: repetitive text compresses too well, and random or encoded text hardly
+at all. A few chunks beyond their limits are enough to reject, fewer of them the longer the text. The least ratios lie
+between what random base64 or alphanumeric words reach at the lengths of a row (1.26 at 500 bytes, 1.41 at most) and what
+prose does from its first length on; below 256 bytes the two overlap, and random text is not told apart.
 """
 
 from __future__ import annotations
@@ -22,33 +22,49 @@ from .words import PLAIN, _groups, windows
 LEVEL = 3
 #: (bytes from, least ratio, largest ratio) of whole documents; the last row whose length is reached holds.
 BANDS = [
-    (0, 0.0, 1e9), (128, 0.7, 3.0), (256, 1.17, 3.0), (300, 1.2, 3.0), (350, 1.22, 3.0), (400, 1.25, 3.0), (450, 1.27, 3.0), (500, 1.29, 3.0), (600, 1.31, 3.0), (700, 1.34, 3.0),
+    (0, 0.6, 2.0), (64, 0.8, 3.0), (128, 0.9, 3.0), (256, 1.17, 3.0), (300, 1.2, 3.0), (350, 1.22, 3.0), (400, 1.25, 3.0), (450, 1.27, 3.0), (500, 1.29, 3.0), (600, 1.31, 3.0), (700, 1.34, 3.0),
     (850, 1.36, 3.0), (1024, 1.39, 3.5), (1500, 1.42, 3.5), (2048, 1.46, 3.5), (4096, 1.5, 4.0), (16384, 1.55, 5.0), (131072, 1.55, 8.0),
 ]
-#: The last chunk may be shorter; its least ratio is that of its length. Up to so large a share of the bytes may be in chunks beyond the limits.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (1.5, 4.5), 0.5
+#: Bytes of a chunk; what is left at the end is a chunk of its own from CHUNK_LEAST bytes on, and else part of the last one.
+CHUNK, CHUNK_LEAST = 4096, 512
+#: (bytes from, least ratio, largest ratio) of chunks. Prose has 1.5 to 3.9 in chunks of 4096 bytes.
+CHUNK_BANDS = [(0, 0.6, 4.0), (512, 1.29, 4.0), (700, 1.34, 4.0), (1024, 1.39, 4.5), (2048, 1.46, 4.5), (4096, 1.5, 4.5)]
+#: (bytes of the text from, largest share of its bytes in chunks beyond their limits).
+CHUNK_SHARES = [(0, 0.1), (1 << 17, 0.05)]
 _SPACE = b" \t\n\x0b\x0c\r"
 _NOT_SYMBOL = bytes(b for b in range(256) if chr(b) not in "#*$%&|<>")
 _IS_CONTINUATION = bytes(range(0x80, 0xC0))
 
 
-def ratios(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
-    """Ratio of the whole text and, from one chunk on, of each chunk, the shorter last one too."""
+def chunks_of(raw: bytes) -> list[bytes]:
+    """The whole text in chunks."""
+    starts = list(range(0, len(raw), CHUNK))
+    if len(starts) > 1 and len(raw) - starts[-1] < CHUNK_LEAST:
+        starts.pop()
+    return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)] if raw else []
+
+
+def ratios(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, list[tuple[int, float]]]:
+    """Ratio of the whole text, and (bytes, ratio) of each chunk."""
     whole = len(raw) / len(packer.compress(raw)) if raw else 0.0
-    return whole, [len(part) / len(packer.compress(part)) for k in range(0, len(raw), CHUNK) for part in (raw[k : k + CHUNK],)] if len(raw) >= CHUNK else []
+    parts = chunks_of(raw)
+    return whole, [(len(raw), whole)] if len(parts) == 1 else [(len(part), len(part) / len(packer.compress(part))) for part in parts]
 
 
-def band(n_bytes: int) -> tuple[float, float]:
-    return next((lo, hi) for at, lo, hi in reversed(BANDS) if n_bytes >= at)
+def limits(table: list[tuple], n_bytes: int) -> tuple:
+    return next(row[1:] for row in reversed(table) if n_bytes >= row[0])
 
 
-def in_bands(n_bytes: int, whole: float, chunks: list[float]) -> bool:
-    least, most = band(n_bytes)
+def in_bands(whole: float, chunks: list[tuple[int, float]]) -> bool:
+    n_bytes = sum(n for n, _ in chunks)
+    least, most = limits(BANDS, n_bytes)
     if not least <= whole <= most:
         return False
-    sizes = [min(CHUNK, n_bytes - k * CHUNK) for k in range(len(chunks))]
-    out = sum(n for n, r in zip(sizes, chunks, strict=True) if not min(CHUNK_BAND[0], band(n)[0]) <= r <= CHUNK_BAND[1])
-    return out <= CHUNK_SHARE * sum(sizes)
+    beyond = 0
+    for n, ratio in chunks:
+        least, most = limits(CHUNK_BANDS, n)
+        beyond += n * (not least <= ratio <= most)
+    return beyond <= limits(CHUNK_SHARES, n_bytes)[0] * n_bytes
 
 
 def duplicate_lines(raw: bytes) -> int:
@@ -83,7 +99,8 @@ class QualityRules:
 
     ``judge`` gives a row per document row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     ``base_failed`` (fewer than 10 words, or over 20 % of them in repeated 5-word runs), ``kept``, ``ratio`` and
-    ``n_chunks``. Null and empty texts have no words and fail. Repeated rows are alike; other columns are ignored.
+    ``n_chunks``. Null and empty texts have no words and fail. Repeated rows are alike; other columns are ignored; an
+    empty table gives no rows. Long texts are read whole, to the last chunk; a ratio equal to a limit is within it.
     Nothing is learned, so a row's outcome depends on its text alone.
     """
 
@@ -105,7 +122,7 @@ class QualityRules:
                         failed.append(n < 10 or 100 * again > 20 * n)
                         ratio, parts = ratios(raw, packer)
                         whole.append(ratio), chunks.append(len(parts))
-                        kept.append(not failed[-1] and in_bands(len(raw), ratio, parts))
+                        kept.append(not failed[-1] and in_bands(ratio, parts))
                 columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(whole, pa.float64()), pa.array(chunks, pa.int64())], [id_, *names, "base_failed", "kept", "ratio", "n_chunks"])
 

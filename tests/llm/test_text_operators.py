@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm import words as W
-from rillflow.llm.compression_rules import QualityRules, duplicate_lines, in_bands, ratios, repeated_words
+from rillflow.llm.compression_rules import BANDS, CHUNK_BANDS, QualityRules, duplicate_lines, in_bands, ratios, repeated_words
 from rillflow.llm.html_extraction import HtmlExtraction, main_text, passages
 from rillflow.llm.language_id import LanguageId, Scorer, learn
 from rillflow.llm.quality_classifier import QualityClassifier, fit
@@ -232,7 +232,7 @@ def test_compression_bands(spark, odd, empty):
     rows = [(1, "spam and eggs " * 700), (2, " ".join("".join(rnd.choice("etaoin") for _ in range(rnd.randrange(2, 9))) for _ in range(1900))), (3, noise)]
     got = {r.doc_id: r for r in QualityRules().judge(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[1].ratio > 50 and not got[1].kept and got[2].kept and got[2].n_chunks >= 1
-    assert not in_bands(10_000, 1.05, []) and not in_bands(10_000, 2.0, [9.0, 9.0, 2.0]) and in_bands(10_000, 2.0, [2.0, 2.0])
+    assert not in_bands(1.05, [(4096, 1.05), (5904, 1.05)]) and not in_bands(2.0, [(4096, 9.0), (4096, 2.0), (1808, 2.0)]) and in_bands(2.0, [(4096, 2.0), (4096, 2.0)])
     out = QualityRules().judge(odd).collect()
     assert len(out) == len(odd_rows()) and all(r.base_failed for r in out if not r.n_words)
     assert QualityRules().judge(empty).count() == 0
@@ -242,7 +242,7 @@ def test_compression_bands(spark, odd, empty):
 def test_random_text_is_out_of_bands_and_prose_is_in():
     rnd, packer = random.Random(4), zstandard.ZstdCompressor(level=3)
     alnum = string.ascii_letters + string.digits
-    judged = lambda raw: in_bands(len(raw), *ratios(raw, packer))
+    judged = lambda raw: in_bands(*ratios(raw, packer))
     for n in (500, 599, 800, 1023, 1400, 2047, 4095, 4096, 7000, 16_000, 60_000, 100_000):
         for letters, least, most in ((alnum + "+/", 8, 8), (alnum + "+/", 30, 60), (alnum, 8, 8), (alnum, 4, 12)):
             text = " ".join("".join(rnd.choices(letters, k=rnd.randint(least, most))) for _ in range(n // (least + 1) + 1))
@@ -251,7 +251,34 @@ def test_random_text_is_out_of_bands_and_prose_is_in():
     for n in (500, 700, 1023, 1500, 2048, 4096, 6000, 16_000, len(prose)):
         assert all(judged(prose[a : a + n]) for a in range(0, len(prose) - n + 1, n)), n
     noise = "".join(rnd.choices(alnum + "+/", k=4096 + 1500)).encode()
-    assert len(ratios(noise, packer)[1]) == 2 and not in_bands(6000, 2.0, [1.34, 2.0]) and in_bands(6000, 2.0, [2.0, 1.34])
+    assert len(ratios(noise, packer)[1]) == 2
+
+
+def test_chunks_decide_where_the_whole_is_in_bands():
+    """Texts in part random or repetitive, by a second reading of the limits."""
+    rnd, packer = random.Random(9), zstandard.ZstdCompressor(level=3)
+    prose = " ".join(" ".join(topics[k].split()) for k in ("exceptions", "execmodel", "objects")).encode()[:60_000]
+    noise = lambda n: " ".join("".join(rnd.choices(string.ascii_letters + string.digits + "+/", k=40)) for _ in range(n // 41 + 1))[:n].encode()
+    echo = lambda n: (" ".join("".join(rnd.choices("etaoin", k=5)) for _ in range(40)) * (n // 200))[:n].encode()
+    cases = [(prose[:20_000], True), (prose, True), (prose[:8000] + noise(8000), False), (prose[:16_000] + noise(4000), False), (prose[:18_000] + noise(1200), True), (noise(5000) + prose[:15_000], False), (prose[:20_000] + echo(12_000), False)]
+    cases += [(prose[:9000] + noise(511), True), (prose[:8192] + noise(2000), False)]
+    for text, fine in cases:
+        whole, chunks = ratios(text, packer)
+        least, most = [r for r in BANDS if len(text) >= r[0]][-1][1:]
+        assert least <= whole <= most or not fine
+        cuts = [text[i : i + 4096] for i in range(0, len(text), 4096)]
+        if len(cuts) > 1 and len(cuts[-1]) < 512:
+            cuts[-2:] = [cuts[-2] + cuts[-1]]
+        assert b"".join(cuts) == text and [n for n, _ in chunks] == [len(c) for c in cuts]
+        bad = 0
+        for c in cuts:
+            r = len(c) / len(packer.compress(c))
+            low, high = [b for b in CHUNK_BANDS if len(c) >= b[0]][-1][1:]
+            bad += len(c) if r < low or r > high else 0
+        share = 0.1 if len(text) < 131072 else 0.05
+        assert in_bands(whole, chunks) == (least <= whole <= most and bad <= share * len(text)) == fine, len(text)
+    inside = [in_bands(ratios(t, packer)[0], [(len(t), ratios(t, packer)[0])]) for t, _ in cases]
+    assert sum(inside) > sum(f for _, f in cases)  # the whole alone would let more pass
 
 
 # Secrets
