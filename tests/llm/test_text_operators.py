@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from rillflow.llm import words as W
 from rillflow.llm.compression_rules import BANDS, CHUNK_BANDS, QualityRules, duplicate_lines, in_bands, ratios, repeated_words
-from rillflow.llm.html_extraction import HtmlExtraction, main_text, passages
+from rillflow.llm.html_extraction import WINDOW, HtmlExtraction, main_text, passages
 from rillflow.llm.language_id import LanguageId, Scorer, learn
 from rillflow.llm.quality_classifier import QualityClassifier, fit
 from rillflow.llm.secrets import SecretScan, all_spans, base_spans, formats, infer
@@ -187,6 +187,68 @@ def test_html_without_marks_keeps_what_follows_a_link_list():
     assert main_text(page) == " ".join(["In short.", listed, *[text] * 5, listed, text, listed, "The end."])
 
 
+def brute_passages(weights, surge):
+    """Straight from the definition: cut where WINDOW lines in a row have no weight; a piece in which a window surges is a passage."""
+    n, cuts = len(weights), set()
+    for i in range(n - WINDOW + 1):
+        if not any(weights[i : i + WINDOW]):
+            cuts.update(range(i, i + WINDOW))
+    out, piece = [], []
+    for k in range(n + 1):
+        if k < n and k not in cuts:
+            piece.append(k)
+        elif piece:
+            heavy = [j for j in piece if weights[j]]
+            if heavy and max(sum(weights[j : j + WINDOW]) for j in range(max(0, heavy[0] - WINDOW + 1), heavy[-1] + 1)) >= surge:
+                out.append((heavy[0], heavy[-1] + 1))
+            piece = []
+    return out
+
+
+def test_passages_equal_brute_force():
+    rnd = random.Random(12)
+    for _ in range(500):
+        weights = [rnd.choice([0, 0, 0, 5, 30, 90]) for _ in range(rnd.randrange(0, 30))]
+        assert passages(weights, 80) == brute_passages(weights, 80), weights
+
+
+def test_html_windows_decide_within_marks():
+    """What is marked like the article but does not surge goes; short lines of the article stay."""
+    long = "A sentence of the article that goes on for a while. " * 3
+    link = "<p><a href=x>More</a></p>"
+    article = f"<article><h1>Title</h1><p>By me</p><p>Now</p><p>{long}</p><p>Short.</p><div class=ad><p>a<p>b<p>c<p>d</div><p>End.</p></article>"
+    want = f"Title By me Now {long.strip()} Short. End."
+    teaser = "<article><p>Read our other story.</p></article>"
+    assert main_text(f"<body>{article}</body>") == want
+    assert main_text(f"<body>{article}{link * 3}{teaser}</body>") == want
+    assert main_text(f"<body>{teaser}{link * 3}{article}</body>") == want
+    assert main_text(f"<body>{article}{link * 3}<article><p>{long}</p></article></body>") == f"{want} {long.strip()}"
+
+
+def test_html_wrappers_named_after_the_layout():
+    long = "A sentence of the article that goes on for a while. " * 3
+    text = long.strip()
+    assert main_text(f'<div class="page with-sidebar"><article><p>{long}</p></article><div class="sidebar"><p>Side</p></div></div>') == text
+    assert main_text(f'<div class="layout no-comments"><p>{long}</p></div>') == text
+    assert main_text(f'<div id="sidebar-layout"><p>{long}</p><div class="widget">W</div></div>') == text
+    assert main_text(f'<form id="aspnetForm"><div class="nav">Home</div><p>{long}</p><form><p>Name</p></form></form>') == text
+    comments = f'<div class="comments"><p>{long * 9}</p></div>'
+    assert main_text(f"<div><p>{long}</p></div>{comments}") == text and main_text(f"<article><p>{long}</p>{comments}</article>") == text
+    assert main_text(f'<article><p>{long}</p></article><section class="related"><article><p>{long * 9}</p></article></section>') == text
+    assert main_text(f'<article class="post has-comments"><p>{long}</p></article><article class="comment"><p>{long * 9}</p></article>') == text
+    assert main_text(f'<body class="home sidebar-left"><main class="nav-open"><p>{long}</p></main></body>') == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div></p>", "<b>", "<x/>", "<div class=ad>", "<article>", "<p><b>", "<h1><i>", "a<", "<a b='", "<!-", "</", "<li><b></p>", "&amp"])
+def test_html_takes_time_by_length(part):
+    import time
+
+    page = "<b>" * 2000 + part * ((1 << 20) // len(part)) + "</b></i></h1>"
+    began = time.time()
+    assert isinstance(main_text(page), str) and isinstance(main_text(part * 100_000), str)
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- open", "<script>x", "a < b", "<<<>>>", "<p " + "a='" * 50, "<div>" * 3000 + "x", "&#xZZ; &bogus; &amp", "</p></div>"])
 def test_html_never_fails(page):
     assert isinstance(main_text(page), str)
