@@ -363,7 +363,100 @@ def test_automata_learn_a_format():
     assert len(automaton.step) < 60 and automaton.score(make()) > automaton.score("zz-" + "q" * 24)
     learned = formats({"assign": good}, {"a": 1000, "0": 10})
     assert learned.match(make()) == "assign" and learned.match("internationalisation") is None and learned.match("1234567890123456") is None
-    assert formats({"assign": good[:5]}, {}).automata == {}
+    assert {len(t) for t in good} == {27} and len(automaton.step) == 28  # the length is kept
+    assert automaton.score(good[0][:20]) < automaton.score(good[0]) - 0.3 and automaton.score(good[0] + "0") == -np.inf
+
+
+def test_states_merge_by_what_follows():
+    rnd = random.Random(3)
+    make = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    assert len(infer([make("ab01", rnd.randint(8, 40)) for _ in range(400)]).step) < 12  # any length: loops
+    two = infer([f"{make('01', 4)}-{make('ab', 4)}-{make('01', 4)}" if k % 2 else f"{make('AB', 20)}" for k in range(400)])
+    assert 25 < len(two.step) < 60 and two.score("0101-abab-1010") > -6 and two.score("0101-abab-abab") < two.score("0101-abab-1010") - 0.5
+    for p, end in zip(two.chance, two.end, strict=True):
+        assert sum(p.values()) + end <= 1 + 1e-9
+    assert infer([]).score("a") == -np.inf and infer(["x"]).score("x") > -np.inf
+
+
+def test_few_credentials_give_a_format_with_a_prior():
+    rnd = random.Random(4)
+    make = lambda: "".join(rnd.choices(string.ascii_letters + string.digits, k=32))
+    words = {"".join(p): 1 for w in ["aaaaaaaaaa"] * 5 + ["Aaaaaaa"] for p in zip("^" + w, w)}
+    ordinary = {p: 100 for p in words} | {"^0": 20, "00": 60}
+    few = formats({"context": [make() for _ in range(6)]}, ordinary)
+    assert sum(few.match(make()) == "context" for _ in range(100)) >= 60
+    assert not any(map(few.match, ["internationalisation", "Accommodation", "1234567890123456"]))
+    one = formats({"assign": ["hunter2hunter2"]}, ordinary)
+    assert one.match("internationalisation") is None
+
+
+def scan_base(text):
+    """The three kinds character by character, without regular expressions."""
+    value = set(string.ascii_letters + string.digits + "+/_.=-")
+    out, i = [], 0
+    while i < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if len(text[i : i + len(w)]) == len(w) and all(c.isascii() and c.lower() == x for c, x in zip(text[i:], w))), None)
+        j = i + len(word) if word else i
+        if word:
+            j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] in (":", "="):
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'")
+                k = j
+                while k < len(text) and text[k] in value:
+                    k += 1
+                if k > j:
+                    if k - j >= 8:
+                        out.append((i, 0, k))
+                    i = k
+                    continue
+        i += 1
+    for kind, first, letters, least in ((1, "AKIA", string.ascii_uppercase + string.digits, 16), (2, "", "0123456789abcdef", 32)):
+        i = 0
+        while i < len(text):
+            k = i + len(first) if text.startswith(first, i) else i
+            n = k
+            while (k > i or not first) and n < len(text) and text[n] in letters:
+                n += 1
+            if n > k:
+                if n - i >= least:
+                    out.append((i, kind, n))
+                i = n
+            else:
+                i += 1
+    return sorted(out)
+
+
+def test_base_spans_equal_brute_force():
+    rnd = random.Random(11)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIkey", "api-key", "AKIA", "AKI", "=", ":", " = ", '"', "' : '", "  ", "é", "\n", "\u212a", "\u017fecret"]
+    parts += ["abcdefgh", "0123456789abcdef", "0f" * 18, "ABCDEF0123456789", "x.y/z+w", "==", "Zz9", "AKIAAKIA" * 2]
+    for _ in range(4000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14)))
+        assert base_spans(t, t.encode()) == scan_base(t), t
+
+
+def test_unseen_credentials_are_found_by_format(spark):
+    """Credentials in a context, and labelled ones, teach formats that no fixed pattern has; loose ones are found."""
+    rnd = random.Random(13)
+    alnum = string.ascii_letters + string.digits
+    bearer, own = (lambda: "".join(rnd.choices(alnum, k=32))), (lambda: "sk_" + "".join(rnd.choices(string.ascii_lowercase + string.digits, k=20)) + "_Z")
+    word = lambda: "".join(rnd.choices("etaoinshr", k=rnd.randrange(2, 20)))
+    prose = lambda: " ".join(word() for _ in range(30))
+    rows = [(i, f"{prose()} Authorization: Bearer {bearer()} {prose()}") for i in range(200)] + [(200 + i, f"{prose()} {make()} {prose()}") for i, make in enumerate([bearer, own] * 50)]
+    rows += [(300 + i, f"{prose()} 4111111111111111 {prose()} Capitalised-Words-And-Hyphens") for i in range(100)]
+    df, given = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([("vault", own()) for _ in range(160)], "kind string, token string")
+    learned = SecretScan().learn(df, labelled=given)
+    assert set(learned.automata) == {"context", "vault"} and all(len(a.step) > 20 for a in learned.automata.values())
+    got = {r.doc_id: r for r in SecretScan().scan(df, learned).collect()}
+    assert not any(r.base for r in got.values())
+    for first in (0, 1):
+        assert sum(len(got[200 + i].spans) == 1 for i in range(first, 100, 2)) >= 45
+    assert sum(len(got[i].spans) for i in range(300, 400)) <= 2
 
 
 def test_long_credentials_are_learned_whole(spark):
