@@ -23,6 +23,8 @@ from .runtime import pieces, texts_of
 ORDER = 4
 #: Bytes of text that a language is learned from, and all languages together, at most (about).
 LEARN_BYTES, LEARN_TOTAL = 1 << 20, 1 << 25
+#: Languages that can be learned at a time; more are refused.
+MOST_LANGUAGES = LEARN_TOTAL >> 12
 #: Longer texts (bytes) are cut into spans of so many characters, which are chosen one by one.
 LEARN_LONGEST, LEARN_SPAN = 1 << 17, 1 << 14
 #: Bytes that are scored at a time.
@@ -167,19 +169,22 @@ class LanguageId:
     """Learns languages from labelled texts and predicts the language of whole texts.
 
     ``learn`` takes rows with a text and a language; a language is learned from about ``LEARN_BYTES`` of its
-    different texts, chosen by a hash of the text, and of spans of long ones; copies count once. ``predict`` gives a row per row: id, further columns named in ``keep``,
+    different texts, chosen by a hash of the text, and of spans of long ones, so texts of all lengths are learned from; copies
+    count once, and more than ``MOST_LANGUAGES`` languages raise ValueError. ``predict`` gives a row per row: id, further columns named in ``keep``,
     ``lang_pred`` and ``score``: the best language's share of exp(-code length / sqrt(bytes)). A text that is null or has no
     letter is ``und`` with score 0, and so is every text if nothing was learned. Ties go to the first language by
-    name. Repeated rows are alike; other columns are ignored.
+    name. Whole texts are scored, whatever their length. Repeated rows are alike; other columns are ignored; an empty table gives no rows.
     """
 
     def learn(self, labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
         rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
         rows = rows.withColumn("bytes", F.octet_length("text")).where("bytes > 0").withColumn("hash", F.xxhash64("text"))
         different = rows.groupBy("lang", "hash").agg(F.max("bytes").alias("bytes"))
-        totals = {r["lang"]: r["bytes"] for r in different.groupBy("lang").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(LEARN_TOTAL >> 12).collect()}
+        totals = {r["lang"]: r["bytes"] for r in different.groupBy("lang").agg(F.sum("bytes").alias("bytes")).limit(MOST_LANGUAGES + 1).collect()}
         if not totals:
             return learn({})
+        if len(totals) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         most = min(LEARN_BYTES, LEARN_TOTAL // len(totals))
         limit = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(int(_SIEVE * min(1.0, most / v))))])
         rows = rows.withColumn("limit", F.try_element_at(limit, F.col("lang"))).where("limit is not null")

@@ -33,8 +33,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.05, steps: int = 200) -> np.ndarray:
-    """Weights (features, extra columns, intercept) by accelerated gradient descent in scaled coordinates."""
+def fit_logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.05, steps: int = 200, tolerance: float = 1e-3) -> np.ndarray:
+    """Weights (features, extra columns, intercept) by accelerated gradient descent in scaled coordinates, until a step changes none by more than the tolerance."""
     dense = np.hstack([extra, np.ones((x.n_rows, 1))])
     curve = np.concatenate([x.back(weight), (weight[:, None] * dense**2).sum(0)]) * 0.25 + l2
     scale = 1.0 / np.sqrt(curve * 4.0)
@@ -58,6 +58,8 @@ def fit_logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray
     step, z, before, t = scale**2 / (1.05 * top), w.copy(), w, 1.0
     for _ in range(steps):
         w = z - step * gradient(z)
+        if np.abs(w - before).max() < tolerance:
+            return w
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = w + (t - 1) / t_next * (w - before)
         before, t = w, t_next

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .linear import groups_of_copies, sigmoid
 from .runtime import pieces, texts_of
-from .samples import labelled_words, sample_of
+from .samples import labelled_features, sample_of
 from .words import ALNUM_FOLDED, Alphabet, _groups
 
 #: Rated rows that the model is fitted on, at most (about; see samples.sample_of), and hashed features of either kind.
@@ -58,14 +58,28 @@ class CumulativeLink:
         return sigmoid(score[:, None] - self.thresholds[None, :])
 
 
+def packed_features(texts: list[bytes]) -> list[bytes]:
+    """The features of each text as bytes: (bucket, value) pairs of 32-bit floats."""
+    row, column, value = features(texts)
+    order = np.argsort(row, kind="stable")
+    pairs = np.stack([column, value], 1).astype(np.float32)[order]
+    cut = np.searchsorted(row[order], np.arange(len(texts) + 1))
+    return [pairs[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+
 def fit(texts: list[bytes], grades: np.ndarray, weight: np.ndarray) -> CumulativeLink:
+    """See ``fit_features``."""
+    return fit_features(features(texts), grades, weight)
+
+
+def fit_features(found: tuple[np.ndarray, np.ndarray, np.ndarray], grades: np.ndarray, weight: np.ndarray) -> CumulativeLink:
     """Maximum likelihood with a ridge, by Adam on all rows; thresholds are sums of exponentials, so they stay ordered."""
     levels = sorted(set(int(g) for g in grades))
     k = len(levels)
     if k < 2:
         return CumulativeLink(levels or [0], np.zeros(2 * BUCKETS), np.zeros(0))
-    row, column, value = features(texts)
-    n = len(texts)
+    row, column, value = found
+    n = len(grades)
     y = np.searchsorted(levels, grades)
     weight = weight / weight.sum()
     share = np.clip(np.array([weight[y > j].sum() for j in range(k - 1)]), 1e-3, 1 - 1e-3)
@@ -103,7 +117,9 @@ class QualityClassifier:
     ``grade`` gives a row per document row: id, ``expected_grade``, ``tail_probability`` and ``kept``. Null and
     empty texts have no features and get what the thresholds alone say. Ratings without a document, null ids and
     null ratings are not learned from; with fewer than two grades rated, the only grade (0 if none) is expected
-    and everything is kept. Repeated rows grade alike; other columns are ignored.
+    and everything is kept. Of several ratings of an id the largest counts; its type may differ from that of the documents' id.
+    Whole texts are graded, whatever their length; a tail equal to the limit is kept. Repeated rows grade alike; other
+    columns are ignored; an empty table gives no rows.
     """
 
     def __init__(self, beyond: int = 0, limit: float = 0.5, sample_rows: int = SAMPLE_ROWS):
@@ -111,15 +127,13 @@ class QualityClassifier:
 
     def fit(self, docs: DataFrame, ratings: DataFrame, id_: str = "doc_id", text: str = "text", rating: str = "rating") -> CumulativeLink:
         chosen = sample_of(ratings, id_, [rating], self.sample_rows)
-        rows = labelled_words(docs, chosen, id_, text, with_text=True)
-        place = {i: k for k, i in enumerate(chosen.column("id").to_pylist())}
-        at = np.array([place[i] for i in rows.column("id").to_pylist()], np.int64)
-        texts = [t.encode() for t in rows.column("text").to_pylist()]
-        if not len(texts):
+        at, marks, found = labelled_features(docs, chosen, id_, text, packed_features)
+        if not len(at):
             return fit([], np.empty(0, np.int64), np.empty(0))
-        marks = np.array([m.as_py() for m in rows.column("marks")], np.int64).reshape(-1, 3)
+        pairs = [np.frombuffer(f, np.float32).reshape(-1, 2) for f in found]
+        row, (column, value) = np.repeat(np.arange(len(at)), [len(p) for p in pairs]), np.concatenate(pairs).T
         _, inverse, size = np.unique(groups_of_copies(marks), return_inverse=True, return_counts=True)
-        return fit(texts, chosen.column(rating).to_numpy()[at], 1.0 / size[inverse])
+        return fit_features((row, column.astype(np.int64), value.astype(float)), chosen.column(rating).to_numpy()[at], 1.0 / size[inverse])
 
     def grade(self, docs: DataFrame, model: CumulativeLink, id_: str = "doc_id", text: str = "text") -> DataFrame:
         spark = docs.sparkSession

@@ -1,18 +1,20 @@
-"""Bounded samples of labelled documents for fitting classifiers."""
+"""Bounded samples of labelled documents for fitting classifiers: bounded in rows and in bytes."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import pieces, texts_of
-from .words import ALNUM_FOLDED, _groups, distinct, windows
+from .words import ALNUM_FOLDED, _groups, windows
 
 _SIEVE = 1 << 30
-#: Features are whole words and their first so many bytes.
-STEMS = (4, 6)
+#: Bytes of text that a sample has at most.
+SAMPLE_BYTES = 64 << 20
 #: Copies share minima of their 5-word runs under these mixes.
 _MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -23,35 +25,54 @@ def sample_of(labels: DataFrame, id_: str, columns: list[str], rows: int) -> pa.
     Collected to the driver: ``rows`` bounds it (the expected number; the spread is its square root).
     """
     clean = labels.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), *[F.col(c).cast("int").alias(c) for c in columns]).dropna()
-    n = clean.count()
+    clean = clean.groupBy("id").agg(*[F.max(c).alias(c) for c in columns])
+    n = labels.where(F.col(id_).isNotNull()).select(id_).dropna().agg(F.approx_count_distinct(id_)).first()[0]
     part = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(_SIEVE))
     chosen = clean.where(part < int(_SIEVE * min(1.0, rows / max(n, 1)))) if n > rows else clean
-    return chosen.groupBy("id").agg(*[F.max(c).alias(c) for c in columns]).orderBy("id").toArrow()
+    return chosen.orderBy("id").toArrow()
+
+
+def _marks(texts: list[bytes]) -> list[list[int] | None]:
+    out = []
+    for h, cut in _groups(texts, ALNUM_FOLDED):
+        for i in range(len(cut) - 1):
+            runs = windows(h[cut[i] : cut[i + 1]], 5)
+            out.append([int(m) for m in ((runs[:, None] ^ (runs[:, None] >> np.uint64(31))) * _MIXES).min(0).view(np.int64)] if len(runs) else None)
+    return out
 
 
-def _features(text: str, with_text: bool):
+def _rows(features: Callable[[list[bytes]], list[bytes]]):
     def run(batches):
         for batch in pieces(batches):
-            texts = [batch.column(1)] * with_text
-            words, marks = [], []
-            for h, cut in _groups(texts_of(batch, text), ALNUM_FOLDED, STEMS):
-                for i in range(len(cut) - 1):
-                    own = h[:, cut[i] : cut[i + 1]]
-                    runs = windows(own[0], 5)
-                    words.append(distinct(own.ravel()).view(np.int64))
-                    marks.append([int(m) for m in ((runs[:, None] ^ (runs[:, None] >> np.uint64(31))) * _MIXES).min(0).view(np.int64)] if len(runs) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), *texts], ["id", "words", "marks", "text"][: 3 + with_text])
+            texts = texts_of(batch, "text")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_marks(texts), pa.list_(pa.int64())), pa.array(features(texts), pa.binary())], ["place", "marks", "features"])
 
     return run
 
 
-def labelled_words(docs: DataFrame, chosen: pa.Table, id_: str, text: str, with_text: bool = False) -> pa.Table:
-    """id, distinct hashes of words and stems, and copy marks (and the text) of the chosen documents that exist and have words."""
+def labelled_features(docs: DataFrame, chosen: pa.Table, id_: str, text: str, features: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(rows of ``chosen``, copy marks, features as bytes) of the chosen documents that exist and have words.
+
+    Of an id's different texts, the one with the least hash counts, and repeated rows count once. If the texts have more than
+    ``SAMPLE_BYTES`` bytes, only those with the least hashes are taken; the first is taken in any case.
+    """
     spark = docs.sparkSession
+    none = np.empty(0, np.int64), np.empty((0, 3), np.int64), []
     if not chosen.num_rows:
-        return pa.table({"id": pa.array([], pa.int64()), "words": pa.array([], pa.list_(pa.int64())), "marks": pa.array([], pa.list_(pa.int64())), "text": pa.array([], pa.string())})
-    ids = spark.createDataFrame(chosen.select(["id"]))
-    own = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "id")
-    kind = own.schema["id"].dataType.simpleString()
-    rows = own.mapInArrow(_features("text", with_text), f"id {kind}, words array<long>, marks array<long>" + ", text string" * with_text)
-    return rows.where("marks is not null").orderBy("id", "marks").toArrow()
+        return none
+    ids = spark.createDataFrame(chosen.select(["id"]).append_column("place", pa.array(range(chosen.num_rows), pa.int64())))
+    own = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "id").drop("id")
+    own = own.withColumn("hash", F.xxhash64("text"))
+    lengths = own.groupBy("place").agg(F.min(F.struct("hash", F.octet_length("text").alias("bytes"))).alias("least")).select("place", "least.*").collect()
+    if not lengths:
+        return none
+    lengths.sort(key=lambda r: (r["hash"], r["place"]))
+    total = np.cumsum([r["bytes"] for r in lengths])
+    taken = [(r["place"], r["hash"]) for r, t in zip(lengths, total, strict=True) if t <= SAMPLE_BYTES] or [(lengths[0]["place"], lengths[0]["hash"])]
+    rows = own.join(F.broadcast(spark.createDataFrame(taken, "place long, hash long")), ["place", "hash"]).select("place", "text")
+    found = rows.mapInArrow(_rows(features), "place long, marks array<long>, features binary").where("marks is not null")
+    table = found.groupBy("place").agg(F.first("marks").alias("marks"), F.first("features").alias("features")).toArrow().sort_by("place")
+    if not table.num_rows:
+        return none
+    marks = np.concatenate([c.flatten().to_numpy() for c in table.column("marks").chunks]).reshape(-1, 3)
+    return table.column("place").to_numpy(), marks, table.column("features").to_pylist()

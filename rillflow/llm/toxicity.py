@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 
 from .linear import Sparse, fit_logistic, groups_of_copies, sigmoid, telling
 from .runtime import pieces, texts_of
-from .samples import STEMS, labelled_words, sample_of
-from .words import ALNUM_FOLDED, _groups
+from .samples import labelled_features, sample_of
+from .words import ALNUM_FOLDED, _groups, distinct
 
 #: Labelled rows that the chain is fitted on, at most (about; see samples.sample_of).
 SAMPLE_ROWS = 6000
 FOLDS = 4
+#: Features are whole words and their first so many bytes.
+STEMS = (4, 6)
 #: A category's words are those that so many documents (copies count once) have and that are telling, with so many expected by chance.
 LEAST_DOCS, CHANCE = 4.0, 0.5
 
@@ -41,6 +43,14 @@ class Chain:
         return {"words": self.words, "weights": self.weights, "bits": bits}
 
 
+def word_features(texts: list[bytes]) -> list[bytes]:
+    """The distinct hashes of each text's words and stems."""
+    out = []
+    for h, cut in _groups(texts, ALNUM_FOLDED, STEMS):
+        out += [distinct(h[:, cut[i] : cut[i + 1]].ravel()).tobytes() for i in range(len(cut) - 1)]
+    return out
+
+
 def fit_chain(words: list[np.ndarray], marks: np.ndarray, y: np.ndarray, categories: list[str]) -> Chain:
     """Fit on rows of distinct word hashes; y has a 0/1 column for each category."""
     n = len(words)
@@ -50,9 +60,12 @@ def fit_chain(words: list[np.ndarray], marks: np.ndarray, y: np.ndarray, categor
     _, inverse, size = np.unique(group, return_inverse=True, return_counts=True)
     weight = 1.0 / size[inverse]
     fold = ((group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(FOLDS)
-    row = np.repeat(np.arange(n), [len(w) for w in words])
-    vocabulary, column = np.unique(np.concatenate(words), return_inverse=True)
-    x = Sparse(row, column, n, len(vocabulary))
+    row, every = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w in words]), np.concatenate(words)
+    at = (every >> np.uint64(42)).astype(np.int32)
+    often = np.bincount(at, minlength=1 << 22)[at] >= LEAST_DOCS  # the others cannot be in enough documents
+    row, (vocabulary, column) = row[often], np.unique(every[often], return_inverse=True)
+    del every, at, often
+    x = Sparse(row, column.astype(np.int32), n, len(vocabulary))
     keep = np.stack([telling(x, y[:, k], weight, LEAST_DOCS, CHANCE) for k in range(len(categories))])
     any_ = keep.any(0)
     x, keep = x.columns(any_), keep[:, any_]
@@ -108,7 +121,9 @@ class ToxicityChain:
     p_<category> of each, ``toxic`` (rejected) and ``kept``. ``clean`` gives the documents kept, columns
     unchanged. Null, empty and wordless texts score what the intercepts say (they are kept as long as the
     category is rare). Labels without a document, null ids and null labels are not learned from; without any
-    label nothing is rejected. Repeated rows score alike; further columns are ignored.
+    label nothing is rejected. Of several labels of an id the largest count; its type may differ from that of the documents' id.
+    Whole texts are scored, whatever their length; a probability equal to the limit rejects. Repeated rows score alike;
+    further columns are ignored or carried; an empty table gives no rows.
     """
 
     def __init__(self, categories: list[str], reject: str, limit: float = 0.5, sample_rows: int = SAMPLE_ROWS):
@@ -116,12 +131,9 @@ class ToxicityChain:
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> Chain:
         chosen = sample_of(labels, id_, self.categories, self.sample_rows)
-        rows = labelled_words(docs, chosen, id_, text)
-        place = {i: k for k, i in enumerate(chosen.column("id").to_pylist())}
-        at = np.array([place[i] for i in rows.column("id").to_pylist()], np.int64)
+        at, marks, found = labelled_features(docs, chosen, id_, text, word_features)
         y = np.stack([chosen.column(c).to_numpy()[at] for c in self.categories], 1).astype(float).clip(0, 1) if len(at) else np.empty((0, len(self.categories)))
-        words = [np.array(w.values, np.int64).view(np.uint64) for w in rows.column("words")]
-        marks = np.array([m.as_py() for m in rows.column("marks")], np.int64).reshape(-1, 3)
+        words = [np.frombuffer(w, np.uint64) for w in found]
         return fit_chain(words, marks, y, self.categories)
 
     def scores(self, docs: DataFrame, chain: Chain, id_: str = "doc_id", text: str = "text") -> DataFrame:

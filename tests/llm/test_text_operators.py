@@ -17,7 +17,7 @@ from rillflow.llm import words as W
 from rillflow.llm.compression_rules import BANDS, CHUNK_BANDS, QualityRules, duplicate_lines, in_bands, ratios, repeated_words
 from rillflow.llm.html_extraction import WINDOW, HtmlExtraction, main_text, passages
 from rillflow.llm.language_id import LanguageId, Scorer, learn
-from rillflow.llm.quality_classifier import QualityClassifier, fit
+from rillflow.llm.quality_classifier import BUCKETS, MARKS, QualityClassifier, fit
 from rillflow.llm.secrets import SecretScan, all_spans, base_spans, formats, infer
 from rillflow.llm.toxicity import ToxicityChain, categories_of, fit_chain
 
@@ -553,6 +553,86 @@ def test_toxicity_chain(spark, odd, empty):
     assert chain.clean(docs, blank).count() == docs.count() and chain.scores(empty, model).count() == 0
 
 
+def test_labels_of_another_type_repeated_labels_and_long_texts(spark, monkeypatch):
+    """Ids as strings, labels and documents twice, one id with two texts, and a sample bounded in bytes."""
+    from rillflow.llm import samples
+
+    docs, labels = labelled(spark)
+    chain = ToxicityChain(["junk", "toxic", "severe"], "toxic", 0.3)
+    plain = chain.fit(docs, categories_of(labels))
+    as_text = labels.union(labels).withColumn("doc_id", F.col("doc_id").cast("string"))
+    other = chain.fit(docs.union(docs), categories_of(as_text))
+    assert sorted(other.words.tolist()) == sorted(plain.words.tolist())
+    got = chain.scores(docs, other).collect()
+    assert all(r.toxic == (r.doc_id % 5 == 0) for r in got)
+    two = docs.union(spark.createDataFrame([(1, LONG)], "doc_id bigint, text string"))
+    assert chain.fit(two, categories_of(labels)).categories == chain.categories
+    monkeypatch.setattr(samples, "SAMPLE_BYTES", 5000)
+    chosen = samples.sample_of(categories_of(labels), "doc_id", ["toxic"], 10_000)
+    at, marks, found = samples.labelled_features(two, chosen, "doc_id", "text", lambda texts: texts)
+    assert 5 < len(at) == len(marks) == len(found) and sum(map(len, found)) <= 5000
+    monkeypatch.setattr(samples, "SAMPLE_BYTES", 1)
+    assert len(samples.labelled_features(two, chosen, "doc_id", "text", lambda texts: texts)[0]) == 1
+
+
+def brute_chain(chain, texts):
+    """Probabilities by the definition: words and stems by regular expressions, one text and one category after another."""
+    out = []
+    for t in texts:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", t.lower())
+        known = set()
+        for kind, stem in enumerate((None, 4, 6)):
+            for w in words:
+                known.add(int(next(W._groups([w], W.ALNUM_FOLDED, (4, 6)))[0][kind][0]))
+        held = [k for k, w in enumerate(chain.words.tolist()) if w in known]
+        p = []
+        for w in chain.weights:
+            z = sum(w[k] for k in held) + sum(w[len(chain.words) + j] * q for j, q in enumerate(p)) + w[-1]
+            p.append(1 / (1 + np.exp(-z)))
+        out.append(p)
+    return np.array(out)
+
+
+def test_chain_scores_equal_brute_force(spark):
+    docs, labels = labelled(spark)
+    chain = ToxicityChain(["junk", "toxic", "severe"], "toxic", 0.3)
+    model = chain.fit(docs, categories_of(labels))
+    rows = docs.limit(80).collect() + spark.createDataFrame([(900, ""), (901, "GROLK, grolky!"), (902, "é1 gro")], docs.schema).collect()
+    got = {r.doc_id: r for r in chain.scores(spark.createDataFrame(rows, docs.schema), model).collect()}
+    want = brute_chain(model, [r.text.encode() for r in rows])
+    for r, p in zip(rows, want, strict=True):
+        assert [got[r.doc_id][f"p_{c}"] for c in chain.categories] == pytest.approx(p.tolist(), abs=1e-9)
+
+
+def test_grades_equal_brute_force(spark):
+    """Expected grades and tails from word and punctuation counts of one text at a time."""
+    docs, labels = labelled(spark)
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("rating"))
+    model = QualityClassifier().fit(docs, ratings)
+    rows = docs.limit(60).collect() + spark.createDataFrame([(900, ""), (901, "### !!"), (902, "é1 gro")], docs.schema).collect()
+    got = {r.doc_id: r for r in QualityClassifier().grade(spark.createDataFrame(rows, docs.schema), model).collect()}
+    for r in rows:
+        score = 0.0
+        for kind, (pattern, alphabet) in enumerate(((rb"[0-9A-Za-z\x80-\xff]+", W.ALNUM_FOLDED), (rb"[!-/:-@\[-`{-~]+", MARKS))):
+            found = re.findall(pattern, r.text.encode())
+            buckets = [int(next(W.word_hashes([w], alphabet))[0] >> np.uint64(50)) for w in found]
+            for b in set(buckets):
+                score += model.weights[kind * BUCKETS + b] * np.sqrt(buckets.count(b) / len(found))
+        tails = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        assert got[r.doc_id].expected_grade == pytest.approx(sum(tails), abs=1e-9)
+        assert got[r.doc_id].tail_probability == pytest.approx(tails[0], abs=1e-9)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    from rillflow.llm import language_id
+
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.raises(ValueError):
+        LanguageId().learn(df)
+    assert LanguageId().learn(df.limit(3))["languages"]
+
+
 def test_copies_of_a_mislabelled_text_teach_nothing():
     rnd = np.random.default_rng(1)
     base = [np.unique(rnd.integers(0, 1 << 60, 30).astype(np.uint64)) for _ in range(100)]
