@@ -13,7 +13,7 @@ def _url_filters() -> str:
     fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in rules)
     verdicts = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in rules)
     ordered = sorted(PATTERNS, key=lambda r: (-len(r.name), r.name))
-    patterns = " ".join(f"WHEN regexp_matches(host || after, '{r.pattern}') THEN '{r.name}'" for r in ordered)
+    patterns = " ".join(f"WHEN regexp_matches(translate(host || after, {_LOWER}), '{r.pattern}') THEN '{r.name}'" for r in ordered)
     return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
  h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
  p AS (SELECT page_id, translate(raw, {_LOWER}) AS host, substr(rest, length(raw) + 1) AS after FROM h),

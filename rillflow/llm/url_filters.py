@@ -1,7 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token. DataFrame functions only.
 
-Each rule has literal tokens (runs of ASCII letters and digits that any URL it matches contains as whole tokens) and a
-regular expression. It is filed under the one of its tokens that fewest URLs contain. A URL's own tokens fetch the
+Each rule has literal tokens (runs of ASCII letters and digits that any URL it matches contains as whole tokens, in either
+case) and a regular expression. It is filed under the one of its tokens that fewest URLs contain. A URL's own tokens fetch the
 rules filed under them, and only those expressions run. Rules without a token would run on every URL; they are refused.
 """
 
@@ -21,27 +21,30 @@ IN_ROW = 2000
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` runs on the lower-cased host and all that follows it. Of the rules that match, that of the highest
-    rank decides, then the longest name, then block before allow, then the first by name."""
+    """``pattern`` runs on the lower-cased host and all that follows it, of which A-Z are lower-cased too if ``fold``. Tokens are
+    lower-case. Of the rules that match, that of the highest rank decides, then the longest name, then block before allow, then
+    the first by name."""
 
     name: str
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
     rank: int = 0
+    fold: bool = True
 
 
 def address_rule(verdict: str, host: str, path: str) -> Rule:
     """Fits a host and its subdomains where the URL's path starts with ``path``."""
     tokens = _TOKEN.findall(host.lower())
     inner = [m for m in _TOKEN.finditer(path) if m.start() > 0 and m.end() < len(path)]
-    return Rule(host.lower() + path, verdict, rf"^(?:[^/?#]*\.)?{re.escape(host.lower())}{re.escape(path)}", tuple(tokens + [m[0] for m in inner]), 1)
+    return Rule(host.lower() + path, verdict, rf"^(?:[^/?#]*\.)?{re.escape(host.lower())}{re.escape(path)}", tuple(tokens + [m[0].lower() for m in inner]), 1, False)
 
 
 #: Patterns for URLs that no address rule fits: places that hold no text worth keeping.
 PATTERNS = (
     *[Rule(f"host:{w}", "block", rf"^(?:[^/?#]*[^a-z0-9/?#])?{w}(?:[^a-z0-9/?#][^/?#]*)?(?:[/?#]|$)", (w,)) for w in ("ads", "adserver", "doubleclick", "tracker", "casino", "porn", "xxx", "torrent", "warez", "viagra")],
     *[Rule(f"path:{w}", "block", rf"^[^/?#]*/(?:[^?#]*/)?{w}(?:[/.?#]|$)", (w,)) for w in ("login", "signin", "signup", "register", "logout", "cart", "checkout", "basket", "wishlist", "unsubscribe")],
+    *[Rule(f"path:{'-'.join(w)}", "block", rf"^[^/?#]*/(?:[^?#]*/)?{'[-_]'.join(w)}(?:[/.?#]|$)", w) for w in (("wp", "login"), ("wp", "admin"), ("add", "to", "cart"), ("my", "account"), ("forgot", "password"), ("cgi", "bin"))],
     *[Rule(f"file:{w}", "block", rf"^[^?#]*\.{w}(?:[?#]|$)", (w,)) for w in ("exe", "dmg", "apk", "iso", "msi", "zip", "rar", "7z")],
     *[Rule(f"query:{w}", "block", rf"^[^?#]*\?(?:[^#]*&)?{w}=", (w,)) for w in ("phpsessid", "jsessionid", "sessionid", "sid")],
 )
@@ -61,8 +64,8 @@ class UrlFilter:
 
     ``judge`` gives a row per page row: id, host, path, ``rule`` and ``verdict``; ``rule`` names the deciding address
     rule (null if none fits), ``pattern`` the deciding pattern rule (null if an address rule decides or none matches).
-    A null URL or one without ``://`` has an empty host and path and matches nothing. Repeated rows are judged
-    alike; other columns are ignored. Up to ``IN_ROW`` rules, the index is a map constant and nothing is shuffled;
+    A null URL or one without ``://`` has an empty host and path and matches nothing. Whole URLs are judged, whatever their
+    length. Repeated rows are judged alike; other columns are ignored; an empty table gives no rows. Up to ``IN_ROW`` rules, the index is a map constant and nothing is shuffled;
     beyond that, distinct addresses are joined with the index by token and the verdicts joined back.
     """
 
@@ -80,8 +83,8 @@ class UrlFilter:
         return {r["token"]: r["count"] for r in tokens.groupBy("token").count().collect()}
 
     def _tokens(self, address: Column, wanted: list[str]) -> Column:
-        """The distinct tokens of an address that are among ``wanted``."""
-        found = F.split(address, "[^A-Za-z0-9]+")
+        """The distinct tokens of an address, A-Z lower-cased, that are among ``wanted``."""
+        found = F.split(F.translate(address, _UPPER, _LOWER), "[^a-z0-9]+")
         return F.array_intersect(found, F.array(*[F.lit(t) for t in wanted])) if wanted else F.array().cast("array<string>")
 
     def index(self, frequencies: dict[str, int]) -> dict[str, list[int]]:
@@ -119,12 +122,15 @@ class UrlFilter:
         index = F.create_map(*[x for t, ks in sorted(filed.items()) for x in (F.lit(t), F.array(*[F.lit(k) for k in ks]))])
         patterns = F.array(*[F.lit(r.pattern) for r in self.rules])
         fetched = F.flatten(F.transform(self._tokens(address, sorted(filed)), lambda t: F.try_element_at(index, t)))
-        return F.array_min(F.filter(fetched, lambda k: F.regexp_like(address, F.get(patterns, k))))
+        folded = F.array(*[F.lit(r.fold) for r in self.rules])
+        lower = F.translate(address, _UPPER, _LOWER)
+        return F.array_min(F.filter(fetched, lambda k: F.regexp_like(F.when(F.get(folded, k), lower).otherwise(address), F.get(patterns, k))))
 
     def _joined(self, rows: DataFrame, filed: dict[str, list[int]]) -> DataFrame:
         spark = rows.sparkSession
-        rules = spark.createDataFrame([(t, k, self.rules[k].pattern) for t, ks in filed.items() for k in ks], "token string, k int, pattern string")
+        rules = spark.createDataFrame([(t, k, self.rules[k].pattern, self.rules[k].fold) for t, ks in filed.items() for k in ks], "token string, k int, pattern string, fold boolean")
         distinct = rows.select("__address").distinct()
-        tokens = distinct.select("__address", F.explode(F.array_distinct(F.split("__address", "[^A-Za-z0-9]+"))).alias("token"))
-        hits = tokens.join(rules, "token").where(F.regexp_like("__address", F.col("pattern"))).groupBy("__address").agg(F.min("k").alias("__rule"))
+        tokens = distinct.select("__address", F.translate("__address", _UPPER, _LOWER).alias("lower"))
+        tokens = tokens.select("__address", "lower", F.explode(F.array_distinct(F.split("lower", "[^a-z0-9]+"))).alias("token"))
+        hits = tokens.join(rules, "token").where(F.regexp_like(F.when(F.col("fold"), F.col("lower")).otherwise(F.col("__address")), F.col("pattern"))).groupBy("__address").agg(F.min("k").alias("__rule"))
         return rows.join(hits, "__address", "left")

@@ -425,6 +425,13 @@ def test_url_filters(spark, monkeypatch):
         "http://heads.net/loginx": ("heads.net", "/loginx", None, "allow"),
         "http://a.net/f.exe": ("a.net", "/f.exe", None, "block"),
         "http://a.net/x?a=1&sid=2": ("a.net", "/x", None, "block"),
+        "http://a.net/X/LOGIN": ("a.net", "/X/LOGIN", None, "block"),
+        "http://a.net/F.Exe": ("a.net", "/F.Exe", None, "block"),
+        "http://a.net/wp-login.php": ("a.net", "/wp-login.php", None, "block"),
+        "http://a.net/wp/x-login-y": ("a.net", "/wp/x-login-y", None, "allow"),
+        "http://a.net/shop/Add_To_Cart?x": ("a.net", "/shop/Add_To_Cart", None, "block"),
+        "http://a.net/" + "x/" * 200_000 + "login": ("a.net", "/" + "x/" * 200_000 + "login", None, "block"),
+        "http://" + "a." * 100_000 + "org/": ("a." * 100_000 + "org", "/", "org/", "allow"),
         "no scheme": ("", "", None, "allow"),
         "x://": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
@@ -440,6 +447,9 @@ def test_url_filters(spark, monkeypatch):
     with pytest.raises(ValueError):
         UrlFilter((Rule("any", "block", ".*", ()),))
     assert UrlFilter(rules).index({"example": 9, "org": 1, "en": 5})["org"]
+    filed = UrlFilter(rules).index({"wp": 3, "login": 90, "add": 5, "to": 70, "cart": 2})
+    names = {t: {UrlFilter(rules).rules[k].name for k in ks} for t, ks in filed.items()}
+    assert "path:wp-login" in names["wp"] and "path:add-to-cart" in names["cart"] and "to" not in names
 
 
 # Pipeline
