@@ -3,6 +3,10 @@
 Toxic documents go, one document of each class of near copies stays, documents that hold benchmark items go,
 secrets are redacted, and sources are mixed to target weights. Every stage but the last returns the columns of
 ``documents``; the last adds ``copy``, the number of a document's copy in the mix.
+
+All stages carry further columns under any names, read whole texts of any length, and give an empty table for an empty one.
+Documents with a null, empty or wordless text are neither toxic nor copies nor contaminated and hold no secret; as their size is
+0, they are mixed in as often as any other. Null ids are copies like others and lose to any id; null sources are one source.
 """
 
 from __future__ import annotations
@@ -26,29 +30,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on labelled documents among them, does not reject."""
+    """Documents that the classifier chain, fitted on labelled documents among them, does not reject; without labels, all.
+
+    A probability equal to the limit rejects. Repeated rows score alike, so they stay or go together.
+    """
     chain = standard_chain()
     return chain.clean(docs, chain.fit(docs, categories_of(_table(spark, sf_dir, "labels"))))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class that n-gram Jaccard similarity links."""
+    """One document of each class that n-gram Jaccard similarity links: that with the smallest id; of repeated rows, one.
+
+    All documents with an empty set stay.
+    """
     return keep_one(docs, NgramJoin(size=5, threshold=75))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents whose tiles cover less than half of each benchmark item; with an empty benchmark, all. Repeated rows stay or go together."""
     return Decontamination().clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets redacted."""
+    """All documents, their secrets redacted and ``n_chars`` recounted where that changes a text; a null text stays null."""
     scan = SecretScan()
     return scan.redact(docs, scan.learn(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, by size and then a hash of id and text; of equal rows, so many as their number in the order says."""
     return SourceMix((3, 1, 2), 1.5, 2.0).emit(docs)
 
 
