@@ -404,6 +404,40 @@ def test_mixing_takes_any_column_names(spark):
     assert SourceMix().emit(df.limit(0)).count() == 0
 
 
+def test_long_texts_are_mixed_and_tiled_whole(spark):
+    long = "word " * 400_000
+    item = " ".join(f"item{i}" for i in range(40))
+    rows = [(1, long, "a"), (2, f"{long} {item}", "a"), (3, "x y z", "a"), (4, None, "b"), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id: r["__mix_size"] for r in SourceMix().weigh(df).collect()} == {1: 400_000, 2: 400_040, 3: 3, 4: 0, 5: 0}
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert [(r.doc_id, r.covered) for r in Decontamination().matches(df, bench).collect()] == [(2, 40)]
+
+
+def test_stages_carry_any_column_names(spark, tmp_path):
+    """Every stage over a table with nulls, repeated rows, odd column names and a map, and over an empty one."""
+    import corpus_pipeline
+
+    names = ["mark", "key", "id", "gram", "words", "place", "hash", "__mark", "size", "start", "u"]
+    schema = SCHEMA + ", " + ", ".join(f"{n} string" for n in names) + ", m map<string, int>"
+    texts = [None, "", "one", "a b c d e f g", "a b c d e f g", "password = abcdefgh12", "word " * 100_000]
+    rows = [(i, t, "en", None if i % 3 == 0 else "s", 1, *[f"{n}{i}" for n in names], {"k": i}) for i, t in enumerate(texts)] + [(None, "a b c d e f g", None, None, None, *[None] * len(names), None)]
+    for rows_, folder in ((rows + rows[2:4], "full"), ([], "none")):
+        top = tmp_path / folder
+        spark.createDataFrame(rows_, schema).write.parquet(str(top / "documents.parquet"))
+        spark.createDataFrame([(2, 1, 1), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+        spark.createDataFrame([(1, "x y z w v")], "item_id bigint, text string").write.parquet(str(top / "benchmark.parquet"))
+        docs = spark.read.parquet(str(top / "documents.parquet"))
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before, docs = docs, stage(spark, docs, str(top))
+            assert docs.columns == [*before.columns, "copy"][: len(before.columns) + (k == 4)]
+            docs.write.parquet(str(top / name))
+            docs = spark.read.parquet(str(top / name))
+            for r in docs.collect():
+                assert r.doc_id is None or [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names] and r.m == {"k": r.doc_id}
+        assert docs.count() == 0 or {r.doc_id for r in spark.read.parquet(str(top / "ngram_jaccard_join")).collect()} == {0, 1, 2, 3, 5, 6}
+
+
 # URL filters
 
 
