@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import pieces, texts_of
+from .runtime import pieces, small_batches, texts_of
 from .words import PLAIN, _groups, windows
 
 LEVEL = 3
@@ -105,6 +105,7 @@ class QualityRules:
     """
 
     def judge(self, docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+        small_batches(docs.sparkSession)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
         def run(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .marks import without
-from .runtime import Stash, pieces, texts_of
+from .runtime import Stash, pieces, small_batches, texts_of
 from .words import ALNUM_FOLDED, shingles
 
 #: Bytes of benchmark text whose seeds are sent to the executors at a time; a larger benchmark goes in blocks.
@@ -181,6 +181,7 @@ class Decontamination:
         return {"bits": bits, "grams": values, "start": np.append(first, len(g)).astype(np.int64), "item": flat(own), "place": flat(place), "items": items, "lengths": lengths}
 
     def matches(self, docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+        small_batches(docs.sparkSession)
         sc, stash, out = docs.sparkSession.sparkContext, None, None
         own = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
         fields = [(id_, docs.schema[id_].dataType), (item, benchmark.schema[item].dataType), ("n_words", T.LongType()), ("covered", T.LongType()), ("coverage", T.DoubleType()), ("n_tiles", T.LongType()), ("longest", T.LongType()), ("contaminated", T.BooleanType())]
@@ -197,6 +198,7 @@ class Decontamination:
         return out
 
     def clean(self, docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+        small_batches(docs.sparkSession)
         sc, stash, found = docs.sparkSession.sparkContext, None, None
         mark = F.xxhash64(F.lit("decontamination"), F.col(text).cast("string"))
         for k, (seeds, _, _, only) in enumerate(self.blocks(benchmark, item, item_text)):

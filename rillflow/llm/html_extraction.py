@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import pieces
+from .runtime import pieces, small_batches
 
 WINDOW, SURGE = 3, 80
 #: What a character weighs by how surely its line is marked as article: not, by class or id, as main, as article.
@@ -310,6 +310,8 @@ class HtmlExtraction:
 
     def extract(self, pages: DataFrame, id_: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
 
+        small_batches(pages.sparkSession)
+
         def run(batches):
             for batch in pieces(batches):
                 texts = [main_text(p) for p in batch.column(0).to_pylist()]

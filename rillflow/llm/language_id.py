@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import pieces, texts_of
+from .runtime import pieces, small_batches, texts_of
 
 ORDER = 4
 #: Bytes of text that a language is learned from, and all languages together, at most (about).
@@ -202,6 +202,7 @@ class LanguageId:
 
     def predict(self, docs: DataFrame, model: dict, id_: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         spark = docs.sparkSession
+        small_batches(spark)
         held = spark.sparkContext.broadcast(model)
         value = F.col(text).cast("string")
         rows = docs.select(value.alias("text"), F.coalesce(value.rlike(r"\p{L}"), F.lit(False)).alias("letter"), *[F.col(c) for c in (id_, *keep)])

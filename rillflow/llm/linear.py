@@ -66,22 +66,18 @@ def fit_logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray
     return w
 
 
-def telling(x: Sparse, y: np.ndarray, weight: np.ndarray, least_rows: float, chance: float) -> np.ndarray:
-    """Columns that ``least_rows`` rows have and whose share of y is unlike the rest's.
+def telling(have: np.ndarray, have_y: np.ndarray, n: float, n_y: float, chance: float) -> np.ndarray:
+    """Which of some columns have a share of y unlike the rest's: ``have`` rows have the column, ``have_y`` of them y, of n and n_y in all.
 
-    The likelihood ratio must be so large that among all such columns one as unlike by chance is expected
+    The likelihood ratio must be so large that among all these columns one as unlike by chance is expected
     ``chance`` times (exp(-ratio / 2) bounds the chance of a column whose rows all have y).
     """
-    have, have_y = x.back(weight), x.back(weight * y)
-    n, n_y = weight.sum(), (weight * y).sum()
-
     def fit(k, m):
         p = k / np.maximum(m, 1e-12)
         return np.where(k > 1e-9, k * np.log(np.maximum(p, 1e-12)), 0.0) + np.where(m - k > 1e-9, (m - k) * np.log(np.maximum(1 - p, 1e-12)), 0.0)
 
     ratio = 2 * (fit(have_y, have) + fit(n_y - have_y, n - have) - fit(n_y, n))
-    often = have >= least_rows
-    return often & (ratio >= 2 * np.log(max(1, int(often.sum())) / chance))
+    return ratio >= 2 * np.log(max(1, len(have)) / chance)
 
 
 def groups_of_copies(signatures: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import groups_of_copies, sigmoid
-from .runtime import pieces, texts_of
+from .runtime import pieces, small_batches, texts_of
 from .samples import labelled_features, sample_of
 from .words import ALNUM_FOLDED, Alphabet, _groups
 
@@ -137,6 +137,7 @@ class QualityClassifier:
 
     def grade(self, docs: DataFrame, model: CumulativeLink, id_: str = "doc_id", text: str = "text") -> DataFrame:
         spark = docs.sparkSession
+        small_batches(spark)
         held = spark.sparkContext.broadcast((model.grades, model.weights, model.thresholds))
         beyond, limit = self.beyond, self.limit
 

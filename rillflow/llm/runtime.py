@@ -10,11 +10,18 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes (one longer row aside) that a function takes at a time. Spark itself sends batches of at most
-#: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless the session says otherwise).
+#: Rows and bytes (one longer row aside) that a function takes at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-#: Spark's settings while a table is written here: shuffle files go at the end of the query, and Arrow batches are small.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+#: Spark's setting of how many bytes of rows it sends to Python at a time.
+_SENT = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's setting that deletes the shuffle files of a query at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, unless the session sets a size. Returned frames run later, so the setting stays."""
+    if _SENT not in spark.conf.getAll:
+        spark.conf.set(_SENT, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,15 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _settings(spark: SparkSession):
-    before = {name: spark.conf.get(name) for name in _SETTINGS}
-    for name, value in _SETTINGS.items():
-        spark.conf.set(name, value)
+def _cleaning(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        spark.conf.set(_CLEANUP, before)
 
 
 class Stash:
@@ -52,6 +57,7 @@ class Stash:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
@@ -66,7 +72,7 @@ class Stash:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        with _settings(self.spark):
+        with _cleaning(self.spark):
             df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import pieces, texts_of
+from .runtime import pieces, small_batches, texts_of
 from .words import ALNUM_FOLDED, _groups, windows
 
 _SIEVE = 1 << 30
@@ -57,6 +57,7 @@ def labelled_features(docs: DataFrame, chosen: pa.Table, id_: str, text: str, fe
     ``SAMPLE_BYTES`` bytes, only those with the least hashes are taken; the first is taken in any case.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     none = np.empty(0, np.int64), np.empty((0, 3), np.int64), []
     if not chosen.num_rows:
         return none

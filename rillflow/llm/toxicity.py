@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import Sparse, fit_logistic, groups_of_copies, sigmoid, telling
-from .runtime import pieces, texts_of
+from .runtime import pieces, small_batches, texts_of
 from .samples import labelled_features, sample_of
 from .words import ALNUM_FOLDED, _groups, distinct
 
@@ -28,6 +28,8 @@ FOLDS = 4
 STEMS = (4, 6)
 #: A category's words are those that so many documents (copies count once) have and that are telling, with so many expected by chance.
 LEAST_DOCS, CHANCE = 4.0, 0.5
+#: Parts of the vocabulary (a power of two) that are counted one after another.
+PARTS = 8
 
 
 @dataclass
@@ -61,14 +63,24 @@ def fit_chain(words: list[np.ndarray], marks: np.ndarray, y: np.ndarray, categor
     weight = 1.0 / size[inverse]
     fold = ((group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(FOLDS)
     row, every = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w in words]), np.concatenate(words)
-    at = (every >> np.uint64(42)).astype(np.int32)
-    often = np.bincount(at, minlength=1 << 22)[at] >= LEAST_DOCS  # the others cannot be in enough documents
-    row, (vocabulary, column) = row[often], np.unique(every[often], return_inverse=True)
-    del every, at, often
-    x = Sparse(row, column.astype(np.int32), n, len(vocabulary))
-    keep = np.stack([telling(x, y[:, k], weight, LEAST_DOCS, CHANCE) for k in range(len(categories))])
+    stats = [np.empty((0, 1 + len(categories)))]
+    vocabulary = [np.empty(0, np.uint64)]
+    for part in range(PARTS):  # words by the upper bits of their hashes, so that little is sorted at a time
+        mine = (every >> np.uint64(64 - PARTS.bit_length() + 1)) == part
+        own, column = np.unique(every[mine], return_inverse=True)
+        w = weight[row[mine]]
+        have = np.bincount(column, w, len(own))
+        often = have >= LEAST_DOCS
+        vocabulary.append(own[often])
+        stats.append(np.stack([have, *[np.bincount(column, w * y[row[mine], k], len(own)) for k in range(len(categories))]], 1)[often])
+    vocabulary, stats = np.concatenate(vocabulary), np.concatenate(stats)
+    keep = np.stack([telling(stats[:, 0], stats[:, 1 + k], weight.sum(), (weight * y[:, k]).sum(), CHANCE) for k in range(len(categories))])
     any_ = keep.any(0)
-    x, keep = x.columns(any_), keep[:, any_]
+    keep, vocabulary = keep[:, any_], vocabulary[any_]
+    at = np.minimum(np.searchsorted(vocabulary, every), max(0, len(vocabulary) - 1))
+    hit = vocabulary[at] == every if len(vocabulary) else np.zeros(len(every), bool)
+    x = Sparse(row[hit].astype(np.int64), at[hit], n, len(vocabulary))
+    del row, every, at, hit
     earlier, weights, base = np.empty((n, 0)), [], []
     for k in range(len(categories)):
         own, out = x.columns(keep[k]), np.zeros(n)
@@ -85,7 +97,7 @@ def fit_chain(words: list[np.ndarray], marks: np.ndarray, y: np.ndarray, categor
         weights.append(np.concatenate([full, w[own.n_columns :]]))
         base.append(float((weight * y[:, k]).sum() / weight.sum()))
         earlier = np.hstack([earlier, out[:, None]])
-    return Chain(categories, vocabulary[any_], weights, base)
+    return Chain(categories, vocabulary, weights, base)
 
 
 def _probabilities(chain: dict, texts: list[bytes]) -> np.ndarray:
@@ -138,6 +150,7 @@ class ToxicityChain:
 
     def scores(self, docs: DataFrame, chain: Chain, id_: str = "doc_id", text: str = "text") -> DataFrame:
         spark = docs.sparkSession
+        small_batches(spark)
         names = [f"p_{c}" for c in self.categories]
         held, limit, k = spark.sparkContext.broadcast(chain.to_dict()), self.limit, self.categories.index(self.reject)
 
@@ -152,6 +165,7 @@ class ToxicityChain:
 
     def clean(self, docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         spark = docs.sparkSession
+        small_batches(spark)
         held, limit, k = spark.sparkContext.broadcast(chain.to_dict()), self.limit, self.categories.index(self.reject)
 
         def run(batches):
