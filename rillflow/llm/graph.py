@@ -11,7 +11,7 @@ from .runtime import Stash
 def components(edges: DataFrame, stash: Stash, tag: str) -> DataFrame:
     """(key, comp) for each vertex of ``edges`` (a, b); comp is a vertex of the same component.
 
-    Each round every vertex points to its smallest neighbour, pointers are doubled until they reach
+    Each round every vertex points to its smallest neighbour, pointers are followed three at a time until they reach
     roots, and edges are rewritten between roots; a round at least halves the vertices that still have
     edges. All steps are joins and partial aggregations; a hot vertex (the middle of a large star)
     is pre-aggregated or split by the adaptive skew join. Self-loops and repeated edges are harmless.
@@ -26,7 +26,8 @@ def components(edges: DataFrame, stash: Stash, tag: str) -> DataFrame:
         jump = 0
         while True:
             of = parent.select(F.col("key").alias("up"), F.col("up").alias("top"))
-            jumped = parent.join(of, "up").select("key", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            twice = of.join(of.select(F.col("up").alias("top"), F.col("top").alias("last")), "top").select("up", "top", "last")
+            jumped = parent.join(twice, "up").select("key", F.col("last").alias("up"), (F.col("last") != F.col("top")).alias("moved"))
             jumped = stash.put(f"{tag}-up{turn}-{jump + 1}", jumped)
             moved = not jumped.where("moved").isEmpty()
             stash.drop(f"{tag}-up{turn}-{jump}")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes (one longer row aside) that a function takes at a time.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 #: Spark's setting of how many bytes of rows it sends to Python at a time.
 _SENT = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's setting that deletes the shuffle files of a query at its end.

@@ -188,7 +188,7 @@ def test_long_texts_go_in_small_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * (3 << 20)] * 5 + ["y"] * 2500 + ["z" * (9 << 20)])], ["t"])
     parts = list(pieces(iter([batch])))
     assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
-    assert all(p.num_rows == 1 or p.nbytes <= 8 << 20 for p in parts) and max(p.num_rows for p in parts) <= 1000
+    assert all(p.num_rows == 1 or p.nbytes <= 2 << 20 for p in parts) and max(p.num_rows for p in parts) <= 1000
 
 
 def test_the_shared_folder_must_be_named_on_a_cluster(monkeypatch):
