@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import filters
 from .filters import BitFilter
-from .graph import components, relabel
+from .graph import components, relabel, roots
 from .marks import dealt, filter_of, passing
 from .runtime import Stash, fresh, pieces, texts_of
 from .words import PLAIN_FOLDED, distinct, shingles
@@ -261,13 +261,13 @@ def across_classes(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
     y's classes are among x's. The classes of a group are numbered; two rows meet at the uppermost bit where the
     numbers of their classes differ, so a row is repeated for each bit of the largest number.
     """
+    of = Window.partitionBy(*on)
     classes = x.select(*on, F.col("ca").alias("c")).distinct()
-    many = classes.groupBy(*on).agg(F.count("*").alias("k")).where("k > 1")
-    ranked = classes.join(many, on).withColumn("r", F.row_number().over(Window.partitionBy(*on).orderBy("c")) - 1)
+    ranked = classes.withColumn("k", F.count("*").over(of)).withColumn("r", F.row_number().over(of.orderBy("c")) - 1).where("k > 1")
     bits = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("k") - 1)) - 1)))
     bits = bits.select(*on, "c", "bit", F.expr("(shiftright(r, bit) & 1)").alias("side"), F.expr("shiftright(r, bit + 1)").alias("above"))
-    left = x.join(bits.withColumnRenamed("c", "ca"), [*on, "ca"])
-    right = y.join(bits.withColumnRenamed("c", "cb").withColumn("side", 1 - F.col("side")), [*on, "cb"])
+    left = x.withColumnRenamed("ca", "c").join(bits, [*on, "c"]).withColumnRenamed("c", "ca")
+    right = y.withColumnRenamed("cb", "c").join(bits, [*on, "c"]).withColumnRenamed("c", "cb").withColumn("side", 1 - F.col("side"))
     return left.join(right, [*on, "bit", "above", "side"])
 
 
@@ -294,7 +294,7 @@ class NgramJoin:
         return index.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), "component_id")
 
     def index(self, docs: DataFrame, id_: str, text: str) -> DataFrame:
-        """(id, mark, n, key, comp, component_id) of each row; mark names the row's id and text, key its set and comp its class (both null if it is empty)."""
+        """(id, mark, n, key, component_id, first) of each row; mark names the row's id and text, key its set (null if it is empty) and first the mark of its class's first row, by id (null last), key and mark."""
         spark = docs.sparkSession
         stash, sc = Stash(spark, "ngram-join"), spark.sparkContext
         id_type = docs.schema[id_].dataType
@@ -312,18 +312,19 @@ class NgramJoin:
         shared = self._shared(texts, nodes.select("mark"), sets, grams, often, stash)
         labels = stash.put("labels", self._labels(texts, shared, nodes, stash))
         often.destroy()
-        stash.drop("shared", "stars", "verified-stars", "star-labels", "held", "pairs")
+        stash.drop("shared", "stars", "verified-stars", "held", "pairs")
 
-        named = stash.put("named", nodes.select("key", "low", "copies").join(labels, "key", "left"))
+        named = stash.put("named", nodes.drop("n").join(labels, "key", "left"))
         linked = named.where("comp is not null")
-        lows = linked.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
-        alone = named.where("comp is null").select("key", F.col("key").alias("comp"), F.col("low").alias("component_id"), "copies")
-        linked = even_join(linked.select("key", "comp", "copies"), lows, "comp", "members", sets).select("key", "comp", "component_id", "copies")
+        least = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key", "mark")).alias("least")
+        lows = linked.groupBy("comp").agg(least, F.count("*").alias("members"))
+        lows = lows.select("comp", F.col("least.low").alias("component_id"), F.col("least.mark").alias("first"), "members")
+        alone = named.where("comp is null").select("key", F.col("low").alias("component_id"), F.col("mark").alias("first"), "copies")
+        linked = even_join(linked.select("key", "comp", "copies"), lows, "comp", "members", sets).select("key", "component_id", "first", "copies")
         found = stash.put("found", alone.union(linked))
         stash.drop("nodes", "labels", "named")
-        full = even_join(rows.where("key is not null"), found, "key", "copies", total).select("id", "mark", "n", "key", "comp", "component_id")
-        none = F.lit(None).cast("long")
-        return full.union(rows.where("key is null").select("id", "mark", "n", "key", none.alias("comp"), F.col("id").alias("component_id")))
+        full = even_join(rows.where("key is not null"), found, "key", "copies", total).select("id", "mark", "n", "key", "component_id", "first")
+        return full.union(rows.where("key is null").select("id", "mark", "n", "key", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("first")))
 
     def _shared(self, texts: DataFrame, marks: DataFrame, sets: int, grams: int, often, stash: Stash) -> DataFrame:
         """(key, n, match, weight, grams, early) of each set: the prefix n-grams that more than one set has in its prefix (and few others)."""
@@ -342,7 +343,7 @@ class NgramJoin:
         """(key, comp) of all keys that have a link."""
         stars = stash.put("stars", self._stars(shared))
         stars = stash.put("verified-stars", self._verified(texts, stars, nodes, stash))
-        labels = stash.put("star-labels", components(stars.where("linked"), stash, "stars"))
+        labels = self._star_labels(stars.where("linked"), stash)
         members = labels.groupBy("comp").agg(F.count("*").alias("members"))
         sized = even_join(labels, members.select("comp", (F.col("members") > LARGE).alias("large"), "members"), "comp", "members", labels.count())
         hubs = stars.where("rest is not null").select(F.col("b").alias("key"), F.col("a").alias("hub"), F.col("both").alias("held"))
@@ -358,6 +359,12 @@ class NgramJoin:
         rest_of = more.join(labels, "key", "left_anti")
         return relabel(labels, more).union(rest_of)
 
+    def _star_labels(self, linked: DataFrame, stash: Stash) -> DataFrame:
+        """(key, comp) of the ends of linked star pairs. A leader comes after those it leads in the order of weight and key, so there are no cycles."""
+        led = linked.select(F.col("b").alias("key"), F.col("a").alias("up"))
+        first = linked.select(F.col("a").alias("key")).distinct().join(led, "key", "left_anti")
+        return roots(led.union(first.select("key", F.col("key").alias("up"))), stash, "stars")
+
     def _near(self) -> str:
         return f"100 * least(n, m) >= {self.threshold} * greatest(n, m)"
 
@@ -426,15 +433,10 @@ def keep_one(docs: DataFrame, join: NgramJoin, id_: str = "doc_id", text: str =
     shuffled: bit filters of the rows that go, and of those that stay but pass the first filter, decide all but a few.
     """
     stash = Stash(docs.sparkSession, "keep-one")
-    index = join.index(docs, id_, text)
-    rows = index.groupBy("mark").agg(F.first("id").alias("id"), F.first("key").alias("key"), F.first("comp").alias("comp"), F.count("*").alias("copies"))
-    rows = stash.put("rows", rows)
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "mark")
-    full = rows.where("key is not null")
-    total = full.count()
-    first = full.groupBy("comp").agg(F.min(rank)["mark"].alias("first"), F.count("*").alias("members"))
-    sorted_ = even_join(full.select("mark", "copies", "comp"), first, "comp", "members", total).select("mark", "copies", (F.col("first") == F.col("mark")).alias("stays"))
-    sorted_ = stash.put("sorted", sorted_.union(rows.where("key is null").select("mark", F.lit(1).cast("long"), F.lit(True))))
+    rows = join.index(docs, id_, text).groupBy("mark").agg(F.first("key").alias("key"), F.first("first").alias("first"), F.count("*").alias("copies"))
+    empty = F.col("key").isNull()
+    stays = F.when(empty, True).otherwise(F.col("first") == F.col("mark"))
+    sorted_ = stash.put("sorted", rows.select("mark", F.when(empty, 1).otherwise(F.col("copies")).alias("copies"), stays.alias("stays")))
     out = sorted_.where("not stays or copies > 1").select("mark")
     gone = filter_of(out)
     beside = passing(sorted_.where("stays and copies = 1").select("mark"), gone).withColumn("again", F.lit(False))
