@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..events import SEQ, TS, VALUE, EventStream
+from ..events import SEQ, TS, VALUE, EventStream, micros
 from ..functions import int_sqrt
 from ..operators import ChopTime, filter_events, map_values, scan, sessions, steps, window_aggregate
-from ..ordering import running
+from ..ordering import previous, running
 
 
 def magnitudes(readings: EventStream) -> EventStream:
@@ -54,6 +54,17 @@ def session_lengths(stream: EventStream, gap_ms: int = 900_000) -> DataFrame:
     return rows.groupBy(*stream.key, "session").agg(F.min(TS).alias("start"), F.max(TS).alias("end"), F.count(F.lit(1)).alias("n"))
 
 
+def running_sessions(stream: EventStream, gap_ms: int = 900_000) -> DataFrame:
+    """Timed events with their session and when it began (``start``), as known at each event."""
+    rows = previous(stream.timed().df, "__before", micros(), [F.col(SEQ)], F.col(SEQ), stream.bucket, stream.key)
+    new = F.col("__before").isNull() | (micros() - F.col("__before.v") > gap_ms * 1000)
+    first = F.struct(F.when(new, F.col(SEQ)).alias("seq"), F.when(new, F.col(TS)).alias("ts"))
+    rows = running(rows.withColumn("__first", first), "__start", F.max, F.col("__first"), F.greatest, [SEQ], F.col(SEQ), stream.bucket, stream.key)
+    one = F.when(F.col("__first.seq").isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = running(rows, "session", F.sum, one, lambda a, b: a + b, [SEQ], F.col(SEQ), stream.bucket, stream.key)
+    return rows.select(*stream.columns, "session", F.col("__start.ts").alias("start"))
+
+
 def select_session(stream: EventStream, session: int, gap_ms: int = 900_000) -> EventStream:
     return stream.with_df(sessions(stream, gap_ms).where(F.col("session") == session).drop("session"))
 

@@ -22,6 +22,10 @@ Aggregate = str | Callable[[Column], Column]
 NAMED: dict[str, Callable[[Column], Column]] = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+#: Window ids that are made at a time.
+SPAN = 1 << 16
+
+
 def _positive(n: int, what: str) -> int:
     if n < 1:
         raise ValueError(f"{what} must be at least 1")
@@ -67,7 +71,11 @@ class ChopTime:
     def gaps(self, stream: EventStream, found: DataFrame) -> DataFrame:
         """All window ids, from 0 to the last one found."""
         last = found.groupBy(*stream.key).agg(F.max(WINDOW).alias("__last")) if stream.key else found.agg(F.max(WINDOW).alias("__last"))
-        return last.where("__last is not null").select(*stream.key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last"))).alias(WINDOW))
+        zero = F.lit(0).cast("long")
+        spans = last.where("__last is not null").withColumn("__span", F.explode(F.sequence(zero, F.floor(F.col("__last") / SPAN).cast("long"))))
+        spans = spans.repartition(*stream.key, "__span")  # a long gap is many spans, and so many tasks
+        start = F.col("__span") * SPAN
+        return spans.select(*stream.key, F.explode(F.sequence(start, F.least(F.col("__last"), start + (SPAN - 1)))).alias(WINDOW))
 
 
 @dataclass(frozen=True)

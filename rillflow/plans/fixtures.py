@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.windows import ChopTime
-from .graph import Graph, Kind, Node, chain
+from .graph import Fold, Graph, Kind, Node, chain
 
 
 def _n(id_: int, kind: Kind, **more) -> Node:
@@ -14,6 +14,22 @@ def _edges(*paths: tuple[int, ...]) -> tuple[tuple[int, int], ...]:
     return tuple(dict.fromkeys(e for p in paths for e in zip(p, p[1:], strict=False)))
 
 
+def _same(v):
+    return v
+
+
+def _still(v):
+    return v == v
+
+
+def _falls(v, acc):
+    return acc > v
+
+
+def _newest(acc, v):
+    return v
+
+
 def path() -> Graph:
     return Graph((_n(0, Kind.SOURCE, rate=1), _n(1, Kind.MAP), _n(2, Kind.SINK)), _edges((0, 1, 2)))
 
@@ -41,16 +57,16 @@ def taxi() -> Graph:
 
 
 def wearable(rate: float = 20.947272312257475) -> Graph:
-    """Steps from a wearable's readings (``rate`` a second), with measured service times."""
+    """Steps from a wearable's readings (``rate`` a second), with measured service times; its functions stand in for the program's."""
     reading, vector = "(Int,Int,Int,Int)", "(Int,Int,Int)"
     return chain(
         _n(0, Kind.SOURCE, rate=rate, service=1 / 1.5e-7, out_type=reading),
-        _n(0, Kind.FILTER, selectivity=1 - 5 / 275310, service=1 / 7.73e-7, out_type=reading),
-        _n(0, Kind.MAP, service=1 / 9.19e-7, out_type=vector),
-        _n(0, Kind.MAP, service=1 / 3.4e-6, out_type="Int"),
-        _n(0, Kind.FILTER_ACC, selectivity=0.020272, service=1 / 1.6e-6, out_type="Int"),
+        _n(0, Kind.FILTER, fn=_still, selectivity=1 - 5 / 275310, service=1 / 7.73e-7, out_type=reading),
+        _n(0, Kind.MAP, fn=_same, service=1 / 9.19e-7, out_type=vector),
+        _n(0, Kind.MAP, fn=_same, service=1 / 3.4e-6, out_type="Int"),
+        _n(0, Kind.FILTER_ACC, fn=_falls, fold=Fold(_newest, 0), selectivity=0.020272, service=1 / 1.6e-6, out_type="Int"),
         _n(0, Kind.WINDOW, maker=ChopTime(120), service=1 / 1.24e-6, out_type="[Int]"),
-        _n(0, Kind.MAP, service=1 / 1.5e-7, out_type="Int"),
+        _n(0, Kind.MAP, fn=_same, service=1 / 1.5e-7, out_type="Int"),
         _n(0, Kind.SINK, service=1 / 1.5e-7),
     )
 

@@ -49,6 +49,27 @@ def lower(g: Graph) -> EventStream:
     return done[g.root()]
 
 
+def run_staged(g: Graph, parts: Parts, folder: str) -> EventStream:
+    """Runs a split program stage by stage, each as a job of its own; a stage's results go to the next through a Parquet table in ``folder``.
+
+    Returns the stream at the program's end, whose stage reads its links and runs when it is used. ``folder`` must be shared
+    by the driver and the executors; who calls removes it.
+    """
+    place = {i: k for k, i in enumerate(g.topological())}
+    links: dict[int, EventStream] = {}
+    for k, part in enumerate(sorted(parts, key=lambda p: max(place[i] for i in p))):
+        done = dict(links)
+        for i in sorted(part, key=place.get):
+            done[i] = _one(g[i], [done[a] for a in g.inputs(i)])
+        end = max(part, key=place.get)
+        if end == g.root():
+            return done[end]
+        out, path = done[end], f"{folder.rstrip('/')}/stage{k}"
+        out.df.write.parquet(path)
+        links[end] = out.with_df(out.df.sparkSession.read.schema(out.df.schema).parquet(path))
+    raise ValueError("no stage holds the program's end")
+
+
 def explained(g: Graph, parts: Parts) -> str:
     """The plan as text: a line for each stage, in the order of the flow."""
     line = lambda part: " -> ".join(f"{g[i].kind.value}#{i}" for i in reversed(part))

@@ -144,9 +144,13 @@ def live_chop_time(stream: EventStream, ms: int) -> EventStream:
 
 
 def live_expand(stream: EventStream, most: int = 1 << 20) -> EventStream:
-    """An event for each element of a list; ``seq`` is the list's times ``most`` plus the element's place. Stateless."""
+    """An event for each element of a list; ``seq`` is the list's times ``most`` plus the element's place. Stateless.
+
+    A list of more than ``most`` elements is an error, as its events would take the numbers of the next list's.
+    """
     v = F.col(VALUE)
-    some = F.when(v.isNull(), F.array(F.lit(None).cast(stream.value_type.elementType))).otherwise(v)
+    some = F.when(v.isNull(), F.array(F.lit(None).cast(stream.value_type.elementType))).when(F.size(v) <= most, v)
+    some = some.otherwise(F.raise_error(F.lit(f"a list has more than {most} elements")))
     rows = stream.df.select(*stream.key, F.col(SEQ).alias("__outer"), TS, F.posexplode(some).alias("__inner", VALUE))
     return stream.with_df(rows.select(*stream.key, (F.col("__outer") * most + F.col("__inner")).alias(SEQ), TS, VALUE))
 

@@ -169,3 +169,19 @@ def test_stream_graph(spark):
     s = [(0, 2), (1, None), (2, 3)]
     got = rows(op.stream_graph(make(spark, s), lambda v: F.array(v, v + 1)))
     assert got == model.flat(model.transform(lambda v: [v, v + 1], s))
+
+
+def test_chop_time_over_a_long_gap(spark, monkeypatch):
+    """Empty windows are made span by span."""
+    from rillflow import EventStream
+    from rillflow.operators import ChopTime, window_aggregate
+    from rillflow.operators import windows as w
+
+    df = spark.createDataFrame([(0, 0.0, 1), (1, 0.01, 2), (2, 9.995, 3)], "seq bigint, t double, v bigint").selectExpr("seq", "timestamp_micros(cast(t * 1000000 as bigint)) AS ts", "v")
+    stream = EventStream.of(df, "seq", "v", "ts")
+    monkeypatch.setattr(w, "SPAN", 64)
+    got = {r.seq: r.value for r in window_aggregate(stream, ChopTime(10), "count").df.collect()}
+    assert set(got) == set(range(1000)) and {k: n for k, n in got.items() if n} == {0: 1, 1: 1, 999: 1}
+    years = EventStream.of(spark.sql("SELECT * FROM VALUES (0L, timestamp'2010-01-01', 1), (1L, timestamp'2014-01-01', 1) AS t(seq, ts, v)"), "seq", "v", "ts")
+    monkeypatch.setattr(w, "SPAN", 1 << 16)
+    assert window_aggregate(years, ChopTime(10_000), "count").df.count() == 4 * 365 * 8640 + 8640 + 1

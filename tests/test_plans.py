@@ -2,8 +2,6 @@ import random
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from test_operators import events, make, rows
 
 from rillflow.plans import Kind, Node, Options, best_plan, chain, fixtures, lower, plan_cost, plans_of, viable_plans
@@ -11,7 +9,7 @@ from rillflow.plans import rewriting as rw
 from rillflow.plans.costs import arrivals, event_size, loads, output_rate, over_bandwidth, over_utilised, stages_with_sources
 from rillflow.plans.drawing import to_dot
 from rillflow.plans.graph import Fold, Graph, joined
-from rillflow.plans.lowering import explained
+from rillflow.plans.lowering import explained, run_staged
 from rillflow.plans.partitions import all_partitions, overlaid, split
 from rillflow.queries import ORACLES, QUERIES, _EXPANDS, _VALUES
 
@@ -162,4 +160,20 @@ def test_equality_ignores_ids_and_text_forms():
 def test_every_rule_has_a_query():
     names = {f"rw_{r.__name__}" for r in rw.DEFAULT + rw.RESHAPING}
     assert names <= set(QUERIES) and set(QUERIES) == set(ORACLES)
-    assert F and T
+
+
+def test_a_program_run_in_stages_gives_what_it_gives_as_a_whole(spark, tmp_path):
+    streams = [make(spark, events(seed, 30)) for seed in (1, 2)]
+    sources = [chain(Node(0, Kind.SOURCE, stream=s, rate=1), Node(0, Kind.MAP, fn=lambda v: v + 1)) for s in streams]
+    g = joined(sources, Node(0, Kind.MERGE), Node(0, Kind.FILTER, fn=lambda v: v > 3), Node(0, Kind.SCAN, fold="sum"), Node(0, Kind.SINK))
+    whole = rows(lower(g))
+    for k, parts in enumerate(all_partitions(g)[::3]):
+        assert rows(run_staged(g, parts, str(tmp_path / str(k)))) == whole
+
+
+def test_variants_of_the_wearable_program():
+    g = fixtures.wearable()
+    found = list(rw.variants(g))
+    assert len(found) > 20 and any(v.graph.same_as(g) for v in found)
+    first = next(n for n in rw.apply(rw.map_filter, chain(Node(0, Kind.SOURCE), Node(0, Kind.MAP, fn=abs, service=2), Node(0, Kind.FILTER, fn=abs, service=3), Node(0, Kind.SINK))).nodes if n.kind is Kind.FILTER)
+    assert first.service == 5

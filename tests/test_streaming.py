@@ -95,3 +95,25 @@ def test_file_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("m1,h1,2013-01-01 00:00:00,2013-01-01 00:02:00,120,0.44,-73.95,40.71,-73.95,40.71,CSH,3.5,0.5,0.5,0,0,4.5\n")
     trip = read_taxi_csv(spark, str(tmp_path / "t.csv")).df.first()
     assert trip.value.payment_type == "cash" and trip.ts.minute == 2
+
+
+def test_csv_rows_have_numbers_of_their_own(spark, tmp_path):
+    line = "m{},h1,2013-01-01 00:00:00,2013-01-0{} 00:0{}:00,120,0.44,-73.95,40.71,-73.95,40.71,CSH,3.5,0.5,0.5,0,0,4.5\n"
+    (tmp_path / "t.csv").write_text("".join(line.format(k % 3, 1 + k % 5, k % 7) for k in range(100)) + "m9,h1,,,1,,,,,,,,,,,,\n")
+    trips = read_taxi_csv(spark, str(tmp_path / "t.csv"))
+    got = trips.df.orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(101)) and got[-1].value.medallion == "m9"
+    assert [r.ts for r in got[:-1]] == sorted(r.ts for r in got[:-1])
+    (tmp_path / "w.csv").write_text("1000,((1,2,3),0)\n1000,((1,2,4),0)\n1000,((1,2,3),0)\n999,((9,9,9),1)\n")
+    read = read_wearable_csv(spark, str(tmp_path / "w.csv")).df.orderBy("seq").collect()
+    assert [(r.seq, r.value.z) for r in read] == [(0, 9), (1, 3), (2, 3), (3, 4)]
+
+
+def test_live_expand_refuses_lists_that_are_too_long(spark):
+    from rillflow import EventStream
+
+    df = spark.createDataFrame([(0, [1, 2, 3])], "seq bigint, value array<int>")
+    stream = EventStream.of(df, "seq", "value")
+    assert live_expand(stream, 3).df.count() == 3
+    with pytest.raises(Exception, match="more than 2 elements"):
+        live_expand(stream, 2).df.collect()
