@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 #: Bits of a filter for each value, and at most (64 MB; fuller ones let more pass).
 BITS_EACH, MOST_BITS = 16, 29
 #: Values that one slice should hold, and those that a task packs at a time.
-SLICE, PACKED = 1 << 21, 1 << 22
+SLICE, PACKED = 1 << 21, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 

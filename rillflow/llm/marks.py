@@ -7,7 +7,6 @@ the first filter by chance are in a second one, so only rows that pass both are
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +18,11 @@ from .runtime import Stash, fresh
 def _sorter(gone, doubtful):
     """0 for a mark that surely stays, 1 if it must be looked up, 2 if it surely goes."""
 
-    @F.pandas_udf("int")
-    def sort(marks: pd.Series) -> pd.Series:
-        values = marks.to_numpy().astype(np.int64)
+    @F.arrow_udf("int")
+    def sort(marks: pa.Array) -> pa.Array:
+        values = marks.to_numpy(zero_copy_only=False).astype(np.int64)
         out, other = gone.value.passes(values), doubtful.value.passes(values)
-        return pd.Series(np.where(out, np.where(other, 1, 2), 0).astype(np.int32))
+        return pa.array(np.where(out, np.where(other, 1, 2), 0).astype(np.int32))
 
     return sort
 

@@ -40,7 +40,7 @@ from .runtime import Stash, fresh, pieces, texts_of
 from .words import PLAIN_FOLDED, distinct, shingles
 
 #: n-grams of one task that are counted at a time, and how many of its most frequent ones a task reports.
-COUNTED, REPORTED = 2_000_000, 1 << 16
+COUNTED, REPORTED = 1_000_000, 1 << 16
 #: Size of the table of frequent n-grams; it only sets the order and the estimates, never the result.
 FREQUENT = 400_000
 #: A document asks for one shared prefix n-gram, or for so many that they are one in this number of its own.
