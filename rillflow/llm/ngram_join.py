@@ -351,7 +351,10 @@ class NgramJoin:
         held = stash.put("held", held.withColumn("comp", F.coalesce("comp", "key")).withColumn("large", F.coalesce("large", F.lit(False))))
         stash.drop("shared")
         rest = stars.where("rest is not null").select(F.col("b").alias("key"), "rest").join(held.select("key", "n", "comp", "hub", "held"), "key")
-        pairs = stash.put("pairs", self._crossings(held).union(self._beside_hubs(rest)).distinct())
+        parts = [*self._crossings(held), self._beside_hubs(rest)]  # written one by one: fewer shuffles at a time
+        light, heavy, beside = (stash.put(name, part) for name, part in zip(("light", "heavy", "beside"), parts, strict=True))
+        pairs = stash.put("pairs", light.union(heavy).union(beside).distinct())
+        stash.drop("light", "heavy", "beside")
         links = self._verified(texts, pairs, nodes, stash).where("linked")
         comps = held.select("key", "comp")
         links = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -379,10 +382,11 @@ class NgramJoin:
         best = near.groupBy("key", "a").agg(F.count("*").alias("c"), F.min("match").alias("match")).where("c >= match").groupBy("key").agg(F.max(F.struct("c", "a")).alias("best"))
         return best.select(F.col("best.a").alias("a"), F.col("key").alias("b"))
 
-    def _crossings(self, held: DataFrame) -> DataFrame:
+    def _crossings(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of sets of different classes that share enough prefix n-grams, fit in size and may be similar by what a common leader shows.
 
-        Rows of large classes meet those of other large classes by ``across_classes``, and rows of small ones directly.
+        Rows of large classes meet those of other large classes by ``across_classes`` (the second table), and rows of small ones
+        directly (the first): all that a pair shares is in one of the two.
         """
         x = held.select(F.explode("grams").alias("gram"), F.col("key").alias("a"), "n", F.col("match").alias("match_a"), F.col("comp").alias("ca"), F.col("hub").alias("ha"), F.col("held").alias("oa"), "large")
         early = F.explode(F.slice("grams", 1, F.col("early"))).alias("gram")
@@ -390,10 +394,14 @@ class NgramJoin:
         apart = f"(ha is null or hb is null or ha <> hb or {self._enough('least(oa, ob)')})"
         fits = f"(n > m or n = m and a > b) and ca <> cb and {self._near()} and {apart}"
         met = y.withColumn("large", F.explode(F.when(F.col("large"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-        light = x.join(met, ["gram", "large"]).where(fits).select("a", "b", "match_a", "match_b")
-        heavy = across_classes(x.where("large").drop("large"), y.where("large").drop("large"), ["gram"]).where(fits).select("a", "b", "match_a", "match_b")
-        both = light.union(heavy).groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.first("match_a"), F.first("match_b")).alias("least"))
-        return both.where("c >= least").select("a", "b")
+        light = x.join(met, ["gram", "large"]).where(fits)
+        heavy = across_classes(x.where("large").drop("large"), y.where("large").drop("large"), ["gram"]).where(fits)
+
+        def enough(rows: DataFrame) -> DataFrame:
+            both = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.first("match_a"), F.first("match_b")).alias("least"))
+            return both.where("c >= least").select("a", "b")
+
+        return enough(light), enough(heavy)
 
     def _beside_hubs(self, rest: DataFrame) -> DataFrame:
         """Pairs of sets of different classes under one leader that share enough n-grams outside it."""

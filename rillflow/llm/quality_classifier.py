@@ -127,11 +127,10 @@ class QualityClassifier:
 
     def fit(self, docs: DataFrame, ratings: DataFrame, id_: str = "doc_id", text: str = "text", rating: str = "rating") -> CumulativeLink:
         chosen = sample_of(ratings, id_, [rating], self.sample_rows)
-        at, marks, found = labelled_features(docs, chosen, id_, text, packed_features)
+        at, marks, sizes, found = labelled_features(docs, chosen, id_, text, packed_features)
         if not len(at):
             return fit([], np.empty(0, np.int64), np.empty(0))
-        pairs = [np.frombuffer(f, np.float32).reshape(-1, 2) for f in found]
-        row, (column, value) = np.repeat(np.arange(len(at)), [len(p) for p in pairs]), np.concatenate(pairs).T
+        row, (column, value) = np.repeat(np.arange(len(at)), sizes // 8), found.view(np.float32).reshape(-1, 2).T
         _, inverse, size = np.unique(groups_of_copies(marks), return_inverse=True, return_counts=True)
         return fit_features((row, column.astype(np.int64), value.astype(float)), chosen.column(rating).to_numpy()[at], 1.0 / size[inverse])
 

@@ -50,15 +50,15 @@ def _rows(features: Callable[[list[bytes]], list[bytes]]):
     return run
 
 
-def labelled_features(docs: DataFrame, chosen: pa.Table, id_: str, text: str, features: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(rows of ``chosen``, copy marks, features as bytes) of the chosen documents that exist and have words.
+def labelled_features(docs: DataFrame, chosen: pa.Table, id_: str, text: str, features: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``chosen``, copy marks, bytes of features of each, all features one after another) of the chosen documents that exist and have words.
 
     Of an id's different texts, the one with the least hash counts, and repeated rows count once. If the texts have more than
     ``SAMPLE_BYTES`` bytes, only those with the least hashes are taken; the first is taken in any case.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    none = np.empty(0, np.int64), np.empty((0, 3), np.int64), []
+    none = np.empty(0, np.int64), np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
     if not chosen.num_rows:
         return none
     ids = spark.createDataFrame(chosen.select(["id"]).append_column("place", pa.array(range(chosen.num_rows), pa.int64())))
@@ -76,4 +76,9 @@ def labelled_features(docs: DataFrame, chosen: pa.Table, id_: str, text: str, fe
     if not table.num_rows:
         return none
     marks = np.concatenate([c.flatten().to_numpy() for c in table.column("marks").chunks]).reshape(-1, 3)
-    return table.column("place").to_numpy(), marks, table.column("features").to_pylist()
+    packed = table.column("features").combine_chunks()  # read where it is: no copy is made
+    packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    held = np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    return table.column("place").to_numpy(), marks, np.diff(ends).astype(np.int64), held

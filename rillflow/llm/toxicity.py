@@ -28,8 +28,8 @@ FOLDS = 4
 STEMS = (4, 6)
 #: A category's words are those that so many documents (copies count once) have and that are telling, with so many expected by chance.
 LEAST_DOCS, CHANCE = 4.0, 0.5
-#: Parts of the vocabulary (a power of two) that are counted one after another.
-PARTS = 8
+#: Parts of the vocabulary (a power of two) that are counted one after another, and words that are looked up at a time.
+PARTS, STEP = 8, 1 << 19
 
 
 @dataclass
@@ -55,14 +55,19 @@ def word_features(texts: list[bytes]) -> list[bytes]:
 
 def fit_chain(words: list[np.ndarray], marks: np.ndarray, y: np.ndarray, categories: list[str]) -> Chain:
     """Fit on rows of distinct word hashes; y has a 0/1 column for each category."""
-    n = len(words)
+    return fit_flat(np.array([len(w) for w in words], np.int64), np.concatenate([*words, np.empty(0, np.uint64)]), marks, y, categories)
+
+
+def fit_flat(sizes: np.ndarray, every: np.ndarray, marks: np.ndarray, y: np.ndarray, categories: list[str]) -> Chain:
+    """Fit on the rows' words one after another, so many of each row."""
+    n = len(sizes)
     if not n:
         return Chain(categories, np.empty(0, np.uint64), [np.zeros(k + 1) - np.append(np.zeros(k), 40.0) for k in range(len(categories))], [0.0] * len(categories))
     group = groups_of_copies(marks)
     _, inverse, size = np.unique(group, return_inverse=True, return_counts=True)
     weight = 1.0 / size[inverse]
     fold = ((group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(FOLDS)
-    row, every = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w in words]), np.concatenate(words)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     stats = [np.empty((0, 1 + len(categories)))]
     vocabulary = [np.empty(0, np.uint64)]
     for part in range(PARTS):  # words by the upper bits of their hashes, so that little is sorted at a time
@@ -77,10 +82,14 @@ def fit_chain(words: list[np.ndarray], marks: np.ndarray, y: np.ndarray, categor
     keep = np.stack([telling(stats[:, 0], stats[:, 1 + k], weight.sum(), (weight * y[:, k]).sum(), CHANCE) for k in range(len(categories))])
     any_ = keep.any(0)
     keep, vocabulary = keep[:, any_], vocabulary[any_]
-    at = np.minimum(np.searchsorted(vocabulary, every), max(0, len(vocabulary) - 1))
-    hit = vocabulary[at] == every if len(vocabulary) else np.zeros(len(every), bool)
-    x = Sparse(row[hit].astype(np.int64), at[hit], n, len(vocabulary))
-    del row, every, at, hit
+    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start in range(0, len(every) if len(vocabulary) else 0, STEP):
+        own = every[start : start + STEP]
+        at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+        hit = vocabulary[at] == own
+        rows.append(row[start : start + STEP][hit].astype(np.int64)), columns.append(at[hit])
+    x = Sparse(np.concatenate(rows), np.concatenate(columns), n, len(vocabulary))
+    del row, every, rows, columns
     earlier, weights, base = np.empty((n, 0)), [], []
     for k in range(len(categories)):
         own, out = x.columns(keep[k]), np.zeros(n)
@@ -143,10 +152,9 @@ class ToxicityChain:
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> Chain:
         chosen = sample_of(labels, id_, self.categories, self.sample_rows)
-        at, marks, found = labelled_features(docs, chosen, id_, text, word_features)
+        at, marks, sizes, found = labelled_features(docs, chosen, id_, text, word_features)
         y = np.stack([chosen.column(c).to_numpy()[at] for c in self.categories], 1).astype(float).clip(0, 1) if len(at) else np.empty((0, len(self.categories)))
-        words = [np.frombuffer(w, np.uint64) for w in found]
-        return fit_chain(words, marks, y, self.categories)
+        return fit_flat(sizes // 8, found.view(np.uint64), marks, y, self.categories)
 
     def scores(self, docs: DataFrame, chain: Chain, id_: str = "doc_id", text: str = "text") -> DataFrame:
         spark = docs.sparkSession

@@ -569,8 +569,8 @@ def test_labels_of_another_type_repeated_labels_and_long_texts(spark, monkeypatc
     assert chain.fit(two, categories_of(labels)).categories == chain.categories
     monkeypatch.setattr(samples, "SAMPLE_BYTES", 5000)
     chosen = samples.sample_of(categories_of(labels), "doc_id", ["toxic"], 10_000)
-    at, marks, found = samples.labelled_features(two, chosen, "doc_id", "text", lambda texts: texts)
-    assert 5 < len(at) == len(marks) == len(found) and sum(map(len, found)) <= 5000
+    at, marks, sizes, found = samples.labelled_features(two, chosen, "doc_id", "text", lambda texts: texts)
+    assert 5 < len(at) == len(marks) == len(sizes) and sizes.sum() == len(found) <= 5000
     monkeypatch.setattr(samples, "SAMPLE_BYTES", 1)
     assert len(samples.labelled_features(two, chosen, "doc_id", "text", lambda texts: texts)[0]) == 1
 
