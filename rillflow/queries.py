@@ -506,12 +506,14 @@ for _name, (_r, _nodes, _sql) in _VALUES.items():
 
 #: Programs that expand lists: each event holds its amount and the two after it in whole thousands (l), expanded in order.
 _LISTS = _BY_USER + ", x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq, i) - 1 AS seq, CAST(CASE i WHEN 0 THEN v ELSE v // (10 * i) END AS BIGINT) AS v FROM d, (VALUES (0), (1), (2)) t(i))"
+#: Places of the rows that are left: the rewritten program drops values before it numbers them.
+_PLACE = "row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1"
 _EXPANDS: dict[str, tuple[rw.Rule, list[Node], str]] = {
-    "expand_filter": (rw.expand_filter, [_n(Kind.EXPAND), _n(Kind.FILTER, _over)], "SELECT user_id, v AS value, count(*) AS n FROM x WHERE v > 5000 GROUP BY 1, 2"),
-    "expand_map": (rw.expand_map, [_n(Kind.EXPAND), _n(Kind.MAP, _double)], "SELECT user_id, v * 2 AS value, count(*) AS n FROM x GROUP BY 1, 2"),
-    "expand_scan": (rw.expand_scan, [_n(Kind.EXPAND), _n(Kind.SCAN, fold=_sum, out=T.LongType())], "SELECT user_id, value, count(*) AS n FROM (SELECT user_id, CAST(sum(v) OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS value FROM x) GROUP BY 1, 2"),
-    "expand_filter_acc": (rw.expand_filter_acc, [_n(Kind.EXPAND), _n(Kind.FILTER_ACC, _is_rise, fold=_last)], f"SELECT user_id, v AS value, count(*) AS n FROM (SELECT *, {_LAG.format('v')} AS b FROM x) WHERE v > b GROUP BY 1, 2"),
-    "expand_expand": (rw.expand_expand, [_n(Kind.MAP, lambda v: F.array(v, v)), _n(Kind.EXPAND), _n(Kind.EXPAND)], "SELECT user_id, v AS value, 2 * count(*) AS n FROM x GROUP BY 1, 2"),
+    "expand_filter": (rw.expand_filter, [_n(Kind.EXPAND), _n(Kind.FILTER, _over)], f"SELECT user_id, {_PLACE} AS seq, v AS value FROM x WHERE v > 5000"),
+    "expand_map": (rw.expand_map, [_n(Kind.EXPAND), _n(Kind.MAP, _double)], "SELECT user_id, seq, v * 2 AS value FROM x"),
+    "expand_scan": (rw.expand_scan, [_n(Kind.EXPAND), _n(Kind.SCAN, fold=_sum, out=T.LongType())], "SELECT user_id, seq, CAST(sum(v) OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS value FROM x"),
+    "expand_filter_acc": (rw.expand_filter_acc, [_n(Kind.EXPAND), _n(Kind.FILTER_ACC, _is_rise, fold=_last)], f"SELECT user_id, {_PLACE} AS seq, v AS value FROM (SELECT *, {_LAG.format('v')} AS b FROM x) WHERE v > b"),
+    "expand_expand": (rw.expand_expand, [_n(Kind.MAP, lambda v: F.array(v, v)), _n(Kind.EXPAND), _n(Kind.EXPAND)], "SELECT user_id, 6 * (seq // 3) + 3 * m + seq % 3 AS seq, v AS value FROM x, (VALUES (0), (1)) t(m)"),
 }
 
 
@@ -520,7 +522,7 @@ def _expands_query(rule: rw.Rule, nodes: list[Node]) -> Query:
         c = cents()
         lists = F.array(c, F.floor(c / 10).cast("long"), F.floor(c / 20).cast("long"))
         out = _rewritten(rule, chain(_source(events(spark, sf_dir, lists, key=("user_id",)).data()), *nodes)).df
-        return out.groupBy("user_id", "value").agg(F.count(F.lit(1)).alias("n"))
+        return out.select("user_id", "seq", "value")
 
     return run
 
@@ -529,7 +531,9 @@ for _name, (_r, _nodes, _sql) in _EXPANDS.items():
     query(f"rw_{_name}", f"{_LISTS} {_sql}")(_expands_query(_r, _nodes))
 
 _TYPES = ("click", "view", "purchase")
-_MERGED = E + ", d AS (SELECT us, c AS v FROM e WHERE event_type IN ('click', 'view', 'purchase'))"
+#: d: the events of the three streams at their places in the merge; those of a rewritten program are of what it merges.
+_MERGED = E + ", d AS (SELECT row_number() OVER (ORDER BY us, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, seq) - 1 AS seq, us, c AS v FROM e WHERE event_type IN ('click', 'view', 'purchase'))"
+_TWICE = "SELECT 2 * seq + m AS seq, us, v AS value FROM d, (VALUES (0), (1)) t(m)"
 
 
 def _merges(spark, sf_dir, value: Column, *before: Node) -> list[Graph]:
@@ -542,19 +546,19 @@ def _merge_query(rule: rw.Rule, before: list[Node], after: list[Node], lists: bo
         parts = _merges(spark, sf_dir, F.array(c, c) if lists else c, *before)
         merge_ = _n(Kind.MERGE)
         graph = joined([joined(parts[:2], merge_), parts[2]], merge_, *after) if nested else joined(parts, merge_, *after)
-        return _rewritten(rule, graph).df.select(micros().alias("us"), "value")
+        return timed(_rewritten(rule, graph))
 
     return run
 
 
 for _name, (_query, _sql) in {
-    "merge_filter": (_merge_query(rw.merge_filter, [], [_n(Kind.FILTER, _over)]), "SELECT us, v AS value FROM d WHERE v > 5000"),
-    "merge_map": (_merge_query(rw.merge_map, [], [_n(Kind.MAP, _double)]), "SELECT us, v * 2 AS value FROM d"),
-    "merge_expand": (_merge_query(rw.merge_expand, [], [_n(Kind.EXPAND)], True), "SELECT us, v AS value FROM d UNION ALL SELECT us, v FROM d"),
-    "map_merge": (_merge_query(rw.map_merge, [_n(Kind.MAP, _double)], [_n(Kind.SINK)]), "SELECT us, v * 2 AS value FROM d"),
-    "filter_merge": (_merge_query(rw.filter_merge, [_n(Kind.FILTER, _over)], [_n(Kind.SINK)]), "SELECT us, v AS value FROM d WHERE v > 5000"),
-    "expand_merge": (_merge_query(rw.expand_merge, [_n(Kind.EXPAND)], [_n(Kind.SINK)], True), "SELECT us, v AS value FROM d UNION ALL SELECT us, v FROM d"),
-    "merge_fuse": (_merge_query(rw.merge_fuse, [], [_n(Kind.SINK)], nested=True), "SELECT us, v AS value FROM d"),
+    "merge_filter": (_merge_query(rw.merge_filter, [], [_n(Kind.FILTER, _over)]), "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, us, v AS value FROM d WHERE v > 5000"),
+    "merge_map": (_merge_query(rw.merge_map, [], [_n(Kind.MAP, _double)]), "SELECT seq, us, v * 2 AS value FROM d"),
+    "merge_expand": (_merge_query(rw.merge_expand, [], [_n(Kind.EXPAND)], True), _TWICE),
+    "map_merge": (_merge_query(rw.map_merge, [_n(Kind.MAP, _double)], [_n(Kind.SINK)]), "SELECT seq, us, v * 2 AS value FROM d"),
+    "filter_merge": (_merge_query(rw.filter_merge, [_n(Kind.FILTER, _over)], [_n(Kind.SINK)]), "SELECT seq, us, v AS value FROM d WHERE v > 5000"),
+    "expand_merge": (_merge_query(rw.expand_merge, [_n(Kind.EXPAND)], [_n(Kind.SINK)], True), _TWICE),
+    "merge_fuse": (_merge_query(rw.merge_fuse, [], [_n(Kind.SINK)], nested=True), "SELECT seq, us, v AS value FROM d"),
 }.items():
     query(f"rw_{_name}", f"{_MERGED} {_sql}")(_query)
 
