@@ -5,71 +5,67 @@ state runs here as a stateful processor for each key: rows go by ``seq`` within
 Order across micro-batches is that of arrival. The state store must be RocksDB (``running.configure`` sets it).
 
 Windows are emitted when they are full: ``chop`` after its n-th value, ``chop_time`` when a later block begins, ``sliding`` when the
-value n - 1 places on has come. What is open at the end of a stream stays open.
+value n - 1 places on has come, ``sliding_time`` when an event has come that is too late for the window. What is open at the end of
+a stream stays open. A window's aggregate is a map of its list. An event that comes late is taken where it comes.
+
+Rows reach the functions as Python values: integers are exact, NaN is a value, structs are dictionaries. A key's state is read and
+written once in a micro-batch; it is what the operator must remember, so a window's values at most. Without a key, all is one task.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..events import SEQ, TS, VALUE, EventStream
+from ..events import SEQ, TS, VALUE, EventStream, micros
 
 _KEY = "__key"
-Row = tuple[int, Any, Any]
-Step = Callable[[Any, Row], tuple[Any, list[Row]]]
+#: (seq, time in microseconds, value) of an event.
+Event = tuple[int, Any, Any]
+Step = Callable[[Any, tuple], tuple[Any, list[Event]]]
 
 
 class _Ordered(StatefulProcessor):
     """Runs ``step(state, (seq, ts, value, *rest)) -> (state, rows out)`` over a key's rows in order."""
 
-    def __init__(self, start: Callable[[], Any], step: Step, columns: list[str], keys: list[str], order: list[str]):
-        self.start, self.step, self.columns, self.keys, self.order = start, step, columns, keys, order
+    def __init__(self, start: Callable[[], Any], step: Step, columns: list[str], keys: list[str]):
+        self.start, self.step, self.columns, self.keys = start, step, columns, keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", T.StructType([T.StructField("bytes", T.BinaryType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = pickle.loads(self.held.get()[0]) if self.held.exists() else self.start()
-        parts = list(rows)
-        frame = pd.concat(parts).sort_values(self.order, kind="stable") if parts else pd.DataFrame()
-        out: list[Row] = []
-        for row in frame[self.columns].itertuples(index=False, name=None):
-            state, new = self.step(state, tuple(None if _missing(x) else x for x in row))
-            out += new
+        mine = sorted((tuple(row[c] for c in self.columns) for row in rows), key=lambda r: r[0])
+        named = dict(zip(self.keys, key, strict=True))
+        for row in mine:
+            state, new = self.step(state, row)
+            for seq, ts, value in new:
+                yield Row(**named, **{SEQ: seq, TS: ts, VALUE: value})
         self.held.update((pickle.dumps(state),))
-        data = {name: [key[k]] * len(out) for k, name in enumerate(self.keys)}
-        data |= {name: pd.Series([r[i] for r in out], dtype=object) for i, name in enumerate((SEQ, TS, VALUE))}
-        frame = pd.DataFrame(data)
-        frame[TS] = pd.to_datetime(frame[TS])
-        frame[SEQ] = frame[SEQ].astype("int64")
-        yield frame
 
     def close(self) -> None:
         pass
 
 
-def _missing(x: Any) -> bool:
-    return x is None or x is pd.NaT or (isinstance(x, float) and x != x)
-
-
-def _run(df: DataFrame, key: tuple[str, ...], start: Callable[[], Any], step: Step, out: T.DataType, columns: list[str], order: list[str]) -> DataFrame:
+def _run(df: DataFrame, key: tuple[str, ...], start: Callable[[], Any], step: Step, out: T.DataType, columns: list[str]) -> DataFrame:
+    """Rows in order of the first of the columns. Times are microseconds inside, so no time zone matters."""
     keys = list(key) or [_KEY]
-    rows = df if key else df.withColumn(_KEY, F.lit(0))
-    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(SEQ, T.LongType()), T.StructField(TS, T.TimestampType()), T.StructField(VALUE, out)])
-    done = rows.groupBy(*keys).transformWithStateInPandas(_Ordered(start, step, columns, keys, order), schema, "Append", "None")
-    return done.select(*key, SEQ, TS, VALUE)
+    rows = (df if key else df.withColumn(_KEY, F.lit(0))).withColumn(TS, micros())
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(SEQ, T.LongType()), T.StructField(TS, T.LongType()), T.StructField(VALUE, out)])
+    done = rows.groupBy(*keys).transformWithState(_Ordered(start, step, columns, keys), schema, "Append", "None")
+    return done.select(*key, SEQ, F.timestamp_micros(TS).alias(TS), VALUE)
 
 
 def _ordered(stream: EventStream, start: Callable[[], Any], step: Step, out: T.DataType) -> EventStream:
-    return stream.with_df(_run(stream.df, stream.key, start, step, out, [SEQ, TS, VALUE], [SEQ]))
+    return stream.with_df(_run(stream.df, stream.key, start, step, out, [SEQ, TS, VALUE]))
 
 
 def live_scan(stream: EventStream, f: Callable[[Any, Any], Any], initial: Any, out: T.DataType) -> EventStream:
@@ -103,7 +99,8 @@ def live_chop(stream: EventStream, n: int) -> EventStream:
         count, ts, held = state
         if row[2] is None:
             return state, []
-        ts, held = (ts, [*held, row[2]]) if held else (row[1], [row[2]])
+        ts = ts if held else row[1]
+        held.append(row[2])
         return ((count + 1, None, []), [(count, ts, held)]) if len(held) == n else ((count, ts, held), [])
 
     return _ordered(stream, lambda: (0, None, []), step, T.ArrayType(stream.value_type))
@@ -116,12 +113,32 @@ def live_sliding(stream: EventStream, n: int) -> EventStream:
         count, held = state
         if row[2] is None:
             return state, []
-        held = [*held, row]
+        held.append(row)
         if len(held) < n:
-            return (count, held), []
-        return (count + 1, held[1:]), [(count, held[0][1], [r[2] for r in held])]
+            return state, []
+        out = (count, held[0][1], [r[2] for r in held])
+        held.popleft()
+        return (count + 1, held), [out]
+
+    return _ordered(stream, lambda: (0, deque()), step, T.ArrayType(stream.value_type))
+
 
-    return _ordered(stream, lambda: (0, []), step, T.ArrayType(stream.value_type))
+def live_sliding_time(stream: EventStream, ms: int) -> EventStream:
+    """For each timed event, the values of it and of those after it that are less than ``ms`` milliseconds later, once a later one has come."""
+
+    def step(state, row):
+        count, held = state
+        if row[1] is None:
+            return state, []
+        out = []
+        while held and row[1] - held[0][1] >= ms * 1000:
+            out.append((count, held[0][1], [r[2] for r in held if r[2] is not None]))
+            held.popleft()
+            count += 1
+        held.append(row)
+        return (count, held), out
+
+    return _ordered(stream, lambda: (0, deque()), step, T.ArrayType(stream.value_type))
 
 
 def live_chop_time(stream: EventStream, ms: int) -> EventStream:
@@ -131,18 +148,37 @@ def live_chop_time(stream: EventStream, ms: int) -> EventStream:
         at = row[1]
         if at is None:
             return state, []
-        us = pd.Timestamp(at).value // 1000
-        first, block, ts, held = state or (us, 0, at, [])
-        now = max(block, (us - first) // (ms * 1000))
+        first, block, ts, held = state or (at, 0, at, [])
+        now = max(block, (at - first) // (ms * 1000))
         out = []
         if now > block:
             out = [(block, ts, held), *[(k, None, []) for k in range(block + 1, now)]]
             block, ts, held = now, at, []
-        return (first, block, ts, held if row[2] is None else [*held, row[2]]), out
+        if row[2] is not None:
+            held.append(row[2])
+        return (first, block, ts, held), out
 
     return _ordered(stream, lambda: None, step, T.ArrayType(stream.value_type))
 
 
+def live_sessions(stream: EventStream, gap_ms: int) -> EventStream:
+    """Timed events with a value (session, start, value): their session, counted from 1, and when it began. A gap of more than ``gap_ms`` ends one."""
+    kind = T.StructType([T.StructField("session", T.LongType()), T.StructField("start", T.LongType()), T.StructField("value", stream.value_type)])
+
+    def step(state, row):
+        seq, at, v = row
+        if at is None:
+            return state, []
+        session, start, last = state or (0, None, None)
+        if last is None or at - last > gap_ms * 1000:
+            session, start = session + 1, at
+        return (session, start, at), [(seq, at, {"session": session, "start": start, "value": v})]
+
+    out = _ordered(stream, lambda: None, step, kind)
+    of = F.struct(F.col(VALUE)["session"].alias("session"), F.timestamp_micros(F.col(VALUE)["start"]).alias("start"), F.col(VALUE)["value"].alias("value"))
+    return out.with_df(out.df.withColumn(VALUE, of))
+
+
 def live_expand(stream: EventStream, most: int = 1 << 20) -> EventStream:
     """An event for each element of a list; ``seq`` is the list's times ``most`` plus the element's place. Stateless.
 
@@ -155,22 +191,69 @@ def live_expand(stream: EventStream, most: int = 1 << 20) -> EventStream:
     return stream.with_df(rows.select(*stream.key, (F.col("__outer") * most + F.col("__inner")).alias(SEQ), TS, VALUE))
 
 
+def _sides(streams: list[EventStream], values: bool) -> tuple[DataFrame, list[str]]:
+    """The streams' rows with ``side`` and a column v0, v1, ... for each stream's value."""
+    rows = None
+    for k, s in enumerate(streams):
+        own = [F.col(VALUE) if j == k else F.lit(None).cast(t.value_type) for j, t in enumerate(streams)]
+        part = (s.data() if values else s).df.select(*s.key, SEQ, TS, F.lit(k).alias("side"), *[c.alias(f"v{j}") for j, c in enumerate(own)])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows, [SEQ, TS, "side", *[f"v{j}" for j in range(len(streams))]]
+
+
 def live_zip(left: EventStream, right: EventStream) -> EventStream:
     """The k-th value of one side with the k-th of the other, as soon as both have come."""
-    side = lambda s, k: s.data().df.select(*s.key, SEQ, TS, F.lit(k).alias("side"), *[(F.col(VALUE) if j == k else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate((left.value_type, right.value_type))])
-    both = side(left, 0).unionByName(side(right, 1))
+    both, columns = _sides([left, right], True)
 
     def step(state, row):
         count, waiting = state
         seq, ts, k, *values = row
-        waiting = [list(w) for w in waiting]
         waiting[k].append((ts, values[k]))
+        if not waiting[1 - k]:
+            return state, []
+        (at, a), (_, b) = waiting[0].popleft(), waiting[1].popleft()
+        return (count + 1, waiting), [(count, at, {"_1": a, "_2": b})]
+
+    pair = T.StructType([T.StructField("_1", left.value_type), T.StructField("_2", right.value_type)])
+    return left.with_df(_run(both, left.key, lambda: (0, (deque(), deque())), step, pair, columns))
+
+
+def live_merge(streams: list[EventStream]) -> EventStream:
+    """The streams' events in order of time, then of the stream's number: the earliest head goes once every stream has one waiting.
+
+    Times must rise within each stream; of heads, those without a time go first.
+    """
+    rows, columns = _sides(streams, False)
+    n = len(streams)
+
+    def step(state, row):
+        count, waiting = state
+        _, ts, k, *values = row
+        waiting[k].append((ts is not None, ts or 0, k, ts, values[k]))
         out = []
-        while waiting[0] and waiting[1]:
-            (at, a), (_, b) = waiting[0].pop(0), waiting[1].pop(0)
-            out.append((count, at, {"_1": a, "_2": b}))
+        while all(waiting):
+            first = min(range(n), key=lambda j: waiting[j][0][:3])
+            *_, at, v = waiting[first].popleft()
+            out.append((count, at, v))
             count += 1
         return (count, waiting), out
 
-    pair = T.StructType([T.StructField("_1", left.value_type), T.StructField("_2", right.value_type)])
-    return left.with_df(_run(both, left.key, lambda: (0, [[], []]), step, pair, [SEQ, TS, "side", "v0", "v1"], [SEQ]))
+    return streams[0].with_df(_run(rows, streams[0].key, lambda: (0, [deque() for _ in range(n)]), step, streams[0].value_type, columns))
+
+
+Windows = Callable[[EventStream], EventStream]
+
+
+def live_join_windows(left: EventStream, right: EventStream, left_windows: Windows, right_windows: Windows, out: Callable[[Column, Column], Column]) -> EventStream:
+    """``out`` of the lists of the k-th windows of both sides, as soon as both are full."""
+    pairs = live_zip(left_windows(left), right_windows(right))
+    return pairs.with_df(pairs.df.withColumn(VALUE, out(F.col(VALUE)["_1"], F.col(VALUE)["_2"])))
+
+
+def live_join_elements(left: EventStream, right: EventStream, left_windows: Windows, right_windows: Windows, on: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column]) -> EventStream:
+    """Within the k-th windows of both sides, ``out`` of all pairs of values that ``on`` accepts, in order; numbered as by ``live_expand``."""
+
+    def matches(x: Column, y: Column) -> Column:
+        return F.flatten(F.transform(x, lambda a: F.transform(F.filter(y, lambda b: on(a, b)), lambda b: out(a, b))))
+
+    return live_expand(live_join_windows(left, right, left_windows, right_windows, matches))

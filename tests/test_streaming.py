@@ -7,7 +7,22 @@ from pyspark.sql import types as T
 from rillflow import EventStream
 from rillflow import operators as op
 from rillflow.sources import from_environment, kafka, live_files, mqtt, read_taxi_csv, read_wearable_csv, read_wearable_raw, to_environment
-from rillflow.streaming import live_chop, live_chop_time, live_expand, live_filter_acc, live_scan, live_sliding, live_zip, node
+from rillflow.apps.wearable import running_sessions
+from rillflow.streaming import (
+    live_chop,
+    live_chop_time,
+    live_expand,
+    live_filter_acc,
+    live_join_elements,
+    live_join_windows,
+    live_merge,
+    live_scan,
+    live_sessions,
+    live_sliding,
+    live_sliding_time,
+    live_zip,
+    node,
+)
 
 SCHEMA = "seq bigint, ts timestamp, value bigint, k string"
 
@@ -68,6 +83,55 @@ def test_live_zip_and_expand(spark, folder, tmp_path):
     assert len(got) == 32 and {r[1] % (1 << 20) for r in got} == {0, 1}
 
 
+def listed(s):
+    return s.with_df(s.df.withColumn("value", F.array_join(F.transform("value", lambda v: v.cast("string")), ",")))
+
+
+def test_live_sliding_time_and_aggregates(spark, folder, tmp_path):
+    total = lambda s: op.map_values(s, lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x))
+    full = batch(spark, folder, lambda s: total(op.window(s, op.SlidingTime(1700))))
+    live = run(spark, folder, tmp_path, lambda s: total(live_sliding_time(s, 1700)), per_trigger=1)
+    assert 10 < len(live) < len(full) and live == [r for r in full if (r[0], r[1]) in {(g[0], g[1]) for g in live}]
+
+
+def test_live_sessions_equal_batch_sessions(spark, folder, tmp_path):
+    odd = lambda s: s.with_df(s.df.where("seq % 6 < 3"))
+    flat = lambda s: s.with_df(live_sessions(odd(s), 1000).df.select("k", "seq", "ts", F.col("value.value").alias("value"), F.col("value.session").alias("session"), F.col("value.start").alias("start")))
+    live = run(spark, folder, tmp_path, flat, per_trigger=1)
+    assert live == batch(spark, folder, lambda s: s.with_df(running_sessions(odd(s), 1000))) and max(r[4] for r in live) > 2
+
+
+def test_live_merge_is_in_order(spark, folder, tmp_path):
+    parts = lambda s: [s.with_df(s.df.where(f"seq % 3 = {k}")) for k in range(3)]
+    live = run(spark, folder, tmp_path, lambda s: live_merge(parts(s)))
+    full = batch(spark, folder, lambda s: op.merge(parts(s)))
+    assert len(live) > 10 and live == [r for r in full if (r[0], r[1]) in {(g[0], g[1]) for g in live}]
+
+
+def test_live_windowed_joins(spark, folder, tmp_path):
+    three = lambda s: live_chop(s, 3)
+    odd = lambda s: s.with_df(s.df.where("value % 2 = 1"))
+    size = lambda a, b: F.array_max(a) * 100 + F.array_min(b)
+    live = run(spark, folder, tmp_path / "a", lambda x, y: live_join_windows(x, odd(y), three, three, size), n=2)
+    full = batch(spark, folder, lambda x, y: op.join_windows(x, odd(y), op.Chop(3), op.Chop(3), size), n=2)
+    whole = {(r[0], r[1]) for r in live}
+    assert live and live == [r for r in full if (r[0], r[1]) in whole]
+    less, pair = lambda a, b: a < b, lambda a, b: a * 100 + b
+    live = run(spark, folder, tmp_path / "b", lambda x, y: live_join_elements(x, odd(y), three, three, less, pair), n=2)
+    full = batch(spark, folder, lambda x, y: op.join_elements(x, odd(y), op.Chop(3), op.Chop(3), less, pair), n=2)
+    full = {k: [r[3] for r in full if r[0] == k] for k in "ab"}
+    live = {k: [r[3] for r in live if r[0] == k] for k in "ab"}
+    assert any(live.values()) and all(live[k] == full[k][: len(live[k])] for k in "ab")
+
+
+def test_live_values_are_exact(spark, tmp_path):
+    path = str(tmp_path / "in")
+    big = (1 << 60) + 1
+    spark.createDataFrame([(0, None, big, "a"), (1, None, None, "a"), (2, None, 1, "a")], SCHEMA).write.parquet(path)
+    got = run(spark, path, tmp_path, lambda s: live_scan(s, lambda a, v: a + v, 0, T.LongType()))
+    assert [r[1:] for r in got] == [(0, None, big), (1, None, None), (2, None, big + 1)]
+
+
 def test_sink_function(spark, folder, tmp_path):
     seen = []
     q = node([EventStream(live_files(spark, folder, SCHEMA, per_trigger=1), ("k",))], lambda s: s, lambda df, n: seen.append(df.count()), checkpoint=str(tmp_path / "cp"), once=True)
