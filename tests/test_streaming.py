@@ -1,4 +1,6 @@
 import datetime as dt
+import socket as socketlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import types as T
 
 from rillflow import EventStream
 from rillflow import operators as op
-from rillflow.sources import from_environment, kafka, live_files, mqtt, read_taxi_csv, read_wearable_csv, read_wearable_raw, to_environment
+from rillflow.sources import decoded, encoded, from_environment, kafka, live_files, mqtt, read_taxi_csv, read_wearable_csv, read_wearable_raw, tcp, to_environment
 from rillflow.apps.wearable import running_sessions
 from rillflow.streaming import (
     live_chop,
@@ -149,6 +151,27 @@ def test_connectors():
         from_environment("ingress", {"RILLFLOW_INGRESS_TYPE": "pigeon"})
 
 
+def test_a_tcp_link_joins_two_nodes(spark, folder, tmp_path):
+    """One node doubles and sends, the other listens, counts and writes; the link carries whole events."""
+    with socketlib.socket() as free:
+        free.bind(("localhost", 0))
+        port = free.getsockname()[1]
+    link, out = tcp("localhost", port, 8), tmp_path / "out"
+    received = decoded(link.read(spark), "k string, seq bigint, ts timestamp, value bigint", ("k",))
+    listening = node([received], lambda s: s, "parquet", checkpoint=str(tmp_path / "cp"), path=str(out))
+    try:
+        sent = encoded(op.map_values(EventStream(live_files(spark, folder, SCHEMA), ("k",)), lambda v: v * 2))
+        sending = link.write(sent).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        sending.awaitTermination(60)
+        until = time.monotonic() + 40
+        while time.monotonic() < until and (not list(out.glob("*.parquet")) or spark.read.schema(SCHEMA).parquet(str(out)).count() < 20):
+            time.sleep(0.5)
+    finally:
+        listening.stop()
+    double = lambda s: op.map_values(s, lambda v: v * 2)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(out)).select("k", "seq", "ts", "value").collect()) == batch(spark, folder, lambda s: s.with_df(double(s).df.select("k", "seq", "ts", "value")))
+
+
 def test_file_readers(spark, tmp_path):
     (tmp_path / "w.csv").write_text("1529598787929,((-8,-16,-1000),0)\nbroken\n1529598787969,((1,2,3),1)\n")
     got = read_wearable_csv(spark, str(tmp_path / "w.csv")).df.orderBy("seq").collect()
