@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,9 @@ CANDIDATE = re.compile((_RUN % LEAST["assign"]).encode())
 _IS_HEX = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _IS_CANDIDATE = bytes(49 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_=-") else 48 for b in range(256))
 _CLASSES = bytes(48 if chr(b).isascii() and chr(b).isdigit() else 97 if 97 <= b <= 122 else 65 if 65 <= b <= 90 else b for b in range(256))
-#: Class sequences of a task that are counted at a time.
-_COUNTED = 100_000
+#: Class sequences of a task that are counted at a time, and characters that an ordinary token weighs as at most: of longer ones all are
+#: counted, but their numbers scaled down to that, so that a few long ones do not decide what is ordinary.
+_COUNTED, _WEIGHT = 100_000, 1 << 13
 
 #: What follows these words is labelled as a credential for learning only: base spans are by the patterns above alone.
 CONTEXT = re.compile(r"""(?<![A-Za-z])(?:bearer|basic|credential|access[_-]key|private[_-]key|client[_-]secret|api-key|auth|pwd|passphrase)["']?\x20*[:=\x20]\x20*["']?(?=[A-Za-z+/_=-]*[0-9])([A-Za-z0-9+/_=-]{16,})""", re.I | re.A)
@@ -49,13 +52,16 @@ _CONTEXT_WORDS = (b"bearer", b"basic", b"credential", b"access", b"private", b"c
 
 #: Credentials that a kind's automaton is inferred from, at most; half of them set its limit.
 SAMPLE = 1000
-#: Characters of a credential that are learned from and scored; only longer ones are judged by their beginning.
+#: Characters of a token that are scored; only longer ones are judged by their beginning.
 READ = 1 << 13
-#: Characters of credentials, READ of each at most, that go into one prefix tree (about); of longer samples every second, third ... one does.
-TREE = 1 << 19
+#: Characters of a kind's sample, and of its credentials that go into one prefix tree. Credentials come whole, in the order of
+#: a hash: each that still fits, and at least the shortest.
+CHARACTERS, TREE = 1 << 24, 1 << 19
 ALPHA = 0.005
 #: Characters ahead that are compared one by one, and the lengths left that are (longer ones by sixteenths of an octave).
 AHEAD, LEFT = 24, 128
+#: Characters that credentials are followed at a time, and states that are compared by all that follows them at once.
+_FOLLOWED, _FEW = 1 << 14, 64
 #: Visits that the prior of a state's probabilities counts as.
 PRIOR = 2.0
 #: The share of held-out credentials that may fall short of the limit, which is lower by SLACK / sqrt(their number).
@@ -64,8 +70,8 @@ LIMIT_QUANTILE, SLACK = 0.02, 0.5
 MARGIN, LEAST_BITS = 0.5, 16
 #: Weight of a class's own frequency against its frequency after the class before it.
 _OWN = 64
-#: Outcomes of so many short class sequences are remembered.
-_MEMO = 100_000
+#: Outcomes of so many class sequences, of so many characters at most, are remembered.
+_MEMO, _SHORT = 100_000, 64
 _SIEVE = 1 << 30
 
 
@@ -89,9 +95,12 @@ def secret_of(kind: int, text: str, start: int, end: int) -> str:
 
 def classes(token: str) -> str:
     """Digits as 0, lower-case letters as a, capitals as A, other characters as they are."""
+    if token.isascii():
+        return token.translate(_ASCII)
     return "".join("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in token)
 
 
+_ASCII = {b: c for b, c in enumerate(_CLASSES[:128])}
 _SPREAD = {"0": 10, "a": 26, "A": 26}
 
 
@@ -123,93 +132,152 @@ class _Merging:
     """The prefix tree of some class sequences, its states merged one by one."""
 
     def __init__(self, tokens: list[str], alpha: float):
-        symbols = [classes(t[:READ]) for t in tokens]
-        self.alphabet = sorted(set("".join(symbols)))
+        symbols = [classes(t) for t in tokens]
+        self.alphabet = sorted(set().union(*symbols))
         self.over = len(self.alphabet)  # the symbol of the end; one more stands for what lies beyond
         code = {c: k for k, c in enumerate(self.alphabet)}
         self.length = np.array([len(s) for s in symbols], np.int64)
-        self.sequences = np.full((len(tokens), int(self.length.max(initial=0)) + AHEAD + 1), self.over + 1, np.int16)
-        for i, (t, s) in enumerate(zip(tokens, symbols, strict=True)):
-            self.sequences[i, : len(s)] = [code[c] for c in s]
-            if len(t) <= READ:
-                self.sequences[i, len(s)] = self.over
-        self.buckets = 1 + int(self._left(self.length).max(initial=0))
+        room = self.length + AHEAD + 1
+        self.begin = np.cumsum(room) - room
+        self.sequences = np.full(int(room.sum()) + _FOLLOWED, self.over + 1, np.int16)  # one after the other
+        for k, s in zip(self.begin.tolist(), symbols, strict=True):
+            self.sequences[k : k + len(s)] = np.fromiter(map(code.__getitem__, s), np.int16, len(s))
+            self.sequences[k + len(s)] = self.over
+        self.cut = AHEAD * (self.over + 1)
         self.spread = math.sqrt(0.5 * math.log(2 / alpha))
-        self.visits: list[int] = []
-        self.ahead: list[np.ndarray] = []  # by state: counts of (characters on, symbol), and of how much is left
-        self.flow: list[np.ndarray] = []
+        self.states = 0
+        self.visits = np.zeros(64, np.int64)
+        self.ahead = np.zeros((64, self.cut + 1 + int(self._left(self.length).max(initial=0))), np.int32)  # by state: counts of (characters on, symbol), and of how much is left
+        self.flow = np.zeros((64, self.over + 1), np.int64)
         self.step: list[dict[int, int]] = []
         self.waiting: list[list[tuple[np.ndarray, np.ndarray]]] = []  # credentials, and places in them, that have come to a state not yet settled
-        self.settled: list[bool] = []
+        self.open: dict[int, tuple[int, int]] = {}  # states not yet settled: the state and symbol before them
 
     @staticmethod
     def _left(n: np.ndarray) -> np.ndarray:
         return np.where(n < LEFT, n, LEFT + np.floor(16 * np.log2(np.maximum(n, LEFT) / LEFT)).astype(np.int64))
 
     def _new(self) -> int:
-        self.visits.append(0), self.ahead.append(np.zeros(AHEAD * (self.over + 1) + self.buckets)), self.flow.append(np.zeros(self.over + 1))
-        self.step.append({}), self.waiting.append([]), self.settled.append(False)
-        return len(self.step) - 1
+        if self.states == len(self.visits):
+            self.visits, self.ahead, self.flow = (np.concatenate([x, np.zeros_like(x)]) for x in (self.visits, self.ahead, self.flow))
+        self.step.append({}), self.waiting.append([])
+        self.states += 1
+        return self.states - 1
+
+    def _count(self, state: int, which: np.ndarray, at: np.ndarray) -> None:
+        """Counts credentials at places in them, for one state."""
+        own = self.sequences[(self.begin[which] + at)[:, None] + np.arange(AHEAD)]
+        place = np.arange(AHEAD) * (self.over + 1) + own
+        self.visits[state] += len(which)
+        self.ahead[state, : self.cut] += np.bincount(place[own <= self.over], minlength=self.cut)
+        left = np.bincount(self._left(self.length[which] - at))
+        self.ahead[state, self.cut : self.cut + len(left)] += left
+
+    def _count_path(self, path: list[int], symbols: list[int], which: np.ndarray, at: np.ndarray) -> None:
+        """Counts credentials at the states they come through one after the other, and their symbols there."""
+        states = np.array(path)
+        row, places = states * self.ahead.shape[1], at[:, None] + np.arange(len(path))
+        own = self.sequences[(self.begin[which][:, None] + places)[:, :, None] + np.arange(AHEAD)]
+        counted = row[:, None] + np.arange(AHEAD) * (self.over + 1) + own
+        counts = self.ahead.reshape(-1)
+        np.add.at(counts, counted[own <= self.over], 1)
+        np.add.at(counts, (row + self.cut + self._left(self.length[which][:, None] - places)).ravel(), 1)
+        np.add.at(self.flow.reshape(-1), states * (self.over + 1) + symbols, len(which))
+        np.add.at(self.visits, states, len(which))
 
     def _come(self, state: int, which: np.ndarray, at: np.ndarray) -> None:
         """Credentials come to a state, and from settled ones go on."""
         todo = [(state, which, at)]
         while todo:
             state, which, at = todo.pop()
-            self.visits[state] += len(which)
-            own = self.sequences[which[:, None], at[:, None] + np.arange(AHEAD)]
-            place = np.arange(AHEAD) * (self.over + 1) + own
-            counts = np.bincount(place[own <= self.over], minlength=AHEAD * (self.over + 1))
-            left = np.bincount(self._left(self.length[which] - at), minlength=self.buckets)
-            self.ahead[state] += np.concatenate([counts, left])
-            if self.settled[state]:
-                todo += self._onward(state, which, at)
-            else:
+            if self.step[state]:
+                state, at = self._along(state, which, at)
+            self._count(state, which, at)
+            if state in self.open:
                 self.waiting[state].append((which, at))
+            else:
+                todo += self._onward(state, which, at)
+
+    def _along(self, state: int, which: np.ndarray, at: np.ndarray) -> tuple[int, np.ndarray]:
+        """Follows credentials as long as all have the same symbols and a settled state knows the next one; where they are then."""
+        look = 1
+        while True:
+            n = max(1, min(look, _FOLLOWED // len(which)))
+            block = self.sequences[(self.begin[which] + at)[:, None] + np.arange(n)]
+            same = (block == block[0]).all(0) & (block[0] < self.over)
+            symbols = block[0, : n if same.all() else int(same.argmin())].tolist()
+            path = []
+            for c in symbols:
+                after = self.step[state].get(c)
+                if after is None:
+                    break
+                path.append(state)
+                state = after
+            if path:
+                self._count_path(path, symbols[: len(path)], which, at)
+                at = at + len(path)
+            if len(path) < n:
+                return state, at
+            look = min(4 * look, _FOLLOWED)
 
     def _onward(self, state: int, which: np.ndarray, at: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        after, out = self.sequences[which, at], []
+        after, out = self.sequences[self.begin[which] + at], []
         for c in np.unique(after[after <= self.over]).tolist():
             mine = after == c
-            self.flow[state][c] += mine.sum()
+            self.flow[state, c] += mine.sum()
             if c < self.over:
                 if c not in self.step[state]:
                     self.step[state][c] = self._new()
+                    self.open[self.step[state][c]] = state, c
                 out.append((self.step[state][c], which[mine], at[mine] + 1))
         return out
 
     def _settle(self, state: int) -> None:
-        self.settled[state] = True
+        del self.open[state]
         held, self.waiting[state] = self.waiting[state], []
         for which, at in held:
             for go in self._onward(state, which, at):
                 self._come(*go)
 
-    def _profile(self, state: int) -> np.ndarray:
-        p = self.ahead[state] / max(1, self.visits[state])
-        cut = AHEAD * (self.over + 1)
-        return np.concatenate([p[:cut], np.cumsum(p[cut:])])
+    def _profiles(self, states: list[int]) -> np.ndarray:
+        p = self.ahead[states] / np.maximum(1, self.visits[states])[:, None]
+        p[:, self.cut :] = p[:, self.cut :].cumsum(1)
+        return p
+
+    def _alike(self, kept: list[int], blue: int) -> int | None:
+        """The most similar of the kept states that is compatible with another one; of many, the next characters rule out most."""
+        visits, states, own = self.visits[kept], np.array(kept), self._profiles([blue])[0]
+        bound = self.spread * (1 / np.sqrt(visits) + 1 / math.sqrt(self.visits[blue]))
+        near, k = np.arange(len(kept)), 0
+        while len(near) > _FEW and k < self.cut:
+            some = slice(k, k + self.over + 1)
+            off = np.abs(self.ahead[states[near], some] / np.maximum(1, visits[near])[:, None] - own[some]).max(1)
+            near, k = near[off / bound[near] <= 1], some.stop
+        if not len(near):
+            return None
+        off = np.abs(self._profiles(states[near]) - own).max(1) / bound[near]
+        best = int(off.argmin())
+        return kept[near[best]] if off[best] <= 1 else None
 
     def run(self) -> list[int]:
         """Settles all states; returns those that are left, the first one first."""
         root = self._new()
+        self.open[root] = root, self.over
         self._come(root, np.arange(len(self.length)), np.zeros(len(self.length), np.int64))
-        kept, profiles = [root], [None]
+        kept = [root]
         self._settle(root)
-        while open_ := [(s, c, t) for s in kept for c, t in self.step[s].items() if not self.settled[t]]:
-            parent, symbol, blue = max(open_, key=lambda x: (self.visits[x[2]], -x[2]))
-            table = np.stack([self._profile(s) if profiles[k] is None or profiles[k][0] != self.visits[s] else profiles[k][1] for k, s in enumerate(kept)])
-            profiles = [(self.visits[s], row) for s, row in zip(kept, table, strict=True)]
-            bound = self.spread * (1 / np.sqrt(np.array([self.visits[s] for s in kept])) + 1 / math.sqrt(self.visits[blue]))
-            off = np.abs(table - self._profile(blue)).max(1) / bound
-            best = int(off.argmin())
-            if off[best] <= 1:
-                self.step[parent][symbol] = kept[best]
-                for which, at in self.waiting[blue]:
-                    self._come(kept[best], which, at)
-            else:
-                kept.append(blue), profiles.append(None)
+        while self.open:
+            blue = max(self.open, key=lambda t: (self.visits[t], -t))
+            parent, symbol = self.open[blue]
+            alike = self._alike(kept, blue)
+            if alike is None:
+                kept.append(blue)
                 self._settle(blue)
+            else:
+                del self.open[blue]
+                self.step[parent][symbol] = alike
+                for which, at in self.waiting[blue]:
+                    self._come(alike, which, at)
         return kept
 
 
@@ -218,7 +286,7 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Automaton:
     tree = _Merging(tokens, alpha)
     kept = tree.run()
     place = {s: k for k, s in enumerate(kept)}
-    total = sum(tree.flow[s] for s in kept)
+    total = tree.flow[kept].sum(0)
     prior = (total + 1) / (total + 1).sum()
     step, chance, end = [], [], []
     for s in kept:
@@ -255,7 +323,7 @@ class Formats:
             if len(self.memo) >= _MEMO:
                 self.memo.clear()
             found = self._match(symbols)
-            if len(symbols) > 64:
+            if len(symbols) > _SHORT:
                 return found
             self.memo[symbols] = found
         return self.memo[symbols]
@@ -270,12 +338,25 @@ class Formats:
         return best and best[1]
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Which of some sizes are taken if each is that still fits, and at least the smallest."""
+    out, left = [], most
+    for k, n in enumerate(sizes):
+        if n <= left:
+            out.append(k)
+            left -= n
+    return out or [sizes.index(min(sizes))]
+
+
 def formats(credentials: dict[str, list[str]], plain: dict[str, int]) -> Formats:
     automata, least = {}, []
     for kind, tokens in sorted(credentials.items()):
         tokens = sorted(set(tokens))
         own, held = tokens[::2], tokens[1::2] or tokens
-        automaton = infer(own[:: -(-sum(min(len(t), READ) for t in own) // TREE)])
+        if sum(map(len, own)) > TREE:
+            own.sort(key=lambda t: (zlib.crc32(t.encode()), t))
+            own = [own[k] for k in fitting([len(t) for t in own], TREE)]
+        automaton = infer(own)
         scores = sorted(automaton.score(t) for t in held)
         automaton.limit = scores[int(len(scores) * LIMIT_QUANTILE)] - SLACK / math.sqrt(len(scores))
         automata[kind] = automaton
@@ -325,19 +406,25 @@ def _labelled(batches):
             text = raw.decode("utf-8", "replace")
             spans = base_spans(text, raw)
             for start, kind, end in spans:
-                found[KINDS[kind], secret_of(kind, text, start, end)[: READ + 1]] += 1
+                found[KINDS[kind], secret_of(kind, text, start, end)] += 1
             low = raw.lower()
             if any(w in low for w in _CONTEXT_WORDS):
                 for m in CONTEXT.finditer(text):
                     if not any(x < m.end() and m.start() < y for x, _, y in spans):
-                        found["context", m[1][: READ + 1]] += 1
+                        found["context", m[1]] += 1
                         spans = [*spans, (m.start(), 3, m.end())]
             if b"1" * LEAST["assign"] in raw.translate(_IS_CANDIDATE):
                 if spans:  # what they cover is no ordinary token
                     for x, _, y in reversed(spans):
                         text = text[:x] + " " * (y - x) + text[y:]
                     raw = text.encode()
-                ordinary.update(m[0][:READ] for m in CANDIDATE.finditer(raw.translate(_CLASSES)))
+                for m in CANDIDATE.finditer(raw.translate(_CLASSES)):
+                    if m.end() - m.start() <= _SHORT:
+                        ordinary[m[0]] += 1
+                    else:  # held no longer than it is counted
+                        symbols = m[0].decode()
+                        for pair, n in Counter(map(add, "^" + symbols, symbols)).items():
+                            pairs[pair] += -(-n * min(len(symbols), _WEIGHT) // len(symbols))
         if len(ordinary) > _COUNTED:
             count()
         yield rows(found)
@@ -360,7 +447,8 @@ class SecretScan:
     """Finds credentials by fixed patterns and by formats learned from labelled ones.
 
     ``learn`` infers the formats from the credentials that the fixed patterns and ``CONTEXT`` label in all documents, and those of
-    ``labelled`` (kind, token) if given; ``SAMPLE`` of a kind at most, chosen by a hash, of few as many as there are. ``scan`` returns a
+    ``labelled`` (kind, token) if given; ``SAMPLE`` of a kind at most and ``CHARACTERS`` of them, chosen by a hash, of few as many as
+    there are. They are learned from whole. ``scan`` returns a
     row per document row: id, ``base`` and ``spans`` (arrays of kind, start, end; code points, end exclusive; by start,
     then kind). ``redact`` puts ``[SECRET]`` for each span (spans that overlap count as one) and keeps every row
     and column; the column ``length``, if the table has it, counts the new text where it changed. Null and empty
@@ -381,7 +469,9 @@ class SecretScan:
             own = found.where(F.col("kind") == kind).select("token", F.xxhash64("token").alias("chance"))
             if n > 4 * SAMPLE:  # so only some go through the shuffle
                 own = own.where(F.pmod("chance", F.lit(_SIEVE)) < int(_SIEVE * 4 * SAMPLE / n))
-            rows = own.distinct().orderBy(F.pmod("chance", F.lit(_SIEVE)), "token").limit(SAMPLE).collect()
+            sizes = own.select("chance", F.length("token").alias("size")).distinct().orderBy(F.pmod("chance", F.lit(_SIEVE)), "chance").limit(SAMPLE).collect()
+            chosen = [sizes[k]["chance"] for k in fitting([r["size"] for r in sizes], CHARACTERS)] if sizes else []
+            rows = own.where(F.col("chance").isin(chosen)).distinct().collect()
             credentials[kind] = [r["token"] for r in rows]
         stash.drop("tokens")
         return formats(credentials, plain)

@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import string
 from pydoc_data.topics import topics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from rillflow.llm.compression_rules import BANDS, CHUNK_BANDS, QualityRules, dup
 from rillflow.llm.html_extraction import WINDOW, HtmlExtraction, main_text, passages
 from rillflow.llm.language_id import LanguageId, Scorer, learn
 from rillflow.llm.quality_classifier import BUCKETS, MARKS, QualityClassifier, fit
-from rillflow.llm.secrets import SecretScan, all_spans, base_spans, formats, infer
+from rillflow.llm.secrets import TREE, SecretScan, _labelled, all_spans, base_spans, fitting, formats, infer
 from rillflow.llm.toxicity import ToxicityChain, categories_of, fit_chain
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, kept string, n bigint"
@@ -477,6 +479,38 @@ def test_long_credentials_are_learned_whole(spark):
     assert len(found) >= 16 and all(r.spans[0].end - r.spans[0].start == 400 for r in found)
 
 
+def test_credentials_teach_to_their_last_character(spark):
+    """What only comes after thousands of characters is learned: the pipeline's stage redacts a loose token that has it."""
+    import corpus_pipeline
+
+    rnd = random.Random(17)
+    make = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    alnum = string.ascii_letters + string.digits
+    prose = lambda: " ".join(make("etaoinshr", rnd.randrange(2, 20)) for _ in range(30))
+    keys, loose = [make(alnum, 8200) + make(alnum + "+/", rnd.randrange(8000, 9000)) for _ in range(40)], make(alnum, 1000) + "+/" + make(alnum, 1000)
+    rows = [(i, f"{prose()} token = {k} {prose()}") for i, k in enumerate(keys)] + [(100, f"one {loose} two"), (101, prose())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, df, "").collect()}
+    assert got[100] == "one [SECRET] two" and got[101] == rows[-1][1] and all("[SECRET]" in got[i] for i in range(40))
+
+
+def test_long_tokens_are_counted_whole():
+    long, plain = "x" * 9000 + "y1" * 4500, "z" * 9000 + "2y" * 5
+    batch = pa.RecordBatch.from_pylist([{"text": f"token = {long} and {plain}"}, {"text": f"Bearer {long} {plain}"}])
+    rows = [r for b in _labelled(iter([batch])) for r in b.to_pylist()]
+    assert {(r["kind"], r["token"], r["n"]) for r in rows if r["kind"]} == {("assign", long, 1), ("context", long, 1)}
+    assert {r["token"]: r["n"] for r in rows if not r["kind"]} == {"^a": 2, "aa": 2 * math.ceil(8999 * 8192 / 9010), "a0": 10, "0a": 10}  # they weigh as 8,192 characters
+
+
+def test_samples_are_of_whole_credentials():
+    rnd = random.Random(19)
+    keys = ["".join(rnd.choices("ab0", k=n)) + "-" * 9 for n in (20000, 30000, 9000, 40000)]
+    assert infer(keys).score(keys[0]) > -6 and infer(keys[:1]).score(keys[3]) > -7
+    assert fitting([5, 9, 3, 1], 9) == [0, 2, 3] and fitting([5, 4], 3) == [1] and fitting([4, 5], 9) == [0, 1]
+    learned = formats({"assign": ["a0" * TREE + "/", "a0" * TREE + "/" + "b"]}, {"aa": 1000})
+    assert "/" in learned.automata["assign"].chance[0]
+
+
 def test_likelihood_alone_rules_out_ordinary_tokens():
     rnd = random.Random(7)
     make = lambda letters, n: "".join(rnd.choices(letters, k=n))
