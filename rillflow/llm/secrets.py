@@ -52,8 +52,6 @@ _CONTEXT_WORDS = (b"bearer", b"basic", b"credential", b"access", b"private", b"c
 
 #: Credentials that a kind's automaton is inferred from, at most; half of them set its limit.
 SAMPLE = 1000
-#: Characters of a token that are scored; only longer ones are judged by their beginning.
-READ = 1 << 13
 #: Characters of a kind's sample, and of its credentials that go into one prefix tree. Credentials come whole, in the order of
 #: a hash: each that still fits, and at least the shortest.
 CHARACTERS, TREE = 1 << 24, 1 << 19
@@ -113,18 +111,24 @@ class Automaton:
     end: list[float]
     limit: float = 0.0
 
-    def score(self, token: str) -> float:
-        """Bits a character of the token's likelihood (0 is certain)."""
+    def __post_init__(self):
+        goes = zip(self.step, self.chance, strict=True)
+        self.bits = [{c: (after[c], math.log2(p / _SPREAD.get(c, 1))) for c, p in own.items() if p} for after, own in goes]
+
+    def score(self, token: str, least: float = -math.inf) -> float:
+        """Bits a character of the token's likelihood (0 is certain), or -inf as soon as they are sure to be below ``least``."""
         state, bits = 0, 0.0
-        symbols = classes(token[:READ])
-        for c in symbols:
-            p = self.chance[state].get(c, 0.0)
-            if not p:
+        symbols = classes(token)
+        for at in range(0, len(symbols), _FOLLOWED):
+            for c in symbols[at : at + _FOLLOWED]:
+                known = self.bits[state].get(c)
+                if known is None:
+                    return -math.inf
+                state = known[0]
+                bits += known[1]
+            if bits / len(symbols) < least:
                 return -math.inf
-            bits += math.log2(p / _SPREAD.get(c, 1))
-            state = self.step[state][c]
-        if len(token) <= READ:
-            bits += math.log2(self.end[state])
+        bits += math.log2(self.end[state])
         return bits / max(1, len(symbols))
 
 
@@ -313,26 +317,25 @@ class Formats:
         self.candidate = re.compile((_RUN % self.least).encode())
 
     def spread(self, token: str) -> float:
-        symbols = classes(token[:READ])
+        symbols = classes(token)
         return sum(self.plain.get(x + c, -8.0) for x, c in zip("^" + symbols, symbols, strict=False)) / max(1, len(symbols))
 
     def match(self, token: str) -> str | None:
         """The kind whose format the token has."""
-        symbols = classes(token[:READ])
+        symbols = classes(token)
+        if len(symbols) > _SHORT:
+            return self._match(symbols)
         if symbols not in self.memo:
             if len(self.memo) >= _MEMO:
                 self.memo.clear()
-            found = self._match(symbols)
-            if len(symbols) > _SHORT:
-                return found
-            self.memo[symbols] = found
+            self.memo[symbols] = self._match(symbols)
         return self.memo[symbols]
 
     def _match(self, symbols: str) -> str | None:
         least = self.spread(symbols) + max(MARGIN, LEAST_BITS / max(1, len(symbols)))
         best = None
         for kind, automaton in self.automata.items():
-            score = automaton.score(symbols)
+            score = automaton.score(symbols, max(least, automaton.limit))
             if score >= automaton.limit and score >= least and (best is None or score > best[0]):
                 best = (score, kind)
         return best and best[1]
@@ -452,7 +455,7 @@ class SecretScan:
     row per document row: id, ``base`` and ``spans`` (arrays of kind, start, end; code points, end exclusive; by start,
     then kind). ``redact`` puts ``[SECRET]`` for each span (spans that overlap count as one) and keeps every row
     and column; the column ``length``, if the table has it, counts the new text where it changed. Null and empty
-    texts have no spans and stay as they are. Texts are read whole, tokens up to ``READ`` characters. Of formats that match equally well
+    texts have no spans and stay as they are. Texts and tokens are read whole. Of formats that match equally well
     the first by name counts. Repeated rows scan alike; further columns are ignored or carried. An empty table teaches nothing and gives no rows.
     """
 

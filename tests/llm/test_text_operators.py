@@ -511,6 +511,22 @@ def test_samples_are_of_whole_credentials():
     assert "/" in learned.automata["assign"].chance[0]
 
 
+def test_long_tokens_are_judged_whole(spark, tmp_path):
+    """Tokens whose first characters, thousands of them, say other things than the whole."""
+    from rillflow.llm.queries import op10_secret_scan
+
+    rnd = random.Random(18)
+    make = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    alnum = string.ascii_letters + string.digits
+    prose = lambda: " ".join(make("etaoinshr", rnd.randrange(2, 20)) for _ in range(30))
+    rows = [(i, f"{prose()} Capitalised-Words {make('0123456789', 10)} token = {make(alnum, rnd.randrange(20, 400))} {prose()}") for i in range(400)]
+    rows += [(400, f"é {make(alnum, 8192)}{make('etaoinshr', 40000)} x"), (401, f"é {make('etaoinshr', 8192)}{make(alnum, 40000)} x"), (402, f"é {make(alnum, 9000)} x"), (403, f"é {make(alnum, 9000)}/ x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op10_secret_scan(spark, str(tmp_path)).collect()}
+    assert all(got[i].n_assign == 1 and "format" not in got[i].spans for i in range(400))
+    assert [got[400 + i].spans for i in range(4)] == ["", "format:2:48194", "format:2:9002", ""]  # no learned credential has a "/"
+
+
 def test_likelihood_alone_rules_out_ordinary_tokens():
     rnd = random.Random(7)
     make = lambda letters, n: "".join(rnd.choices(letters, k=n))
