@@ -105,13 +105,22 @@ class Sliding:
 
 @dataclass(frozen=True)
 class SlidingTime:
-    """For each timed event, it and those after it up to the first that is ``ms`` milliseconds later or more; times must rise with ``seq``."""
+    """For each timed event, it and those after it up to the first that is ``ms`` milliseconds later or more; times must rise with ``seq``.
+
+    With ``peers`` windows go by time alone, as a RANGE frame of SQL does: all events of the event's own time and after it, wherever
+    they stand in ``seq``.
+    """
 
     ms: int
+    peers: bool = False
     value_independent = True
 
+    @property
+    def micros(self) -> int:
+        return _positive(self.ms, "the window's length") * 1000
+
     def framed(self, stream: EventStream) -> tuple[DataFrame, object]:
-        span = _positive(self.ms, "the window's length") * 1000
+        span = self.micros
         rows = numbered(stream.timed().df, WINDOW, [SEQ], F.col(SEQ), stream.bucket, stream.key).withColumn("__us", micros())
         own = F.floor(F.col("__us") / F.lit(span)).cast("long")
         rows = rows.withColumn("__own", own).withColumn("__block", F.explode(F.array(F.col("__own"), F.col("__own") - 1)))
@@ -145,7 +154,8 @@ def _nested(stream: EventStream, maker: Maker) -> DataFrame:
         rows, frame = maker.framed(stream)
         held = F.collect_list(F.struct(SEQ, VALUE)).over(frame)
         rows = rows.withColumn("__list", held).where("not __halo")
-        mine = F.filter("__list", lambda e: (e[SEQ] >= F.col(SEQ)) & e[VALUE].isNotNull())
+        peers = isinstance(maker, SlidingTime) and maker.peers
+        mine = F.filter("__list", lambda e: e[VALUE].isNotNull() if peers else (e[SEQ] >= F.col(SEQ)) & e[VALUE].isNotNull())
         if isinstance(maker, Sliding) and maker.n < 1:
             mine = F.slice("__list", 1, 0)
         return rows.select(*stream.key, WINDOW, TS, F.array_sort(mine).alias("__list"))
@@ -182,8 +192,8 @@ def window_aggregate(stream: EventStream, maker: Maker, aggregate: Aggregate) ->
     """The aggregate of each window's values: the name of one of ``NAMED``, or a function of the list.
 
     Named aggregates are partial sums (disjoint windows) or frames (sliding ones); no list is built, except for minimum and
-    maximum over ``SlidingTime``, where events with equal times before the window's own must be left out. Of an empty window,
-    count is 0 and the others are null.
+    maximum over ``SlidingTime``. A window of ``SlidingTime`` is the rest of its event's block of time and the beginning of the next
+    one: two running aggregates. Of an empty window, count is 0 and the others are null.
     """
     if not isinstance(aggregate, str):
         nested = window(stream, maker)
@@ -194,11 +204,17 @@ def window_aggregate(stream: EventStream, maker: Maker, aggregate: Aggregate) ->
         rows = rows.withColumn("__agg", named(F.col(VALUE)).over(frame)).where("not __halo")
         return stream.with_df(rows.select(*stream.key, F.col(WINDOW).alias(SEQ), TS, F.col("__agg").alias(VALUE)))
     if isinstance(maker, SlidingTime) and aggregate in ("count", "sum"):
-        rows, frame = maker.framed(stream)
-        peers = Window.partitionBy(*stream.key, "__block", "__us").orderBy(SEQ).rowsBetween(Window.unboundedPreceding, -1)
-        inside, earlier = named(F.col(VALUE)).over(frame), F.coalesce(named(F.col(VALUE)).over(peers), F.lit(0))
-        rows = rows.withColumn("__agg", inside - earlier).where("not __halo")
-        return stream.with_df(rows.select(*stream.key, F.col(WINDOW).alias(SEQ), TS, F.col("__agg").alias(VALUE)))
+        rows, _ = maker.framed(stream)
+        block = Window.partitionBy(*stream.key, "__block")
+        back = block.orderBy(F.desc("__us")) if maker.peers else block.orderBy(F.desc("__us"), F.desc(SEQ))
+        back = back.rangeBetween(Window.unboundedPreceding, 0) if maker.peers else back.rowsBetween(Window.unboundedPreceding, 0)
+        ahead_ = block.orderBy("__us").rangeBetween(Window.unboundedPreceding, maker.micros - 1)
+        here = named(F.when(~F.col("__halo"), F.col(VALUE))).over(back)
+        beyond = named(F.when(F.col("__halo"), F.col(VALUE))).over(ahead_)
+        rows = rows.withColumn("__here", here).withColumn("__beyond", beyond).where("not __halo")
+        a, b = F.col("__here"), F.col("__beyond")
+        both = F.coalesce(a + b, a, b).alias(VALUE)
+        return stream.with_df(rows.select(*stream.key, F.col(WINDOW).alias(SEQ), TS, both))
     if isinstance(maker, (Sliding, SlidingTime)):
         over_list = {"count": lambda v: F.size(v).cast("long"), "sum": lambda v: F.aggregate(v, F.lit(0).cast(stream.value_type), lambda a, x: (a + x).cast(stream.value_type)), "min": F.array_min, "max": F.array_max}
         return window_aggregate(stream, maker, over_list[aggregate])

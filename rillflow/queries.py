@@ -235,7 +235,7 @@ _ALL = ", d AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS r FROM e)"
 
 @query("window_sliding_time", E + _ALL + " SELECT r AS seq, us, count(v) OVER (ORDER BY us RANGE BETWEEN CURRENT ROW AND 1799999999 FOLLOWING) AS value FROM d")
 def window_sliding_time(spark, sf_dir):
-    return timed(window_aggregate(events(spark, sf_dir), SlidingTime(HALF_HOUR), "count"))
+    return timed(window_aggregate(events(spark, sf_dir), SlidingTime(HALF_HOUR, peers=True), "count"))
 
 
 @query("window_sliding_time_max", E + _ALL + " SELECT r AS seq, us, max(v) OVER (ORDER BY us RANGE BETWEEN CURRENT ROW AND 1799999999 FOLLOWING) AS value FROM d")

@@ -185,3 +185,38 @@ def test_chop_time_over_a_long_gap(spark, monkeypatch):
     years = EventStream.of(spark.sql("SELECT * FROM VALUES (0L, timestamp'2010-01-01', 1), (1L, timestamp'2014-01-01', 1) AS t(seq, ts, v)"), "seq", "v", "ts")
     monkeypatch.setattr(w, "SPAN", 1 << 16)
     assert window_aggregate(years, ChopTime(10_000), "count").df.count() == 4 * 365 * 8640 + 8640 + 1
+
+
+REPEATED = [(t, 10 * copy + i) for copy in range(3) for i, t in enumerate((0, 250, 250, 900, 1700, 4000))]
+
+
+def by_time(ms, s):
+    return [(t, [v for u, v in s if t <= u < t + ms and v is not None]) for t, _ in s]
+
+
+@pytest.mark.parametrize("s", [REPEATED, events(4, untimed=False), [(0, 1), (0, None), (0, 2)]])
+def test_time_windows_with_peers(spark, s):
+    """Windows by time alone: copies of a table, one after the other."""
+    x, maker = make(spark, s), op.SlidingTime(700, peers=True)
+    expected = by_time(700, s)
+    assert [(t, sorted(v)) for t, v in rows(op.window(x, maker))] == [(t, sorted(v)) for t, v in expected]
+    assert rows(op.window_aggregate(x, maker, "count")) == [(t, len(v)) for t, v in expected]
+    assert rows(op.window_aggregate(x, maker, "sum")) == [(t, sum(v) if v else None) for t, v in expected]
+
+
+REPEATED_QUERIES = ["window_sliding_time"]
+
+
+@pytest.mark.parametrize("name", REPEATED_QUERIES)
+def test_queries_on_a_repeated_table(spark, tmp_path, name):
+    """Copies with shifted keys and the same times: ties, and times that fall along ``seq``. Rows as SQL has them."""
+    duckdb = pytest.importorskip("duckdb")
+    from rillflow.queries import ORACLES, QUERIES
+
+    c, path = duckdb.connect(), f"{tmp_path}/events.parquet"
+    c.execute(f"""COPY (SELECT event_id + 500 * k AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(CAST(event_id AS BIGINT) * (37 + event_id % 3) * 1000000) AS ts, (event_id * 7) % 23 AS user_id,
+      ['click', 'view', 'purchase', 'signup'][1 + event_id * event_id % 4] AS event_type, (event_id * 131 % 9973) / 100.0 AS value FROM range(500) t(event_id), range(3) u(k)) TO '{path}'""")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
