@@ -191,9 +191,9 @@ def window_rows(stream: EventStream, maker: Maker) -> DataFrame:
 def window_aggregate(stream: EventStream, maker: Maker, aggregate: Aggregate) -> EventStream:
     """The aggregate of each window's values: the name of one of ``NAMED``, or a function of the list.
 
-    Named aggregates are partial sums (disjoint windows) or frames (sliding ones); no list is built, except for minimum and
-    maximum over ``SlidingTime``. A window of ``SlidingTime`` is the rest of its event's block of time and the beginning of the next
-    one: two running aggregates. Of an empty window, count is 0 and the others are null.
+    Named aggregates are partial sums (disjoint windows) or frames (sliding ones); no list is built. A window of ``SlidingTime`` is the
+    rest of its event's block of time and the beginning of the next one: two running aggregates. Of an empty window, count is 0 and
+    the others are null.
     """
     if not isinstance(aggregate, str):
         nested = window(stream, maker)
@@ -203,7 +203,7 @@ def window_aggregate(stream: EventStream, maker: Maker, aggregate: Aggregate) ->
         rows, frame = maker.framed(stream)
         rows = rows.withColumn("__agg", named(F.col(VALUE)).over(frame)).where("not __halo")
         return stream.with_df(rows.select(*stream.key, F.col(WINDOW).alias(SEQ), TS, F.col("__agg").alias(VALUE)))
-    if isinstance(maker, SlidingTime) and aggregate in ("count", "sum"):
+    if isinstance(maker, SlidingTime):
         rows, _ = maker.framed(stream)
         block = Window.partitionBy(*stream.key, "__block")
         back = block.orderBy(F.desc("__us")) if maker.peers else block.orderBy(F.desc("__us"), F.desc(SEQ))
@@ -212,10 +212,10 @@ def window_aggregate(stream: EventStream, maker: Maker, aggregate: Aggregate) ->
         here = named(F.when(~F.col("__halo"), F.col(VALUE))).over(back)
         beyond = named(F.when(F.col("__halo"), F.col(VALUE))).over(ahead_)
         rows = rows.withColumn("__here", here).withColumn("__beyond", beyond).where("not __halo")
-        a, b = F.col("__here"), F.col("__beyond")
-        both = F.coalesce(a + b, a, b).alias(VALUE)
+        join = {"min": F.least, "max": F.greatest}.get(aggregate, lambda a, b: F.coalesce(a + b, a, b))
+        both = join(F.col("__here"), F.col("__beyond")).alias(VALUE)
         return stream.with_df(rows.select(*stream.key, F.col(WINDOW).alias(SEQ), TS, both))
-    if isinstance(maker, (Sliding, SlidingTime)):
+    if isinstance(maker, Sliding):
         over_list = {"count": lambda v: F.size(v).cast("long"), "sum": lambda v: F.aggregate(v, F.lit(0).cast(stream.value_type), lambda a, x: (a + x).cast(stream.value_type)), "min": F.array_min, "max": F.array_max}
         return window_aggregate(stream, maker, over_list[aggregate])
     rows = maker.rows(stream)

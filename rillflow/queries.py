@@ -240,7 +240,7 @@ def window_sliding_time(spark, sf_dir):
 
 @query("window_sliding_time_max", E + _ALL + " SELECT r AS seq, us, max(v) OVER (ORDER BY us RANGE BETWEEN CURRENT ROW AND 1799999999 FOLLOWING) AS value FROM d")
 def window_sliding_time_max(spark, sf_dir):
-    return timed(window_aggregate(events(spark, sf_dir), SlidingTime(HALF_HOUR), "max"))
+    return timed(window_aggregate(events(spark, sf_dir), SlidingTime(HALF_HOUR, peers=True), "max"))
 
 
 @query("window_chop", E + _DATA + " SELECT r // 10 AS seq, min(us) AS us, string_agg(v, ',' ORDER BY r) AS value FROM d GROUP BY r // 10")

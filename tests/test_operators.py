@@ -202,9 +202,11 @@ def test_time_windows_with_peers(spark, s):
     assert [(t, sorted(v)) for t, v in rows(op.window(x, maker))] == [(t, sorted(v)) for t, v in expected]
     assert rows(op.window_aggregate(x, maker, "count")) == [(t, len(v)) for t, v in expected]
     assert rows(op.window_aggregate(x, maker, "sum")) == [(t, sum(v) if v else None) for t, v in expected]
+    for name, of in (("min", min), ("max", max)):
+        assert rows(op.window_aggregate(x, maker, name)) == [(t, of(v, default=None)) for t, v in expected]
 
 
-REPEATED_QUERIES = ["window_sliding_time"]
+REPEATED_QUERIES = ["window_sliding_time", "window_sliding_time_max"]
 
 
 @pytest.mark.parametrize("name", REPEATED_QUERIES)
