@@ -41,7 +41,8 @@ from .operators import (
     window,
     window_aggregate,
 )
-from .operators.windows import WINDOW, window_rows
+from .operators.ranked import top_counts
+from .operators.windows import WINDOW
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,10 +365,7 @@ _HALF_HOURS = ", j AS (SELECT a.r AS w, b.event_type AS t FROM d a JOIN d b ON b
     E + _ALL + _HALF_HOURS + ", c AS (SELECT w, t, count(*) AS n FROM j GROUP BY w, t) SELECT w AS window_id, t AS value, n, row_number() OVER (PARTITION BY w ORDER BY n DESC, t) AS rank FROM c QUALIFY rank <= 2",
 )
 def topk_window(spark, sf_dir):
-    from .functions import top_k
-
-    rows = window_rows(events(spark, sf_dir, F.col("event_type"), gaps=False), SlidingTime(HALF_HOUR))
-    return top_k(rows.groupBy(WINDOW, "value").agg(F.count(F.lit(1)).alias("n")), [WINDOW], 2, "n", "value")
+    return top_counts(events(spark, sf_dir, F.col("event_type"), gaps=False), SlidingTime(HALF_HOUR, peers=True), 2)
 
 
 @query("map_cache", "SELECT event_id AS seq, epoch_us(ts) AS us, (user_id * 7919) % 1000003 AS value FROM events")

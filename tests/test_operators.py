@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from rillflow import EventStream, from_values, retime
 from rillflow import operators as op
 from rillflow.functions import hashtags, upper_median
+from rillflow.operators import ranked
 
 EPOCH = dt.datetime(2020, 1, 1)
 
@@ -206,7 +207,7 @@ def test_time_windows_with_peers(spark, s):
         assert rows(op.window_aggregate(x, maker, name)) == [(t, of(v, default=None)) for t, v in expected]
 
 
-REPEATED_QUERIES = ["window_sliding_time", "window_sliding_time_max"]
+REPEATED_QUERIES = ["window_sliding_time", "window_sliding_time_max", "topk_window"]
 
 
 @pytest.mark.parametrize("name", REPEATED_QUERIES)
@@ -222,3 +223,35 @@ def test_queries_on_a_repeated_table(spark, tmp_path, name):
     got = QUERIES[name](spark, str(tmp_path))
     want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_dominance_against_brute_force():
+    """Ties in place and time, several widths of windows, signed weights."""
+    import numpy as np
+
+    from rillflow.operators.ranked import dominance
+
+    rnd = np.random.default_rng(1)
+    for points, windows, top in ((0, 3, 9), (700, 500, 40), (900, 300, 5), (400, 400, 1), (20, 500, 10_000)):
+        at, below, place, until = (rnd.integers(0, top, n) for n in (points, points, windows, windows))
+        weight, code = rnd.integers(-1, 2, points).astype(float), rnd.integers(0, 6, points)
+        want = np.zeros((windows, 6), int)
+        for w in range(windows):
+            np.add.at(want[w], code[(at >= place[w]) & (below < until[w])], weight[(at >= place[w]) & (below < until[w])].astype(int))
+        got = np.full((windows, 6), -99)
+        for q, sums in dominance(at, below, weight, code, 6, place, until):
+            got[q] = sums
+        assert (got == want).all()
+
+
+def test_top_counts_ties_and_missing_groups(spark):
+    """Fewer groups than asked for, equal counts by value, events without a value or a time."""
+    s = [(0, "b"), (0, None), (100, "a"), (None, "a"), (200, "b"), (650, "c"), (9000, None), (20000, "a")]
+    out = ranked.top_counts(make(spark, s, "string"), op.SlidingTime(500), 2)
+    got = [(r.window_id, r.rank, r.value, r.n) for r in out.orderBy("window_id", "rank").collect()]
+    timed = [e for e in s if e[0] is not None]
+    want = []
+    for i, held in enumerate(model.sliding_time(500, timed)):
+        values = [v for _, v in held if v is not None]
+        want += [(i, k + 1, v, values.count(v)) for k, v in enumerate(sorted(set(values), key=lambda v: (-values.count(v), v))[:2])]
+    assert got == want
