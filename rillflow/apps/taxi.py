@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..events import EventStream
 from ..functions import in_grid, profit, top_k, upper_median
 from ..operators import changes, filter_events, map_values, window_rows
+from ..operators.ranked import top_texts
 from ..operators.windows import WINDOW, SlidingTime
 
 
@@ -33,11 +34,8 @@ def frequent_routes(trips: EventStream, starts: int, ends: int, k: int = 10, ms:
     """
     kept = filter_events(trips, lambda t: in_range(t, starts, ends))
     route = ["start", "end", *(["pickup", "dropoff"] if journey_identity else [])]
-    rows = window_rows(kept, SlidingTime(ms))
-    counts = rows.groupBy(WINDOW, *[F.col("value")[c].alias(c) for c in route]).agg(F.count(F.lit(1)).alias("n"))
-    times = window_rows(kept, SlidingTime(ms)).groupBy(WINDOW).agg(F.first("ts").alias("ts"))
-    lists = _ranked(counts, k, "n", *route).join(times, WINDOW)
-    return changes(kept.with_df(lists.select(F.col(WINDOW).alias("seq"), "ts", "value")))
+    lists = top_texts(kept, SlidingTime(ms), k, [F.col("value")[c] for c in route])
+    return changes(kept.with_df(lists.select(F.col(WINDOW).alias("seq"), F.timestamp_micros("us").alias("ts"), "value")))
 
 
 def profitable_cells(trips: EventStream, starts: int, ends: int, k: int = 10, profit_ms: int = 900_000, empty_ms: int = 1_800_000) -> EventStream:

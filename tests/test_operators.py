@@ -207,7 +207,7 @@ def test_time_windows_with_peers(spark, s):
         assert rows(op.window_aggregate(x, maker, name)) == [(t, of(v, default=None)) for t, v in expected]
 
 
-REPEATED_QUERIES = ["window_sliding_time", "window_sliding_time_max", "topk_window"]
+REPEATED_QUERIES = ["window_sliding_time", "window_sliding_time_max", "topk_window", "taxi_q1"]
 
 
 @pytest.mark.parametrize("name", REPEATED_QUERIES)
