@@ -207,7 +207,7 @@ def test_time_windows_with_peers(spark, s):
         assert rows(op.window_aggregate(x, maker, name)) == [(t, of(v, default=None)) for t, v in expected]
 
 
-REPEATED_QUERIES = ["window_sliding_time", "window_sliding_time_max", "topk_window", "taxi_q1"]
+REPEATED_QUERIES = ["window_sliding_time", "window_sliding_time_max", "topk_window", "taxi_q1", "taxi_q2"]
 
 
 @pytest.mark.parametrize("name", REPEATED_QUERIES)
@@ -255,3 +255,33 @@ def test_top_counts_ties_and_missing_groups(spark):
         values = [v for _, v in held if v is not None]
         want += [(i, k + 1, v, values.count(v)) for k, v in enumerate(sorted(set(values), key=lambda v: (-values.count(v), v))[:2])]
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_profitable_cells(spark, seed, monkeypatch):
+    """Few taxis, drop-offs other than event times, times that do not rise, pairs looked at one by one."""
+    from rillflow.apps import taxi
+
+    rnd = random.Random(seed)
+    at = [rnd.randrange(0, 3_000) for _ in range(60)]
+    at = sorted(at) if seed == 0 else at
+    trips = [(i, t, rnd.randrange(0, 4), rnd.randrange(1, 3), rnd.randrange(4), (t - rnd.randrange(500)) * 1000, (t + rnd.randrange(-300, 300)) * 1000, rnd.randrange(9), rnd.randrange(9)) for i, t in enumerate(at)]
+    fields = "named_struct('start', a, 'end', b, 'medallion', m, 'pickup', p, 'dropoff', d, 'fare', f, 'tip', g)"
+    df = spark.createDataFrame(trips, "seq bigint, ms bigint, a bigint, b bigint, m bigint, p bigint, d bigint, f bigint, g bigint").selectExpr("seq", "timestamp_millis(ms) AS ts", f"{fields} AS value")
+    monkeypatch.setattr(taxi, "PAIRS", 7)
+    got = [(r.seq, r.value) for r in taxi.profitable_cells(EventStream(df), 3, 2, 2, 400, 800).df.orderBy("seq").collect()]
+    kept = [t for t in trips if 1 <= t[2] <= 3 and 1 <= t[3] <= 2]
+    want, before = [], None
+    for i, a in enumerate(kept):
+        held = lambda ms: [b for b in kept[i:] if a[1] // ms * ms <= b[1] < a[1] + ms]
+        rates = []
+        for cell in (1, 2, 3):
+            there, paid = [b for b in held(800) if b[2] == cell], sorted(b[7] + b[8] for b in held(400) if b[2] == cell)
+            n = sum(max(c[5] for c in there if c[4] == b[4]) < b[6] for b in there)
+            if n:
+                rates.append((cell, int((paid[len(paid) // 2] if paid else 0) * 1000.0 // n)))
+        value = ",".join(f"{c}:{r}" for c, r in sorted(rates, key=lambda x: (-x[1], x[0]))[:2])
+        if value != before:
+            want.append((i, value))
+        before = value
+    assert got == want
