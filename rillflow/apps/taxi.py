@@ -97,7 +97,7 @@ def frequent_routes(trips: EventStream, starts: int, ends: int, k: int = 10, ms:
     """
     kept = filter_events(trips, lambda t: in_range(t, starts, ends))
     route = ["start", "end", *(["pickup", "dropoff"] if journey_identity else [])]
-    lists = top_texts(kept, SlidingTime(ms), k, [F.col("value")[c] for c in route])
+    lists = top_texts(kept, SlidingTime(ms), k, [F.col("value")[c] for c in route]).localCheckpoint(eager=False)
     return changes(kept.with_df(lists.select(F.col(WINDOW).alias("seq"), F.timestamp_micros("us").alias("ts"), "value")))
 
 
@@ -140,7 +140,7 @@ def profitable_cells(trips: EventStream, starts: int, ends: int, k: int = 10, pr
             some = counts[:, -1] > 0
             yield text_batch(table, rows[some], texts(top[some], amounts[some], labels))
 
-    lists = by_block(kept, max(profit_us, empty_us), columns, kernel, TEXTS)
+    lists = by_block(kept, max(profit_us, empty_us), columns, kernel, TEXTS).localCheckpoint(eager=False)
     return changes(kept.with_df(lists.select(F.col(WINDOW).alias("seq"), F.timestamp_micros("us").alias("ts"), "value")))
 
 
