@@ -36,7 +36,9 @@ def by_block(stream: EventStream, span: int, columns: list[Column], kernel: Kern
     rows = numbered(stream.timed().df, WINDOW, [SEQ], F.col(SEQ), stream.bucket)
     rows = rows.select(WINDOW, micros().alias("us"), F.col(VALUE).isNotNull().alias("has"), *columns)
     rows = rows.withColumn("__of", F.floor(F.col("us") / F.lit(span)).cast("long")).withColumn("__block", F.explode(F.array(F.col("__of"), F.col("__of") - 1)))
-    rows = rows.withColumn("own", F.col("__of") == F.col("__block")).drop("__of").repartition("__block").sortWithinPartitions("__block")
+    rows = rows.withColumn("own", F.col("__of") == F.col("__block")).drop("__of")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes are not put in one task
+    rows = rows.repartition(parts, "__block").sortWithinPartitions("__block")
 
     def run(batches):
         held, at = [], None
